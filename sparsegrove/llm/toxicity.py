@@ -58,22 +58,22 @@ class Tokens:
             end = end - move
         self.start, self.end, self.doc = start, end, self.words.doc
 
-    def names(self, rows=slice(None)) -> list[np.ndarray]:
-        """64-bit names of the word, its prefixes (0 if it is no longer than that), suffix and shape."""
+    def names(self, rows=slice(None)) -> Iterator[np.ndarray]:
+        """64-bit names of the word, its prefixes (0 if it is no longer than that), suffix and shape, one kind at a time."""
         low = lowered(self.data)
         sums = prefix_hashes(low)
         start, end = self.start[rows], self.end[rows]
-        out = [range_hashes(low, start, end, sums)]
+        yield range_hashes(low, start, end, sums)
         for n in PREFIXES:
             longer = end - start > n
-            out.append(np.where(longer, mix(range_hashes(low, start, np.minimum(start + n, end), sums), n), np.uint64(0)))
-        out.append(mix(range_hashes(low, np.maximum(start, end - 4), end, sums), 99))
+            yield np.where(longer, mix(range_hashes(low, start, np.minimum(start + n, end), sums), n), np.uint64(0))
+        yield mix(range_hashes(low, np.maximum(start, end - 4), end, sums), 99)
+        del low, sums
         upper = np.concatenate([[0], np.cumsum((self.data - 65) < 26, dtype=np.int32)])
         digit = np.concatenate([[0], np.cumsum((self.data - 48) < 10, dtype=np.int32)])
         caps, digits, size = upper[end] - upper[start], digit[end] - digit[start], end - start
         shape = np.minimum(size, 9) * 8 + np.where(caps == 0, 0, np.where(caps == size, 2, 1)) * 2 + (digits > 0)
-        out.append(mix(shape.astype(np.uint64), 101))
-        return out
+        yield mix(shape.astype(np.uint64), 101)
 
     def features(self, rows=slice(None)) -> np.ndarray:
         return np.stack([(mix(x, k) >> np.uint64(64 - BITS)).astype(np.int32) for k, x in enumerate(self.names(rows))], axis=1)
@@ -161,7 +161,9 @@ def mined(tokens: Tokens, toxic: np.ndarray) -> np.ndarray:
     """Which tokens count as toxic, from documents' labels: by word or prefix."""
     n_toxic, n_clean = max(int(toxic.sum()), 1), max(int((~toxic).sum()), 1)
     out = np.zeros(len(tokens.start), np.bool_)
-    for kind, names in enumerate(tokens.names()[: 1 + len(PREFIXES)]):
+    for kind, names in enumerate(tokens.names()):
+        if kind > len(PREFIXES):
+            break
         if kind and PREFIXES[kind - 1] < 4:
             continue
         order = np.lexsort((tokens.doc, names))
@@ -202,7 +204,6 @@ def learn(texts: pa.Array, toxic: np.ndarray, seed: int = 0) -> Toxicity:
     parts = []
     tokens = Tokens(*raw(texts))
     gold = mined(tokens, toxic)
-    features = tokens.features()
     random = np.random.default_rng(seed)
     centres = np.flatnonzero(gold)
     clean = np.flatnonzero(~toxic[tokens.doc])
@@ -219,7 +220,8 @@ def learn(texts: pa.Array, toxic: np.ndarray, seed: int = 0) -> Toxicity:
         return Toxicity(None, (0.0, 0.0, 0.0), share)
     live = np.arange(2 * WINDOW + 1) < sizes[:, None]
     index = np.where(live, lo[:, None] + np.arange(2 * WINDOW + 1), lo[:, None])
-    chain.fit(features[index], gold[index].astype(np.int64) * live, live, epochs=8, size=2048, seed=seed)
+    used, place = np.unique(index, return_inverse=True)
+    chain.fit(tokens.features(used)[place.reshape(index.shape)], gold[index].astype(np.int64) * live, live, epochs=8, size=2048, seed=seed)
     model = Toxicity(chain, (0.0, 1.0, 0.0), share)
     p = model.marginals(tokens)
     x, y = model.summary(p, tokens.doc, len(toxic))
