@@ -191,8 +191,10 @@ def add_text(node: Node, text: str, link: bool) -> None:
 
 
 def node_features(nodes: list[Node]) -> list[list[float]]:
-    whole = max(nodes[0].length, 1)
     out, above = [], []
+    if not nodes:
+        return out
+    whole = max(nodes[0].length, 1)
     for x in nodes:
         p = x.parent
         inherited = above[p.number] if p else (0, 0)

@@ -41,7 +41,7 @@ PACKER_BITS = 36
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 PIECES_ARROW = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())])
-IDS = ("ids", pa.list_(pa.uint32()))
+IDS = ("ids", pa.list_(pa.int64()))
 
 
 class WordTokenizer:
@@ -172,7 +172,7 @@ def cut_batches(batches: Iterator[pa.RecordBatch], path: str, capacity: int, sep
             for k, (x, n) in enumerate(zip(at.tolist(), length.tolist())):
                 sums[k] = zlib.crc32(with_end[x : x + n])
             if with_ids:
-                kept = [pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(length)).astype(np.int32)), pa.array(with_end))]
+                kept = [pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(length)).astype(np.int32)), pa.array(with_end.astype(np.int64)))]
             yield batch(schema, doc_ids.take(pa.array(row)), piece.astype(np.int32), begin, length, sums, *kept)
 
 
