@@ -5,6 +5,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from sparsegrove.llm import crf, html_extract, mixing, ngram_join, packing, pii, quality_rules, topk, toxicity, url_filter
@@ -210,3 +211,21 @@ def test_empty_tables(spark):
     labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     assert quality_rules.apply_rules(empty, labels).count() == 0
     assert toxicity.score(empty, toxicity.fit(empty, labels)).count() == 0
+
+
+def test_open_pairs_at_the_narrower_width():
+    rng, rows, want = np.random.default_rng(1), [], set()
+    for chunk in range(60):
+        many, base = int(rng.integers(3, 12)), rng.integers(0, 2**63, 200).astype(np.uint64)
+        sets = [np.unique(np.concatenate([base[: rng.integers(40, 150)], rng.integers(0, 2**63, rng.integers(0, 20)).astype(np.uint64)])) for _ in range(many)]
+        ids, parts = np.sort(rng.choice(10**6, many, replace=False)), rng.integers(0, 3, many)
+        sketches = [ngram_join.dense_sketches(x, np.array([len(x)]))[0].as_py() for x in sets]
+        rows += [(chunk, int(ids[k]), int(parts[k]), len(sets[k]), sketches[k]) for k in range(many)]
+        for a in range(1, many):
+            for b in range(a + 1, many):
+                na, nb = len(sets[a]), len(sets[b])
+                if parts[a] != parts[b] and 100 * min(na, nb) >= 80 * max(na, nb) and ngram_join.hamming(sketches[a], sketches[b]) <= 20 * (na + nb) // 180:
+                    want.add((int(ids[a]), int(ids[b])))
+    table = pa.table(dict(zip(["chunk", "set_id", "component", "n"], map(pa.array, list(zip(*rows))[:4]), strict=True)) | {"sketch": pa.array([r[4] for r in rows], pa.binary())})
+    got = {x for b in ngram_join.open_batches(iter(table.to_batches(50)), 80) for x in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)}
+    assert want and got == want
