@@ -27,6 +27,8 @@ from .quality_rules import RULES, statistics
 from .toxicity import training_rows
 
 TRAIN_ROWS = 2500
+#: Bytes of text whose features are taken at once while learning.
+TRAIN_BLOCK = 1 << 18
 WORD_BITS = 15
 FACTORS = 8
 BINS = 12
@@ -120,13 +122,13 @@ def learn(texts: pa.Array, label: np.ndarray, shares: dict[int, int] | None = No
         out.share = float(label.mean()) if len(label) else 0.5
         return out
     parts, base = [], 0
-    for lo, hi in blocks(texts, 1 << 22):
+    for lo, hi in blocks(texts, TRAIN_BLOCK):  # small blocks and short integers: the driver holds them
         i, x, d, n = features(*raw(texts.slice(lo, hi - lo)))
-        parts.append((i, x, d + base))
+        order = np.argsort(d, kind="stable")
+        parts.append((i[order].astype(np.int32), x[order], (d[order] + base).astype(np.int32)))
         base += n
     index, value, doc = (np.concatenate(x) for x in zip(*parts))
-    order = np.argsort(doc, kind="stable")
-    index, value, doc = index[order], value[order], doc[order]
+    del parts
     counts = {v: max(int((label == v).sum()), 1) for v in (0, 1)}
     stands = shares or counts
     weight = np.where(label == 1, stands[1] / counts[1], stands[0] / counts[0])
