@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..functions import vectors as V
 from ..operators import evaluation as E
+from ..operators import overlap as O
 from ..operators import phrases as P
 from ..operators import retrieval as R
 from ..operators import sparse as S
@@ -313,6 +314,47 @@ def alpha_dcg(spark, d):
     return P.alpha_dcg(X.keyphrase_pairs(spark, d), 5).select("doc_id", r6(F.col("alpha_dcg"), "alpha_dcg"))
 
 
+_LISTS = f"""WITH {X.SQL_PAIRS}, l AS (SELECT doc_id, coalesce(list(w ORDER BY pos) FILTER (role = 'assistant'), []) AS p, coalesce(list(w ORDER BY pos) FILTER (role = 'user'), []) AS t FROM docs LEFT JOIN co USING (doc_id) GROUP BY doc_id),
+b AS (SELECT *, CASE WHEN len(p) > 1 THEN list_distinct([p[i] || ' ' || p[i + 1] for i in range(1, len(p))]) ELSE [] END AS pb, CASE WHEN len(t) > 1 THEN list_distinct([t[i] || ' ' || t[i + 1] for i in range(1, len(t))]) ELSE [] END AS tb FROM l)"""
+
+
+def _parts(hits: str, a: str, b: str) -> str:
+    return f"CASE WHEN len({a}) > 0 THEN {hits}::DOUBLE / len({a}) ELSE 0 END AS p, CASE WHEN len({b}) > 0 THEN {hits}::DOUBLE / len({b}) ELSE 0 END AS r"
+
+
+@query(f"{_LISTS}, x AS (SELECT doc_id, {_parts('len(list_intersect(p, t))', 'p', 't')} FROM b) SELECT doc_id, round(p, 6) AS precision, round(r, 6) AS recall, round(CASE WHEN p + r > 0 THEN 2 * p * r / (p + r) ELSE 0 END, 6) AS f1 FROM x")
+def set_measures(spark, d):
+    rows = X.keyphrase_pairs(spark, d).select("doc_id", O.set_measures(F.col("predictions"), F.col("targets")).alias("m"))
+    return rows.select("doc_id", *(r6(F.col(f"m.{c}"), c) for c in ("precision", "recall", "f1")))
+
+
+@query(f"""{_LISTS}, z AS (SELECT doc_id, p, t, [list_sum([(contains(x, y) OR contains(y, x))::INT for y in t]) > 0 for x in p] AS hp, [list_sum([(contains(x, y) OR contains(y, x))::INT for y in p]) > 0 for x in t] AS ht FROM b),
+x AS (SELECT doc_id, CASE WHEN len(t) > 0 THEN len(list_filter(hp[1:len(t)], lambda e: e))::DOUBLE / len(t) ELSE 0 END AS q, CASE WHEN len(p) > 0 THEN len(list_filter(hp, lambda e: e))::DOUBLE / len(p) ELSE 0 END AS p, CASE WHEN len(t) > 0 THEN len(list_filter(ht, lambda e: e))::DOUBLE / len(t) ELSE 0 END AS r FROM z)
+SELECT doc_id, round(q, 6) AS r_precision, round(p, 6) AS precision, round(r, 6) AS recall, round(CASE WHEN p + r > 0 THEN 2 * p * r / (p + r) ELSE 0 END, 6) AS f1 FROM x""")
+def loose_measures(spark, d):
+    rows = X.keyphrase_pairs(spark, d).select("doc_id", O.loose_measures(F.col("predictions"), F.col("targets")).alias("m"))
+    return rows.select("doc_id", *(r6(F.col(f"m.{c}"), c) for c in ("r_precision", "precision", "recall", "f1")))
+
+
+@query(f"""{_LISTS}, x AS (SELECT doc_id, {_parts('len(list_intersect(p, t))', 'p', 't')} FROM b), y AS (SELECT doc_id, {_parts('len(list_intersect(pb, tb))', 'pb', 'tb')} FROM b)
+SELECT doc_id, round(x.p, 6) AS p1, round(x.r, 6) AS r1, round(2 * x.p * x.r / (x.p + x.r + 1e-8), 6) AS f1, round(y.p, 6) AS p2, round(y.r, 6) AS r2, round(2 * y.p * y.r / (y.p + y.r + 1e-8), 6) AS f2 FROM x JOIN y USING (doc_id)""")
+def rouge_measures(spark, d):
+    rows = X.keyphrase_pairs(spark, d).select("doc_id", *(O.rouge(F.col("predictions"), F.col("targets"), n).alias(f"m{n}") for n in (1, 2)))
+    return rows.select("doc_id", *(r6(F.col(f"m{n}.{c}"), f"{c}{n}") for n in (1, 2) for c in "prf"))
+
+
+@query("WITH w AS (SELECT conv_id AS doc_id, turn, text, list_filter(string_split(text, ' '), lambda e: e <> '') AS t FROM conversations) SELECT doc_id, turn, round(CASE WHEN len(t) > 0 THEN len(list_distinct(t))::DOUBLE / len(t) ELSE 0 END, 6) AS unique_words, round(1 - CASE WHEN len(t) > 0 THEN len(list_distinct(t))::DOUBLE / len(t) ELSE 0 END, 6) AS repeated_words FROM w")
+def phrase_diversity(spark, d):
+    rows = table(spark, d, "conversations").select(F.col("conv_id").alias("doc_id"), "turn", O.diversity(F.array("text")).alias("m"))
+    return rows.select("doc_id", "turn", *(r6(F.col(f"m.{c}"), c) for c in ("unique_words", "repeated_words")))
+
+
+@query()
+def alignment_measures(spark, d):
+    rows = X.keyphrase_pairs(spark, d)
+    return rows.select("doc_id", r6(O.meteor(F.col("predictions"), F.col("targets")), "meteor"), r6(O.self_bleu(F.col("predictions")), "self_bleu"))
+
+
 # citations, triplets, losses
 
 

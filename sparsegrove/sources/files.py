@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -32,6 +32,61 @@ def qrels_tsv(spark: SparkSession, path: str) -> DataFrame:
     return rows.select(F.col(f"`{q}`").alias("query_id"), F.col(f"`{d}`").alias("doc_id"), F.col(f"`{s}`").try_cast("int").alias("rel"))
 
 
+def trec_qrels(spark: SparkSession, path: str) -> DataFrame:
+    """(query_id, doc_id, rel) of four columns without a header."""
+    f = F.split(F.trim("value"), r"\s+")
+    return spark.read.text(path).where(F.size(f) == 4).select(f[0].alias("query_id"), f[2].alias("doc_id"), f[3].try_cast("int").alias("rel"))
+
+
+def distillation_tsv(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """(query, positive, negative, positive_score, negative_score); and the number of faulty lines (one row, n)."""
+    rows, faulty = tsv(spark, path, "query", "positive", "negative", "positive_score", "negative_score")
+    return rows.withColumns({c: F.col(c).try_cast("double") for c in ("positive_score", "negative_score")}), faulty
+
+
+def score_json(spark: SparkSession, path: str, k: int | None = None) -> DataFrame:
+    """(query_id, doc_id, score, rank) of files that each hold one object of query, document and score; the best k."""
+    whole = spark.read.text(path, wholetext=True).select(F.explode(F.from_json("value", "map<string,map<string,double>>")).alias("query_id", "scores"))
+    rows = whole.select("query_id", F.explode("scores").alias("doc_id", "score"))
+    rows = rows.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id")))
+    return rows if k is None else rows.where(F.col("rank") <= k)
+
+
+def teacher_scores(scores: DataFrame, qrels: DataFrame, least: int) -> DataFrame:
+    """Scores (query_id, doc_id, score) of queries with at least so many documents that are not relevant."""
+    good = qrels.where("rel > 0").select("query_id", "doc_id")
+    enough = scores.join(good, ["query_id", "doc_id"], "left_anti").groupBy("query_id").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least)
+    return scores.join(enough.select("query_id"), "query_id", "left_semi")
+
+
+def judged_queries(spark: SparkSession, path: str, qrels: DataFrame) -> DataFrame:
+    """(query_id, text) of a JSON-lines file, of judged queries only."""
+    return corpus_jsonl(spark, path).select(F.col("doc_id").alias("query_id"), "text").join(qrels.select("query_id"), "query_id", "left_semi")
+
+
+def phrase_postings(spark: SparkSession, path: str) -> DataFrame:
+    """(phrase, doc_id) of all files of a folder that each hold one object of phrase and ids."""
+    lists = spark.read.text(path, wholetext=True).select(F.explode(F.from_json("value", "map<string,array<string>>")).alias("phrase", "ids"))
+    return lists.select("phrase", F.explode("ids").alias("doc_id")).distinct()
+
+
+def tolerant_jsonl(spark: SparkSession, path: str, schema: str) -> tuple[DataFrame, DataFrame]:
+    """Rows of JSON lines (also gzipped) in this schema, and the number of broken lines (one row, n)."""
+    lines = spark.read.text(path)
+    parsed = lines.select(F.from_json("value", f"{schema}, _bad string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"}).alias("r")).select("r.*")
+    return parsed.where("_bad IS NULL").drop("_bad"), parsed.where("_bad IS NOT NULL").agg(F.count(F.lit(1)).alias("n"))
+
+
+def titled_text(documents: DataFrame) -> DataFrame:
+    """(doc_id, text) of title, a blank and text, trimmed; a missing part is empty."""
+    return documents.select("doc_id", F.trim(F.concat_ws(" ", "title", "text")).alias("text"))
+
+
+def generated_queries(rows: DataFrame) -> DataFrame:
+    """(doc_id, queries): the lower-cased queries of each document, in order."""
+    return rows.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.lower("query"))).alias("queries"))
+
+
 def trec_run(spark: SparkSession, path: str, k: int | None = None) -> DataFrame:
     """(query_id, doc_id, rank, score) of six blank-separated columns."""
     f = F.split(F.trim("value"), r"\s+")
@@ -49,3 +104,24 @@ def write_vectors(vectors: DataFrame, path: str) -> None:
     """One JSON line a document: id and vector (term to whole-number weight)."""
     entries = F.map_from_entries(F.array_sort(F.collect_list(F.struct(F.col("term").cast("string"), F.col("weight").cast("int")))))
     vectors.groupBy(F.col("doc_id").cast("string").alias("id")).agg(entries.alias("vector")).write.mode("overwrite").json(path)
+
+
+def write_repeated_terms(vectors: DataFrame, path: str) -> None:
+    """Lines of an id, a tab and each term as often as its whole-number weight says."""
+    entries = F.array_sort(F.collect_list(F.struct(F.col("term").cast("string").alias("term"), F.col("weight").cast("int").alias("weight"))))
+    text = F.array_join(F.flatten(F.transform(entries, lambda e: F.array_repeat(e["term"], F.greatest(e["weight"], F.lit(0))))), " ")
+    vectors.groupBy("doc_id").agg(text.alias("text")).select(F.concat_ws("\t", F.col("doc_id").cast("string"), "text").alias("value")).write.mode("overwrite").text(path)
+
+
+def write_dense(vectors: DataFrame, path: str) -> None:
+    """(doc_id, vector of floats) as Parquet."""
+    vectors.select("doc_id", F.col("vector").cast("array<float>").alias("vector")).write.mode("overwrite").parquet(path)
+
+
+def append_chunk(rows: DataFrame, path: str, chunk: int) -> None:
+    """Rows of a chunk as JSON lines; a chunk that is written again takes the place of its earlier rows."""
+    rows.write.mode("overwrite").json(f"{path}/chunk={chunk}")
+
+
+def write_measures(rows: DataFrame, path: str) -> None:
+    rows.write.mode("overwrite").csv(path, header=True)

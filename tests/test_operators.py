@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from sparsegrove.functions.stem import stem
 from sparsegrove.functions.text import blank_spans, from_positions, indel_ratio, search_tokens
-from sparsegrove.operators import evaluation, phrases, retrieval, sparse, training
+from sparsegrove.operators import evaluation, overlap, phrases, retrieval, sparse, training
 
 
 def rows(df, *columns):
@@ -108,3 +108,25 @@ def test_indel_ratio(a, b):
             table[i + 1, j + 1] = table[i, j] + 1 if x == y else max(table[i, j + 1], table[i + 1, j])
     expected = 200.0 * table[-1, -1] / (len(a) + len(b)) if a or b else 100.0
     assert abs(indel_ratio(a, b) - expected) < 1e-9
+
+
+def test_overlap_by_hand(spark):
+    df = spark.createDataFrame([(1, ["neural net", "graph"], ["neural net model", "tree"]), (2, [], ["x"]), (3, ["a", "a"], ["a"]), (4, None, ["x"])], "id long, p array<string>, t array<string>")
+    p, t = F.col("p"), F.col("t")
+    got = {r["id"]: r for r in df.select("id", overlap.set_measures(p, t).alias("s"), overlap.loose_measures(p, t).alias("l"), overlap.rouge(p, t, 1).alias("r1"), overlap.rouge(p, t, 2).alias("r2"), overlap.diversity(p).alias("d"), overlap.meteor(p, t).alias("m"), overlap.self_bleu(p).alias("b")).collect()}
+    assert tuple(got[1]["s"]) == (0.0, 0.0, 0.0) and tuple(got[3]["s"]) == (1.0, 1.0, 1.0)
+    assert tuple(got[1]["l"]) == (0.5, 0.5, 0.5, 0.5)
+    assert got[1]["r1"]["p"] == 2 / 3 and got[1]["r1"]["r"] == 0.5 and got[1]["r2"]["p"] == 0.5
+    assert tuple(got[2]["d"]) == (0.0, 0.0, 1.0) and tuple(got[3]["d"]) == (0.5, 0.5, 0.5)
+    assert got[2]["m"] == got[4]["m"] == got[2]["b"] == got[4]["b"] == 0.0 and tuple(got[4]["s"]) == (0.0, 0.0, 0.0)
+    f, chunks = (2 / 3) * 0.5 / (0.9 * 2 / 3 + 0.1 * 0.5), 1
+    assert math.isclose(got[1]["m"], f * (1 - 0.5 * (chunks / 2) ** 3))
+
+
+def test_bleu_by_hand():
+    same = "a b c d".split()
+    assert math.isclose(overlap.bleu([same], same), 1.0) and overlap.bleu([["x"]], same) == 0.0
+    want = (3 / 4 * 2 / 3 * 1 / 2) ** (1 / 3)
+    assert math.isclose(overlap.bleu([["a", "b", "c", "e"]], same), want)
+    assert math.isclose(overlap.bleu([["a", "b", "c", "d", "e"]], same), math.exp(1 - 5 / 4))
+    assert overlap.meteor_of(["running"], ["runs"]) == 0.5
