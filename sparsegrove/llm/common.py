@@ -57,6 +57,18 @@ def shared_checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def small_batches(df: DataFrame, rows: int = 2000) -> DataFrame:
+    """``df`` itself; from now on its session hands Python workers at most so many rows at once.
+
+    Whole texts of 10,000 rows (Spark's own limit) and their copies on both sides of the socket take hundreds of
+    MB in an executor.  A smaller limit of the session stays.
+    """
+    key, conf = "spark.sql.execution.arrow.maxRecordsPerBatch", df.sparkSession.conf
+    if not 0 < int(conf.get(key, "10000")) <= rows:
+        conf.set(key, str(rows))
+    return df
+
+
 def need(df: DataFrame, **kinds: str) -> DataFrame:
     """Only the named columns, in the named types; a table without one of them has nulls there."""
     return df.select(*(

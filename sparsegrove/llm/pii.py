@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batch, need, on_workers
+from .common import batch, need, on_workers, small_batches
 from .crf import Chain, by_size, padded
 
 KINDS = ("email", "ip", "card", "phone")
@@ -370,4 +370,4 @@ def redact_batches(batches: Iterator[pa.RecordBatch], chain: Chain, column: int)
 def redact_documents(documents: DataFrame, chain: Chain | None = None) -> DataFrame:
     """``documents`` with each span of its text replaced by its kind, as ``<EMAIL>``; all rows and columns stay."""
     chain = learn() if chain is None else chain
-    return documents.mapInArrow(on_workers(__name__, "redact_batches", chain, documents.columns.index("text")), documents.schema)
+    return small_batches(documents).mapInArrow(on_workers(__name__, "redact_batches", chain, documents.columns.index("text")), documents.schema)

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, batch, blocks, lowered, need, on_workers, per_text, raw
+from .common import Words, batch, blocks, lowered, need, on_workers, per_text, raw, small_batches
 from .quality_rules import RULES, statistics
 from .toxicity import training_rows
 
@@ -167,4 +167,4 @@ def filter_batches(batches: Iterator[pa.RecordBatch], machine: Machine, column:
 
 def keep_good(documents: DataFrame, machine: Machine, cutoff: float) -> DataFrame:
     """The rows of ``documents`` that score ``cutoff`` or more, with all their columns; no shuffle."""
-    return documents.mapInArrow(on_workers(__name__, "filter_batches", machine, documents.columns.index("text"), cutoff), documents.schema)
+    return small_batches(documents).mapInArrow(on_workers(__name__, "filter_batches", machine, documents.columns.index("text"), cutoff), documents.schema)
