@@ -105,11 +105,11 @@ def position_score(text: Column, phrase: Column) -> Column:
 
 
 def fuzzy_ratio(name_a: str = "a", name_b: str = "b"):
-    """An Arrow UDF: 100 * 2 * longest common subsequence / total length (100 for two empty texts)."""
+    """An Arrow UDF: 100 * 2 * longest common subsequence / total length (100 for two empty texts, null for a null one)."""
 
     @F.pandas_udf("double")
     def ratio(a: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series([indel_ratio(x, y) for x, y in zip(a, b)])
+        return pd.Series([None if x is None or y is None else indel_ratio(x, y) for x, y in zip(a, b, strict=True)], dtype="float64")
 
     return ratio
 

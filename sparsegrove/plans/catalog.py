@@ -457,5 +457,7 @@ def query_likelihood(spark, d):
 
 @query()
 def fuzzy_neighbours(spark, d):
-    pairs = table(spark, d, "conversations").select("conv_id", "turn", "text", F.lag("text").over(Window.partitionBy("conv_id").orderBy("turn")).alias("before")).where("before IS NOT NULL")
-    return pairs.select("conv_id", "turn", F.round(T.fuzzy_ratio()(F.substring("text", 1, 200), F.substring("before", 1, 200)), 4).alias("ratio"))
+    """Of each turn that follows another: the indel ratio of the two whole texts, null where one of them is null."""
+    before = F.lag(F.struct("text")).over(Window.partitionBy("conv_id").orderBy("turn"))
+    pairs = table(spark, d, "conversations").select("conv_id", "turn", "text", before.alias("before")).where("before IS NOT NULL")
+    return pairs.select("conv_id", "turn", F.round(T.fuzzy_ratio()(F.col("text"), F.col("before.text")), 4).alias("ratio"))
