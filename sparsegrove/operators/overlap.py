@@ -74,28 +74,59 @@ def diversity(predictions: Column) -> Column:
     return F.struct(_share(F.size(F.array_distinct(predictions)), F.size(predictions)).alias("unique_phrases"), unique.alias("unique_words"), (1 - unique).alias("repeated_words"))
 
 
+def _runs(tokens: list[str], size: int) -> Counter:
+    return Counter(tuple(tokens[k : k + size]) for k in range(len(tokens) - size + 1))
+
+
+def _smoothed(counts: list[tuple[int, int]], near: int, length: int) -> float:
+    """BLEU of (matching runs, runs) of each size; a small count where none match, 0 where no word does."""
+    if not counts[0][0]:
+        return 0.0
+    total = 0.0
+    for hits, n in counts:
+        total += math.log((hits or EPSILON) / max(1, n)) / len(counts)
+    return math.exp(total + min(0.0, 1 - near / length))
+
+
 def bleu(references: list[list[str]], hypothesis: list[str], n: int = 3) -> float:
     """Sentence BLEU with equal weights for runs of 1 to n words and a small count where none match."""
     if not hypothesis or not references:
         return 0.0
-    total = 0.0
+    counts = []
     for size in range(1, n + 1):
-        runs = lambda t, size=size: Counter(tuple(t[k : k + size]) for k in range(len(t) - size + 1))
-        own, most = runs(hypothesis), Counter()
+        own, most = _runs(hypothesis, size), Counter()
         for r in references:
-            most |= runs(r)
-        hits = sum((own & most).values())
-        if size == 1 and not hits:
-            return 0.0
-        total += math.log((hits or EPSILON) / max(1, sum(own.values()))) / n
+            most |= _runs(r, size)
+        counts.append((sum((own & most).values()), sum(own.values())))
     near = min((abs(len(r) - len(hypothesis)), len(r)) for r in references)[1]
-    return math.exp(total + min(0.0, 1 - near / len(hypothesis)))
+    return _smoothed(counts, near, len(hypothesis))
 
 
 def self_bleu_of(phrases: list[str], n: int = 3) -> float:
-    """The mean BLEU of each phrase against the others; 0 for one phrase or none."""
+    """The mean BLEU of each phrase against the others; 0 for one phrase or none.
+
+    Of each run its two highest counts and the holder of the first are kept, so a phrase's others are not gone
+    through again.
+    """
     tokens = [p.split() for p in phrases if p is not None]
-    return sum(bleu(tokens[:k] + tokens[k + 1 :], t, n) for k, t in enumerate(tokens)) / len(tokens) if len(tokens) > 1 else 0.0
+    if len(tokens) < 2:
+        return 0.0
+    counts: list[list[tuple[int, int]]] = [[] for _ in tokens]
+    for size in range(1, n + 1):
+        own, top = [_runs(t, size) for t in tokens], {}
+        for k, runs in enumerate(own):
+            for run, m in runs.items():
+                first, at, second = top.get(run, (0, -1, 0))
+                if m > first:
+                    top[run] = (m, k, first)
+                elif m > second:
+                    top[run] = (first, at, m)
+        for k, runs in enumerate(own):
+            hits = sum(min(m, top[run][2] if top[run][1] == k else top[run][0]) for run, m in runs.items())
+            counts[k].append((hits, sum(runs.values())))
+    lengths = Counter(map(len, tokens))
+    near = {x: min((abs(y - x), y) for y, many in lengths.items() if y != x or many > 1)[1] for x in lengths}
+    return sum(_smoothed(c, near[len(t)], len(t)) for t, c in zip(tokens, counts, strict=True)) / len(tokens)
 
 
 def meteor_of(predicted: list[str], target: list[str]) -> float:

@@ -63,13 +63,18 @@ def logits(spark: SparkSession, folder: str) -> DataFrame:
 SQL_LOGITS = "g AS (SELECT l_orderkey AS doc_id, CAST(l_linenumber AS INTEGER) AS pos, l_partkey % 50 AS term, (CAST(l_quantity AS DOUBLE) - 15) / 10 AS logit, l_partkey % 50 >= 40 AS is_phrase, l_linenumber % 2 = 0 AS from_phrase, ln(1 + greatest((CAST(l_quantity AS DOUBLE) - 15) / 10, 0)) AS w FROM lineitem)"
 
 
-def keyphrase_pairs(spark: SparkSession, folder: str) -> DataFrame:
-    """(doc_id, predictions, targets): a conversation's distinct assistant words as predictions, the user's as targets."""
-    words = lambda role: F.slice(F.array_distinct(F.flatten(F.transform(F.array_sort(F.collect_list(F.when(F.col("role") == role, F.struct("turn", "tokens")))), lambda x: x["tokens"]))), 1, 12)
+def keyphrase_words(spark: SparkSession, folder: str) -> DataFrame:
+    """(doc_id, predictions, targets): all of a conversation's distinct assistant words as predictions, the user's as targets."""
+    words = lambda role: F.array_distinct(F.flatten(F.transform(F.array_sort(F.collect_list(F.when(F.col("role") == role, F.struct("turn", "tokens")))), lambda x: x["tokens"])))
     rows = table(spark, folder, "conversations").select("conv_id", "turn", "role", search_tokens(F.col("text")).alias("tokens"))
     return rows.groupBy(F.col("conv_id").alias("doc_id")).agg(words("assistant").alias("predictions"), words("user").alias("targets"))
 
 
+def keyphrase_pairs(spark: SparkSession, folder: str) -> DataFrame:
+    """``keyphrase_words`` cut to the first 12 on either side, as ``SQL_PAIRS`` has them."""
+    return keyphrase_words(spark, folder).select("doc_id", *(F.slice(c, 1, 12).alias(c) for c in ("predictions", "targets")))
+
+
 _W = sql_tokens("conversations").split("unnest(")[1].rsplit(") AS term", 1)[0]
 SQL_PAIRS = f"""ct AS (SELECT conv_id AS doc_id, turn, role, {_W} AS tokens FROM conversations),
 cw AS (SELECT doc_id, role, turn, unnest(tokens) AS w, generate_subscripts(tokens, 1) AS i FROM ct),
