@@ -229,3 +229,31 @@ def test_open_pairs_at_the_narrower_width():
     table = pa.table(dict(zip(["chunk", "set_id", "component", "n"], map(pa.array, list(zip(*rows))[:4]), strict=True)) | {"sketch": pa.array([r[4] for r in rows], pa.binary())})
     got = {x for b in ngram_join.open_batches(iter(table.to_batches(50)), 80) for x in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)}
     assert want and got == want
+
+
+def test_near_duplicates_with_null_ids(spark):
+    words = [f"v{k}" for k in range(100)]
+    bridge = words[:94] + [f"x{k}" for k in range(6)]
+    beyond = [f"y{k}" for k in range(8)] + bridge[8:]
+    chain = [(900, " ".join(words)), (None, " ".join(bridge)), (901, " ".join(beyond))]  # the ends meet only over the null id
+    alone = [(None, " ".join(f"{p}{k}" for k in range(60))) for p in "mno"]
+    copies = [(902, "p q r s t u"), (None, "p q r s t u"), (None, "two rows without an id"), (None, "two rows without an id")]
+    rows = chain + alone + copies + [(None if k % 3 == 1 else k, t) for k, t in enumerate(texts(40, 4))]
+    sets = []
+    for _, t in rows:
+        w = (t or "").encode().lower().split()
+        sets.append(frozenset(tuple(w[i : i + 5]) for i in range(len(w) - 4)) if len(w) >= 5 else frozenset([tuple(w)] if w else []))
+    links = [(i, j) for i, a in enumerate(sets) for j, b in enumerate(sets[:i]) if a and b and 100 * len(a & b) >= 80 * len(a | b)]
+    group = list(range(len(sets)))
+    for _ in sets:
+        for i, j in links:
+            group[i] = group[j] = min(group[i], group[j])
+    known = {g: min((r[0] for r, x in zip(rows, group, strict=True) if x == g and r[0] is not None), default=None) for g in group}
+    assert known[group[0]] == known[group[2]] == 900 and not sets[0] & sets[3]
+    table = spark.createDataFrame([(*r, k) for k, r in enumerate(rows)], "doc_id long, text string, place long")
+    count = lambda found: sorted(found, key=repr)
+    got = ngram_join.near_duplicates(table).collect()
+    assert count(map(tuple, got)) == count((r[0], len(s), known[g]) for r, s, g in zip(rows, sets, group, strict=True))
+    kept = ngram_join.one_of_each(table)
+    assert kept.columns == table.columns
+    assert sorted(r["place"] for r in kept.collect()) == [k for k, (r, g) in enumerate(zip(rows, group, strict=True)) if r[0] == known[g]]
