@@ -8,6 +8,8 @@ two different words of a corpus share one with a chance of 2**-64 a pair.
 from __future__ import annotations
 
 import importlib
+import tempfile
+import zipfile
 from collections.abc import Iterator
 from pathlib import Path
 
@@ -20,7 +22,7 @@ U64 = np.uint64
 BASE = 0x9E3779B97F4A7C15 | 1
 BASE_INVERSE = pow(BASE, -1, 1 << 64)
 #: Bytes of text that are worked on at once in a Python worker; a longer text is one block of its own.
-BLOCK_BYTES = 1 << 20
+BLOCK_BYTES = 1 << 18
 
 _powers: dict[str, np.ndarray] = {}
 
@@ -29,21 +31,46 @@ def on_workers(module: str, function: str, *args):
     """A function of Arrow batches for ``mapInArrow`` that calls ``module.function(batches, *args)``.
 
     Only names travel, so state kept in the module (caches, loaded vocabularies) lives as long as the
-    Python worker does.
+    Python worker does.  The package itself reaches the executors as a zip that Spark hands out.  When a task
+    has ended its worker gives freed memory back: it stays for the tasks of later stages.
     """
-    root = str(Path(__file__).resolve().parents[2])
+    ship()
 
     def run(batches):
         import importlib
-        import sys
 
-        if root not in sys.path:
-            sys.path.append(root)
-        return getattr(importlib.import_module(module), function)(batches, *args)
+        found = getattr(importlib.import_module(module), function)(batches, *args)
+        return found if isinstance(found, pa.Table) else trimmed(found)
+
+    def trimmed(found):
+        import ctypes
+
+        yield from found
+        try:
+            ctypes.CDLL(None).malloc_trim(0)
+        except (AttributeError, OSError):  # another C library
+            pass
 
     return run
 
 
+_shipped: set[str] = set()
+
+
+def ship() -> None:
+    """Hand this package to the executors of the active session, once an application."""
+    session = SparkSession.getActiveSession()
+    if session is None or session.sparkContext.applicationId in _shipped:
+        return
+    package = Path(__file__).resolve().parents[1]
+    out = Path(tempfile.mkdtemp(), f"{package.name}.zip")  # the driver's file server hands it out from there
+    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+        for path in sorted(package.rglob("*.py")):
+            z.write(path, path.relative_to(package.parent))
+    session.sparkContext.addPyFile(str(out))
+    _shipped.add(session.sparkContext.applicationId)
+
+
 def shared_checkpoint(df: DataFrame) -> DataFrame:
     """``df`` cut off from its lineage, written to the folder of ``spark.checkpoint.dir``.
 
@@ -57,18 +84,6 @@ def shared_checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def small_batches(df: DataFrame, rows: int = 2000) -> DataFrame:
-    """``df`` itself; from now on its session hands Python workers at most so many rows at once.
-
-    Whole texts of 10,000 rows (Spark's own limit) and their copies on both sides of the socket take hundreds of
-    MB in an executor.  A smaller limit of the session stays.
-    """
-    key, conf = "spark.sql.execution.arrow.maxRecordsPerBatch", df.sparkSession.conf
-    if not 0 < int(conf.get(key, "10000")) <= rows:
-        conf.set(key, str(rows))
-    return df
-
-
 def need(df: DataFrame, **kinds: str) -> DataFrame:
     """Only the named columns, in the named types; a table without one of them has nulls there."""
     return df.select(*(

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from .boosting import Boosting
-from .common import batch, need, on_workers
+from .common import batch, blocks, need, on_workers
 
 PASS, MAIN, OTHER = range(3)
 
@@ -394,8 +394,8 @@ def extract(pages: list[str | None], model: Boosting) -> list[str]:
 
 def extract_batches(batches: Iterator[pa.RecordBatch], model: Boosting) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        for lo in range(0, len(b), 200):
-            part = b.slice(lo, 200)
+        for lo, hi in blocks(b.column(2)):
+            part = b.slice(lo, hi - lo)
             texts = extract(part.column(2).to_pylist(), model)
             yield batch(SCHEMA, part.column(0), part.column(1), texts, np.array([len(t) for t in texts], np.int64))
 

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batch, need, on_workers, small_batches
+from .common import batch, blocks, need, on_workers
 from .crf import Chain, by_size, padded
 
 KINDS = ("email", "ip", "card", "phone")
@@ -331,8 +331,8 @@ def joined(spans: dict[str, list[tuple[int, int]]]) -> str:
 def span_batches(batches: Iterator[pa.RecordBatch], chain: Chain) -> Iterator[pa.RecordBatch]:
     tagger = Tagger(chain)
     for b in batches:
-        for lo in range(0, len(b), 500):
-            part = b.slice(lo, 500)
+        for lo, hi in blocks(b.column(1)):
+            part = b.slice(lo, hi - lo)
             base, added = found(part.column(1).to_pylist(), tagger)
             every = [{k: sorted([*x[k], *((s, e) for kind, s, e in more if kind == k)]) for k in KINDS} for x, more in zip(base, added)]
             counts = [np.array([len(x[k]) for x in base], np.int64) for k in KINDS]
@@ -361,13 +361,15 @@ def redact(text: str | None, spans: list[tuple[str, int, int]]) -> str | None:
 def redact_batches(batches: Iterator[pa.RecordBatch], chain: Chain, column: int) -> Iterator[pa.RecordBatch]:
     tagger = Tagger(chain)
     for b in batches:
-        texts = b.column(column).to_pylist()
-        base, added = found(texts, tagger)
-        new = [redact(t, [*((k, s, e) for k in KINDS for s, e in x[k]), *more]) for t, x, more in zip(texts, base, added)]
-        yield b.set_column(column, b.schema.field(column).name, pa.array(new, pa.string()))
+        for lo, hi in blocks(b.column(column)):
+            part = b.slice(lo, hi - lo)
+            texts = part.column(column).to_pylist()
+            base, added = found(texts, tagger)
+            new = [redact(t, [*((k, s, e) for k in KINDS for s, e in x[k]), *more]) for t, x, more in zip(texts, base, added)]
+            yield part.set_column(column, b.schema.field(column).name, pa.array(new, pa.string()))
 
 
 def redact_documents(documents: DataFrame, chain: Chain | None = None) -> DataFrame:
     """``documents`` with each span of its text replaced by its kind, as ``<EMAIL>``; all rows and columns stay."""
     chain = learn() if chain is None else chain
-    return small_batches(documents).mapInArrow(on_workers(__name__, "redact_batches", chain, documents.columns.index("text")), documents.schema)
+    return documents.mapInArrow(on_workers(__name__, "redact_batches", chain, documents.columns.index("text")), documents.schema)

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, batch, blocks, lowered, need, on_workers, per_text, raw, small_batches
+from .common import Words, batch, blocks, lowered, need, on_workers, per_text, raw
 from .quality_rules import RULES, statistics
 from .toxicity import training_rows
 
@@ -161,10 +161,11 @@ def score(documents: DataFrame, machine: Machine) -> DataFrame:
 def filter_batches(batches: Iterator[pa.RecordBatch], machine: Machine, column: int, cutoff: float) -> Iterator[pa.RecordBatch]:
     for b in batches:
         text = b.column(column)
-        keep = [machine.scores(*features(*raw(text.slice(lo, hi - lo)))) >= cutoff for lo, hi in blocks(text)]
-        yield b.filter(pa.array(np.concatenate(keep) if keep else np.zeros(0, np.bool_)))
+        for lo, hi in blocks(text):
+            keep = machine.scores(*features(*raw(text.slice(lo, hi - lo)))) >= cutoff
+            yield b.slice(lo, hi - lo).filter(pa.array(keep))
 
 
 def keep_good(documents: DataFrame, machine: Machine, cutoff: float) -> DataFrame:
     """The rows of ``documents`` that score ``cutoff`` or more, with all their columns; no shuffle."""
-    return small_batches(documents).mapInArrow(on_workers(__name__, "filter_batches", machine, documents.columns.index("text"), cutoff), documents.schema)
+    return documents.mapInArrow(on_workers(__name__, "filter_batches", machine, documents.columns.index("text"), cutoff), documents.schema)

@@ -257,3 +257,35 @@ def test_near_duplicates_with_null_ids(spark):
     kept = ngram_join.one_of_each(table)
     assert kept.columns == table.columns
     assert sorted(r["place"] for r in kept.collect()) == [k for k, (r, g) in enumerate(zip(rows, group, strict=True)) if r[0] == known[g]]
+
+
+def test_one_id_with_several_texts(spark):
+    base = [f"v{k}" for k in range(100)]
+    near = " ".join([*base[:97], "x", "y", "z"])
+    other = " ".join(f"o{k}" for k in range(60))
+    rows = [(1, " ".join(base)), (5, near), (5, other), (5, other), (9, "a text of its own here"), (9, other.upper() + " q"), (None, None), (5, "")]
+    table = spark.createDataFrame([(*r, k) for k, r in enumerate(rows)], "doc_id long, text string, place long")
+    got = sorted((r["place"] for r in ngram_join.one_of_each(table).collect()))
+    assert got[:2] == [0, 2] or got[:2] == [0, 3]
+    assert got[2:] == [4, 6, 7]
+    found = sorted((tuple(r) for r in ngram_join.near_duplicates(table).collect()), key=repr)
+    assert found == sorted([(1, 96, 1), (5, 96, 1), (5, 56, 5), (5, 56, 5), (9, 1, 9), (9, 57, 5), (None, 0, None), (5, 0, 5)], key=repr)
+
+
+def test_forest_spans_what_is_possible():
+    rng = np.random.default_rng(6)
+    for _ in range(40):
+        many, base = int(rng.integers(2, 14)), rng.integers(0, 2**63, 200).astype(np.uint64)
+        sets = [np.unique(np.concatenate([base[: rng.integers(60, 150)], rng.integers(0, 2**63, rng.integers(0, 20)).astype(np.uint64)])) for _ in range(many)]
+        sketch = np.array([ngram_join.dense_sketches(x, np.array([len(x)]))[0].as_py() for x in sets] + [None], object)[:-1]
+        component, size = rng.integers(0, many, many), np.array(list(map(len, sets)))
+
+        def joined(pairs):
+            group = component.tolist()
+            for x, y in pairs:
+                group = [group[x] if g == group[y] else g for g in group]
+            return {frozenset(np.flatnonzero(np.array(group) == g).tolist()) for g in group}
+
+        possible = [(x, y) for x in range(many) for y in range(x) if 100 * min(size[x], size[y]) >= 80 * max(size[x], size[y]) and ngram_join.hamming(sketch[x], sketch[y]) <= 20 * (size[x] + size[y]) // 180]
+        pairs = ngram_join.forest(component, size, sketch, 80)
+        assert len(pairs) == len(set(component)) - len(joined(pairs)) and joined(pairs) == joined(possible)
