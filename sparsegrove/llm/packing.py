@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Memo, Words, batch, blocks, need, on_workers, prefix_hashes, range_hashes, raw, spread
+from .common import Memo, Words, batch, blocks, need, on_workers, prefix_hashes, range_hashes, raw, shared_checkpoint, spread
 
 CAPACITY = 4096
 SEPARATOR = 1
@@ -244,12 +244,10 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, open_bins: int = OPEN_BINS
     return dealt.mapInArrow(on_workers(__name__, "pack_batches", capacity, open_bins), out)
 
 
-def packers_for(documents: DataFrame) -> int:
-    """One packer for each ``PIECES_PER_PACKER`` documents; counting reads no text."""
-    return max(1, -(-documents.count() // PIECES_PER_PACKER))
-
-
 def pack_documents(documents: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, separator: int = SEPARATOR, open_bins: int = OPEN_BINS, with_ids: bool = False) -> DataFrame:
-    """Every document's pieces with their sequences; see the module's text for nulls, ties and empty tables."""
-    pieces = token_pieces(documents, tokenizer_path, capacity, separator, with_ids)
-    return pack(pieces, capacity, open_bins, packers_for(documents))
+    """Every document's pieces with their sequences; see the module's text for nulls, ties and empty tables.
+
+    The pieces are checkpointed, so texts are tokenised once and the packers follow from the pieces counted.
+    """
+    pieces = shared_checkpoint(token_pieces(documents, tokenizer_path, capacity, separator, with_ids))
+    return pack(pieces, capacity, open_bins, max(1, -(-pieces.count() // PIECES_PER_PACKER)))
