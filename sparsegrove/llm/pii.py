@@ -85,7 +85,7 @@ def base_spans(text: str) -> dict[str, list[tuple[int, int]]]:
 
 def shape(word: str) -> str:
     out = []
-    for c in word[:24]:
+    for c in word:
         kind = "9" if "0" <= c <= "9" else "x" if c.islower() else "X" if c.isupper() else "x" if c.isalpha() else c
         out.append(kind)
     return "".join(out)
@@ -216,7 +216,27 @@ def valid(kind: str, text: str) -> bool:
     if kind == "ip":
         parts = re.findall(r"[0-9]+", text)
         return len(parts) in (4, 5) and not re.search(r"[^0-9.:\[\] ]", text) and all(len(x) <= 3 and int(x) <= 255 for x in parts[:4])
-    return bool(re.fullmatch(r"[A-Za-z0-9._%+-]+\s*(?:@|[\[({<]at[\])}>]|at)\s*[A-Za-z0-9-]+(?:\s*(?:\.|[\[({<]dot[\])}>]|dot)\s*[A-Za-z0-9-]+)+", text, re.I)) and ("@" in text or bool(re.search(r"[\[({<]at|\bdot\b", text, re.I)))
+    return spelled_address(text)
+
+
+_SPELLED_AT = re.compile(r"@|[\[({<]at[\])}>]|(?<=\s)at(?=\s)", re.I)
+_SPELLED_DOT = re.compile(r"\.|[\[({<]dot[\])}>]|(?<=\s)dot(?=\s)", re.I)
+_LOCAL_PART, _LABEL = re.compile(r"[A-Za-z0-9._%+-]+"), re.compile(r"[A-Za-z0-9-]+")
+
+
+def spelled_address(text: str) -> bool:
+    """A local part, one at-sign or its spelling, and labels with a dot or its spelling between them.
+
+    The text is cut at separators first, so the time is linear in its length.  "at" between spaces counts only
+    if a dot is spelled out too.
+    """
+    parts = _SPELLED_AT.split(text)
+    if len(parts) != 2:
+        return False
+    labels = [x.strip() for x in _SPELLED_DOT.split(parts[1])]
+    if len(labels) < 2 or not _LOCAL_PART.fullmatch(parts[0].strip()) or not all(_LABEL.fullmatch(x) for x in labels):
+        return False
+    return "@" in text or bool(re.search(r"[\[({<]at|\bdot\b", text, re.I))
 
 
 class Tagger:
