@@ -17,7 +17,7 @@ or one cell's documents, and over token counts, never over texts; a hot source i
 
 The plan has one row a source.  It is broadcast if counted to be at most ``BROADCAST_SOURCES`` rows.
 
-A null source is a source of its own; null and empty texts have no tokens, and a source without tokens is
+A null source is a source of its own, apart from the empty name; null and empty texts have no tokens, and a source without tokens is
 read once.  Repeated rows of a document stay together.  An empty table gives no rows.
 """
 
@@ -36,15 +36,26 @@ SEED = "17"
 REPEATS = 4.0
 WORD = r"[^\x20\x09-\x0D]+"
 
+#: Tells the empty name from null.
+SIGN = "\x01"
+
 _NAMES = ("_source", "_tokens", "_block", "_cell", "_key")
+ADDED = ("_epoch", "_block", "_tokens", "_weight", "_order", "_key")
+
+
+def named_source(source: Column) -> Column:
+    """The name of a source: nothing for null; the empty name and names that begin with ``SIGN`` get one more of it."""
+    name = source.cast("string")
+    return F.coalesce(F.when((name == "") | name.startswith(SIGN), F.concat(F.lit(SIGN), name)).otherwise(name), F.lit(""))
 
 
 def keyed(documents: DataFrame, seed: str = SEED) -> DataFrame:
     """``documents`` with _source, _tokens, _block, _cell and _key."""
     own = {c: F.col(f"`{c}`") if c in documents.columns else F.lit(None).cast("string") for c in ("doc_id", "text", "source")}
+    documents = documents.select(*(own[c].alias(c) for c in own)) if documents.columns[-3:] != list(own) else documents
     name = F.md5(F.concat(F.lit(f"{seed}|"), F.coalesce(own["doc_id"].cast("string"), F.lit("null"))).cast("binary"))
     return documents.withColumns({
-        "_source": F.coalesce(own["source"].cast("string"), F.lit("")),
+        "_source": named_source(own["source"]),
         "_tokens": F.coalesce(F.regexp_count(own["text"].cast("string"), F.lit(WORD)), F.lit(0)).cast("long"),
         "_block": F.substring(name, 1, 2), "_cell": F.substring(name, 3, 2), "_key": F.substring(name, 5, 28),
     })
@@ -129,11 +140,17 @@ def bounded(sources: DataFrame) -> DataFrame:
 
 
 def realise(documents: DataFrame, planned: DataFrame, seed: str = SEED) -> DataFrame:
-    """``documents`` with a row for each time it is read: _epoch (from 1), _block, _tokens, _weight and _order.
+    """``documents`` with a row for each time it is read: _epoch (from 1), _block, _tokens, _weight, _order and _key.
 
-    Sorting by (_epoch, _order) gives the mixture's sequence; a hash spreads it over sources.
+    Sorting by (_epoch, _order, _key) gives the mixture's sequence; a hash spreads it over sources.  Columns of
+    ``documents`` that are named like the plan's stay what they are; those named like the six added ones go.
     """
-    rows = keyed(documents, seed).join(bounded(planned), "_source")
+    own = [c for c in documents.columns if c not in ADDED]
+    inner = [f"_column_{k}" for k in range(len(own))]
+    taken = {c.lower(): k for k, c in enumerate(own)}
+    plain = documents.select(*(F.col(f"`{c}`").alias(k) for c, k in zip(own, inner)))
+    plain = plain.withColumns({c: F.col(inner[taken[c]]) if c in taken else F.lit(None).cast("string") for c in ("doc_id", "text", "source")})
+    rows = keyed(plain, seed).join(bounded(planned), "_source")
     epoch = F.col("whole") + 1
     key = order_key(F.col("_source"), epoch, F.col("_block"), seed)
     cell_key = order_key(F.col("_source"), epoch, F.concat(F.lit("cell"), F.col("_cell")), seed)
@@ -143,7 +160,8 @@ def realise(documents: DataFrame, planned: DataFrame, seed: str = SEED) -> DataF
     partial = (F.col("rest") > 0) & F.coalesce((key < F.col("block_key")) | in_block, F.lit(False))
     times = F.col("whole") + F.when(partial, 1).otherwise(0)
     copies = rows.withColumn("_times", times).where("_times > 0").withColumn("_epoch", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_times"))))
-    return copies.withColumns({"_order": order_key(F.col("_source"), F.col("_epoch"), F.col("_block"), seed), "_weight": F.col("weight")}).select(*documents.columns, "_epoch", "_block", "_tokens", "_weight", "_order")
+    copies = copies.withColumns({"_order": order_key(F.col("_source"), F.col("_epoch"), F.col("_block"), seed), "_weight": F.col("weight")})
+    return copies.select(*(F.col(k).alias(c) for c, k in zip(own, inner)), *ADDED)
 
 
 def mix_sources(documents: DataFrame, entropy: float | None = None, repeats: float | None = REPEATS, budget: float | None = None, seed: str = SEED) -> DataFrame:
@@ -157,7 +175,7 @@ def oracle(repeats: float = REPEATS, seed: str = SEED) -> str:
     There the exponent has a closed form: the smallest source is repeated (largest / smallest) ** (1 - a) times.
     """
     return f"""
-WITH d AS (SELECT doc_id, source, coalesce(source, '') AS s, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS tokens, md5('{seed}|' || coalesce(CAST(doc_id AS VARCHAR), 'null')) AS h FROM documents),
+WITH d AS (SELECT doc_id, source, coalesce(CASE WHEN source = '' OR starts_with(source, chr(1)) THEN chr(1) || source ELSE source END, '') AS s, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS tokens, md5('{seed}|' || coalesce(CAST(doc_id AS VARCHAR), 'null')) AS h FROM documents),
 docs AS (SELECT doc_id, source, s, tokens, substr(h, 1, 2) AS block, substr(h, 3, 2) AS cell, substr(h, 5, 28) AS key FROM d),
 sources AS (SELECT s, CAST(sum(tokens) AS BIGINT) AS t FROM docs GROUP BY s),
 e AS (SELECT CASE WHEN max(t) = min(t) THEN 0.0 ELSE greatest(0.0, 1 - ln({repeats}) / ln(CAST(max(t) AS DOUBLE) / min(t))) END AS a, CAST(max(t) AS DOUBLE) AS top, CAST(sum(t) AS DOUBLE) AS total FROM sources WHERE t > 0),
