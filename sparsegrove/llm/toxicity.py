@@ -9,9 +9,11 @@ others, those with the smallest hashes of their ids):
    hashed lower-cased word, its prefixes, suffix and shape.
 3. A logistic curve over the strongest marginal and the sum of the strong ones is fitted on the documents.
 
-Decoding: tokens whose emission favours "not toxic" by ``SURE`` nats or more are fixed so.  That splits the
-chain exactly at them, so forward-backward runs over the few, short runs between.  The score of a document
-grows with its marginals; the spans are the runs of tokens more likely toxic than not, in code points.
+Decoding: a token's odds of being toxic are at most those of its emission times the most that any two
+neighbours' transitions can add.  Tokens that can't reach ``LEAST`` so are fixed as not toxic; that splits the
+chain at them, so forward-backward runs over the few, short runs between.  The score takes no marginal below
+``LEAST`` into account, and the runs' own marginals move by no more than that.  The score of a document grows
+with its marginals; the spans are the runs of tokens more likely toxic than not, in code points.
 
 Labels, language, source and id never enter a score.  Null and empty texts get the score of a document
 without any suspicious token.  Without a toxic (or clean) label the score is the sample's share of toxic rows.
@@ -26,14 +28,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Memo, Words, batch, blocks, lowered, mix, need, on_workers, prefix_hashes, range_hashes, raw
+from .common import Memo, Words, batch, blocks, lowered, mix, need, on_workers, prefix_hashes, range_hashes, raw, shared_checkpoint
 from .crf import Chain, by_size, padded
 
 TOXIC_ROWS, CLEAN_ROWS = 1500, 2500
+#: Of the sample: windows around at most so many toxic tokens, and around as many others or three times the toxic ones.
+TOXIC_TOKENS = 4000
+#: Bytes of text that a sample of labelled rows holds at most; rows beyond go, those of the largest hashes first.
+SAMPLE_BYTES = 32 << 20
 BITS = 18
 PREFIXES = (3, 4, 5, 6)
-#: A token fixed as not toxic: its emissions differ by so much.
-SURE = 3.0
+#: Marginals below it count as it.
+LEAST = 1e-4
 WINDOW = 5
 #: Words whose emissions a Python worker remembers (about 40 bytes each).
 REMEMBERED = 1_000_000
@@ -51,11 +57,13 @@ class Tokens:
         letter = np.ones(256, np.bool_)
         letter[:48] = letter[58:65] = letter[91:97] = letter[123:128] = False
         solid = letter[data]
-        for _ in range(4):
-            move = (start < end - 1) & ~solid[np.minimum(start, max(len(data) - 1, 0))] if len(start) else start < end
-            start = start + move
-            move = (end - 1 > start) & ~solid[np.maximum(end - 1, 0)] if len(start) else start < end
-            end = end - move
+        if len(start):
+            # the first and the last solid byte of each word; a word without one stays its last or first byte
+            at = np.flatnonzero(solid)
+            ahead = np.append(at, len(data))[np.searchsorted(at, start)]
+            start = np.minimum(ahead, end - 1)
+            behind = np.append(-1, at)[np.searchsorted(at, end)]
+            end = np.maximum(behind, start) + 1
         self.start, self.end, self.doc = start, end, self.words.doc
 
     def names(self, rows=slice(None)) -> Iterator[np.ndarray]:
@@ -111,12 +119,19 @@ class Toxicity:
             entry[missing] = self.memo.find(names[missing])
         return self.known[entry]
 
+    def margin(self) -> float:
+        """The difference of emissions up to which a token's marginal is below ``LEAST`` whatever its neighbours are."""
+        chain = self.chain
+        before = np.append(chain.step[:, 1] - chain.step[:, 0], chain.begin[1] - chain.begin[0]).max()
+        after = np.append(chain.step[1] - chain.step[0], chain.end[1] - chain.end[0]).max()
+        return float(np.log(LEAST) - before - after)
+
     def marginals(self, tokens: Tokens) -> np.ndarray:
         out = np.zeros(len(tokens.start))
         if self.chain is None or not len(out):
             return out
         emit = self.emissions(tokens)
-        unsure = emit[:, 1] - emit[:, 0] > -SURE
+        unsure = emit[:, 1] - emit[:, 0] > self.margin()
         at = np.flatnonzero(unsure)
         if not len(at):
             return out
@@ -144,8 +159,8 @@ class Toxicity:
 
     def summary(self, p: np.ndarray, doc: np.ndarray, n_docs: int) -> tuple[np.ndarray, np.ndarray]:
         """Of each document the strongest marginal (as a clipped logit) and the log of the sum of the strong ones."""
-        top = np.full(n_docs, 1e-4)
-        np.maximum.at(top, doc, np.clip(p, 1e-4, 1 - 1e-4))
+        top = np.full(n_docs, LEAST)
+        np.maximum.at(top, doc, np.clip(p, LEAST, 1 - LEAST))
         strong = np.bincount(doc, weights=p * (p > 0.5), minlength=n_docs)
         return np.log(top / (1 - top)), np.log1p(strong)
 
@@ -207,8 +222,8 @@ def learn(texts: pa.Array, toxic: np.ndarray, seed: int = 0) -> Toxicity:
     random = np.random.default_rng(seed)
     centres = np.flatnonzero(gold)
     clean = np.flatnonzero(~toxic[tokens.doc])
-    centres = random.permutation(centres)[:4000]
-    others = random.permutation(clean)[: max(4000, 3 * len(centres))] if len(clean) else clean
+    centres = random.permutation(centres)[:TOXIC_TOKENS]
+    others = random.permutation(clean)[: max(TOXIC_TOKENS, 3 * len(centres))] if len(clean) else clean
     chain = Chain(1 << BITS, 2)
     first = tokens.words.first
     for c in (centres, others):
@@ -255,7 +270,8 @@ def training_rows(documents: DataFrame, labels: DataFrame, label: str, keep, mos
     """(doc_id, text, label) of at most ``most[v]`` labelled documents of each value v, by the hash of their ids.
 
     ``keep``: a condition on doc_id.  Only ids travel before the limit; the join broadcasts at most the sum
-    of ``most`` ids.
+    of ``most`` ids.  An id of several rows gives one, its smallest text; the rows with the smallest hashes stay
+    while their texts hold at most ``SAMPLE_BYTES``.
     """
     ids = need(labels, doc_id="long", **{label: "int"}).where(F.col("doc_id").isNotNull()).where(keep)
     ids = ids.groupBy("doc_id").agg(F.max(label).alias(label))  # a repeated label counts once
@@ -264,8 +280,13 @@ def training_rows(documents: DataFrame, labels: DataFrame, label: str, keep, mos
     for p in parts[1:]:
         chosen = chosen.unionAll(p)
     texts = need(documents, doc_id="long", text="string")
-    rows = texts.join(F.broadcast(chosen), "doc_id").select("doc_id", F.coalesce("text", F.lit("")).alias("text"), label).toArrow()
-    return rows.sort_by([("doc_id", "ascending"), ("text", "ascending")])
+    found = texts.join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.coalesce(F.min("text"), F.lit("")).alias("text"), F.first(label).alias(label))
+    found = shared_checkpoint(found)
+    sizes = found.select("doc_id", F.octet_length("text").cast("long").alias("n"), F.xxhash64("doc_id", F.lit(7)).alias("h")).toArrow().sort_by([("h", "ascending"), ("doc_id", "ascending")])
+    inside = np.cumsum(sizes["n"].to_numpy()) <= SAMPLE_BYTES
+    if not inside.all():
+        found = found.where(F.col("doc_id").isin(sizes["doc_id"].to_numpy()[inside].tolist()))
+    return found.select("doc_id", "text", label).toArrow().sort_by([("doc_id", "ascending")])
 
 
 def held_out(of: int, remainder: int):
