@@ -14,7 +14,12 @@ Decoding takes the best labelling of the whole tree under pass -> pass, main, ot
 other -> other: nothing is main below boilerplate, and main text isn't undecided again.  The text directly in
 a main node is a block of output.
 
-Null and empty html gives an empty text.  Each page is handled by itself; nothing is cut or capped.
+Character references are decoded piece by piece, so signs on either side of a tag never make one.  White space
+is what Python's ``str.split`` takes for it, no-break and ideographic spaces included.
+
+Null and empty html gives an empty text.  Each page is handled by itself, so ties, repeated rows and further
+columns make no difference; nothing is cut or capped.  An unclosed script, style, textarea, title or iframe hides
+what follows, as in browsers; other unclosed elements hide nothing.
 """
 
 from __future__ import annotations
@@ -35,12 +40,15 @@ PASS, MAIN, OTHER = range(3)
 INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark nobr q rp rt ruby s samp small span strike strong sub sup time tt u var wbr input center picture source".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 UNSEEN = frozenset("script style noscript template svg iframe head title object canvas math audio video select textarea button map".split())
+#: Of these, what an unclosed one hides up to the end; an unclosed one of the others hides nothing.
+RAW = frozenset("script style textarea title iframe".split())
 #: What an opening tag closes, if it is open in the nearest scope.
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 ENDS_PARAGRAPH = frozenset("address article aside blockquote details div dl fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section table ul".split())
 SCOPE = frozenset("ul ol dl table tbody thead tfoot div section article main body html nav aside header footer blockquote form figure".split())
 #: Elements whose end tag closes blocks inside them; a stray inline end tag closes nothing.
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)|<[!?][^>]*(?:>|\Z)", re.S)
+#: A quote opens a value only where a value begins; one that never closes is a sign like any other.
+_TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[\s/=]++|[^\s/>=]++(?:\s*+=\s*+(?:"[^"]*+"|'[^']*+'|[^\s>]*+))?+)*+)(?:>|\Z)|<[!?][^>]*(?:>|\Z)""", re.S)
 _ATTRIBUTE = re.compile(r"([a-zA-Z_:][-\w:.]*)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 _PIECE = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])|[0-9]+")
 
@@ -96,6 +104,7 @@ def parse(html: str) -> list[Node]:
     nodes, at, node, at_end = [root], 0, root, len(html)
     links = 0  # open links
     stack = [root]
+    unclosed: set[str] = set()  # tags without an end from here on
     for m in _TOKEN.finditer(html):
         if m.start() < at:
             continue
@@ -122,8 +131,13 @@ def parse(html: str) -> list[Node]:
             continue
         if tag in UNSEEN:
             if not m[0].endswith("/>"):  # all up to its end tag is unseen, or up to the body for an open head
-                end = re.compile(rf"</{tag}\s*>" + ("|(?=<body)" if tag in ("head", "title") else ""), re.I).search(html, at)
-                at = end.end() if end else at_end
+                end = None if tag in unclosed else re.compile(rf"</{tag}\s*>" + ("|(?=<body)" if tag in ("head", "title") else ""), re.I).search(html, at)
+                if end:
+                    at = end.end()
+                elif tag in RAW:
+                    at = at_end
+                else:
+                    unclosed.add(tag)
             continue
         if tag in INLINE:
             if tag == "a":
@@ -239,7 +253,7 @@ def main_text(nodes: list[Node], state: list[int]) -> str:
 
     def flush(pieces: list[str]) -> None:
         if pieces:
-            block = " ".join(unescape("".join(pieces)).split())
+            block = " ".join("".join(map(unescape, pieces)).split())
             if block:
                 out.append(block)
             pieces.clear()
