@@ -313,3 +313,64 @@ def test_forests_of_many_buckets():
                 if r[2] != q[2] and 100 * min(r[3], q[3]) >= 80 * max(r[3], q[3]) and ngram_join.hamming(r[4], q[4]) <= 20 * (r[3] + q[3]) // 180:
                     assert group[r[1]] == group[q[1]]
                     assert {a for m, a, b in got if m and b == r[1]} & {a for m, a, b in got if m and b == q[1]}
+
+
+def test_mixing_keeps_clashing_columns_and_tells_null_from_empty(spark):
+    rows = [(k, "a b c", (None, "", "x")[k % 3], k, -k) for k in range(90)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, weight long, whole int")
+    mixed = mixing.mix_sources(df, repeats=1.0)
+    assert mixed.columns[:5] == df.columns
+    got = mixed.collect()
+    assert sorted((r["doc_id"], r["weight"], r["whole"]) for r in got) == sorted((k, k, -k) for k, *_ in rows)
+    assert mixing.plan(df).count() == 3 and mixing.mix_sources(df.select("text", "weight")).count() == 90
+
+
+def test_personal_data_in_crafted_and_odd_texts():
+    import time
+
+    assert pii.valid("email", "ann [at] example [dot] org") and pii.valid("email", "ann @ mail.example.org") and pii.valid("email", "a.b at c dot de")
+    assert not pii.valid("email", "ann at example.org") and not pii.valid("email", "a [at] b [at] c dot d") and not pii.valid("email", "ann [at] org")
+    began = time.time()
+    tagger = pii.Tagger(pii.learn())
+    pii.found([f"mail ann [at] b{'dotb' * 5000}_ now", "9" * 50_000, "@" * 20_000, "x@" * 5_000], tagger)
+    assert time.time() - began < 20
+
+
+def test_words_between_any_number_of_signs():
+    own = pa.array(["*****vile!!!!!!", "vile", "------", "a", ""])
+    tokens = toxicity.Tokens(*toxicity.raw(own))
+    assert len(set(tokens.own()[:2].tolist())) == 1 and len(tokens.start) == 4 and (tokens.end > tokens.start).all()
+
+
+def test_a_sample_of_labelled_rows_is_bounded(spark, monkeypatch):
+    rows = [(7, "x" * 100)] * 500 + [(k, "y" * 100) for k in range(100, 140)]
+    df, labels = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(k, 0) for k in (7, *range(100, 140))], "doc_id long, toxic int")
+    got = toxicity.training_rows(df, labels, "toxic", toxicity.F.lit(True), {1: 50, 0: 50})
+    assert got.num_rows == 41
+    monkeypatch.setattr(toxicity, "SAMPLE_BYTES", 1000)
+    assert toxicity.training_rows(df, labels, "toxic", toxicity.F.lit(True), {1: 50, 0: 50}).num_rows == 10
+
+
+def test_toxic_marginals_against_the_whole_chain():
+    r = np.random.default_rng(9)
+    words = [w + str(k) for w in WORDS for k in range(30)]
+    own = [" ".join(r.choice(words, 40).tolist() + (["vile beast", "foul rot"][k % 2].split() if k % 4 == 0 else [])) for k in range(200)]
+    model = toxicity.learn(pa.array(own), np.array([k % 4 == 0 for k in range(200)]))
+    tokens = toxicity.Tokens(*toxicity.raw(pa.array(own)))
+    index, live = crf.padded(tokens.words.counts)
+    whole = model.chain.marginals(model.emissions(tokens)[index].astype(float), live)[..., 1]
+    got = model.marginals(tokens)
+    assert np.abs(got - whole[live]).max() < 2e-3 and (got > 0.5).sum() > 50
+    assert model.margin() < 0
+
+
+@pytest.mark.parametrize("html, text", [
+    ("<article><p title=it's>One two, three.</p><p>Four five.</p></article>", "One two, three.\n\nFour five."),
+    ('<article><p>One two, three.</p><button>x<p>Four five.</p></article>', "One two, three.\n\nxFour five."),
+    ("<article><p>One &<b>amp;</b> two</p></article>", "One &amp; two"),
+    ('<article><p class="a" data-x=\'b"c\'>One &lt;two&gt;</p><object><p>Four</p></article>', "One <two>\n\nFour"),
+])
+def test_broken_markup_loses_nothing(html, text):
+    nodes = html_extract.parse(html)
+    got = html_extract.main_text(nodes, [html_extract.MAIN] * len(nodes))
+    assert got.replace("\n", "").replace(" ", "") == text.replace("\n", "").replace(" ", "")
