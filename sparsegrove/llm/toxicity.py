@@ -9,11 +9,12 @@ others, those with the smallest hashes of their ids):
    hashed lower-cased word, its prefixes, suffix and shape.
 3. A logistic curve over the strongest marginal and the sum of the strong ones is fitted on the documents.
 
-Decoding: a token's odds of being toxic are at most those of its emission times the most that any two
-neighbours' transitions can add.  Tokens that can't reach ``LEAST`` so are fixed as not toxic; that splits the
-chain at them, so forward-backward runs over the few, short runs between.  The score takes no marginal below
-``LEAST`` into account, and the runs' own marginals move by no more than that.  The score of a document grows
-with its marginals; the spans are the runs of tokens more likely toxic than not, in code points.
+Decoding: marginals by forward and backward messages, of all tokens of a block at once.  With two labels a message
+is one number, the log odds, and passing it on shrinks any difference between two messages by a factor below 1
+that the transitions give.  So every message starts from nought and is passed on until what the start may have
+left is below ``TOLERANCE`` (or through the longest text, which is the plain recursion): marginals are those of
+the whole chain but for that.  The score of a document grows with its marginals; the spans are the runs of tokens
+more likely toxic than not, in code points.
 
 Labels, language, source and id never enter a score.  Null and empty texts get the score of a document
 without any suspicious token.  Without a toxic (or clean) label the score is the sample's share of toxic rows.
@@ -29,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import Memo, Words, batch, blocks, lowered, mix, need, on_workers, prefix_hashes, range_hashes, raw, shared_checkpoint
-from .crf import Chain, by_size, padded
+from .crf import Chain
 
 TOXIC_ROWS, CLEAN_ROWS = 1500, 2500
 #: Of the sample: windows around at most so many toxic tokens, and around as many others or three times the toxic ones.
@@ -40,6 +41,8 @@ BITS = 18
 PREFIXES = (3, 4, 5, 6)
 #: Marginals below it count as it.
 LEAST = 1e-4
+#: Of log odds: what an unfinished message may be off by.
+TOLERANCE = 1e-5
 WINDOW = 5
 #: Words whose emissions a Python worker remembers (about 40 bytes each).
 REMEMBERED = 1_000_000
@@ -119,42 +122,35 @@ class Toxicity:
             entry[missing] = self.memo.find(names[missing])
         return self.known[entry]
 
-    def margin(self) -> float:
-        """The difference of emissions up to which a token's marginal is below ``LEAST`` whatever its neighbours are."""
-        chain = self.chain
-        before = np.append(chain.step[:, 1] - chain.step[:, 0], chain.begin[1] - chain.begin[0]).max()
-        after = np.append(chain.step[1] - chain.step[0], chain.end[1] - chain.end[0]).max()
-        return float(np.log(LEAST) - before - after)
-
     def marginals(self, tokens: Tokens) -> np.ndarray:
-        out = np.zeros(len(tokens.start))
-        if self.chain is None or not len(out):
-            return out
-        emit = self.emissions(tokens)
-        unsure = emit[:, 1] - emit[:, 0] > self.margin()
-        at = np.flatnonzero(unsure)
-        if not len(at):
-            return out
-        # a chain breaks at a text's end and at a token that is fixed
-        new = np.ones(len(at), np.bool_)
-        new[1:] = (np.diff(at) > 1) | (tokens.doc[at[1:]] != tokens.doc[at[:-1]])
-        starts = np.flatnonzero(new)
-        sizes = np.diff(np.append(starts, len(at)))
-        first, last = at[starts], at[np.append(starts[1:], len(at)) - 1]
-        base = tokens.words.first
-        opens = first == base[tokens.doc[first]]
-        closes = last + 1 == base[tokens.doc[last] + 1]
-        chain = self.chain
-        for rows in by_size(sizes):
-            index, live = padded(sizes[rows])
-            index = at[index - (np.cumsum(sizes[rows]) - sizes[rows])[:, None] * live + starts[rows][:, None] * live]
-            e = emit[index].astype(np.float64)
-            # the neighbours are "not toxic": their transitions stand in for the chain's own ends
-            e[:, 0] += np.where(opens[rows, None], 0.0, chain.step[0] - chain.begin)
-            tail = sizes[rows] - 1
-            e[np.arange(len(rows)), tail] += np.where(closes[rows, None], 0.0, chain.step[:, 0] - chain.end)
-            p = chain.marginals(e, live)[..., 1]
-            out[index[live]] = p[live]
+        """Of each token the chance of being toxic, given its whole text."""
+        if self.chain is None or not len(tokens.start):
+            return np.zeros(len(tokens.start))
+        emit, chain, first = self.emissions(tokens), self.chain, tokens.words.first
+        odds = (emit[:, 1] - emit[:, 0]).astype(np.float32)
+        opens = first[:-1][np.diff(first) > 0]
+        closes = first[1:][np.diff(first) > 0] - 1
+        longest = int(tokens.words.counts.max())
+        forth = self.messages(odds, chain.step, opens, chain.begin[1] - chain.begin[0], longest)
+        back = self.messages(odds[::-1], chain.step.T, len(odds) - 1 - closes, chain.end[1] - chain.end[0], longest)[::-1]
+        return 1 / (1 + np.exp(-(odds + forth + back).astype(np.float64)))
+
+    @staticmethod
+    def messages(odds: np.ndarray, step: np.ndarray, opens: np.ndarray, begin: float, longest: int) -> np.ndarray:
+        """The log odds that each token gets from the tokens before it."""
+        turn = abs(float(step[0, 0] + step[1, 1] - step[0, 1] - step[1, 0]))  # how far apart two messages can be
+        shrink = float(np.tanh(turn / 4))
+        rounds = longest if shrink >= 1 else int(np.ceil(np.log(TOLERANCE / max(turn, TOLERANCE)) / np.log(max(shrink, 1e-9)))) + 1
+        low = float(step[0, 1] - step[0, 0])
+        # with f the odds of the last token: log((s01 + s11 f) / (s00 + s10 f))
+        up, down = np.float32(step[1, 1] - step[0, 1]), np.float32(step[1, 0] - step[0, 0])
+        out = np.zeros(len(odds), np.float32)
+        out[opens] = begin
+        for _ in range(min(rounds, longest)):
+            f = odds + out
+            new = np.float32(low) + np.logaddexp(np.float32(0), f + up) - np.logaddexp(np.float32(0), f + down)
+            out[1:] = new[:-1]
+            out[opens] = begin
         return out
 
     def summary(self, p: np.ndarray, doc: np.ndarray, n_docs: int) -> tuple[np.ndarray, np.ndarray]:

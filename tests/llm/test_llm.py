@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from sparsegrove.llm import crf, html_extract, mixing, ngram_join, packing, pii, quality_rules, topk, toxicity, url_filter
+from sparsegrove.llm import crf, html_extract, mixing, ngram_join, packing, pii, quality_fm, quality_rules, topk, toxicity, url_filter
 from sparsegrove.llm.queries import tokenizer_path
 
 WORDS = "alpha beta gamma delta epsilon zeta eta theta iota kappa".split()
@@ -360,8 +360,10 @@ def test_toxic_marginals_against_the_whole_chain():
     index, live = crf.padded(tokens.words.counts)
     whole = model.chain.marginals(model.emissions(tokens)[index].astype(float), live)[..., 1]
     got = model.marginals(tokens)
-    assert np.abs(got - whole[live]).max() < 2e-3 and (got > 0.5).sum() > 50
-    assert model.margin() < 0
+    assert np.abs(got - whole[live]).max() < 1e-4 and (got > 0.5).sum() > 50
+    model.chain.step = np.array([[4.0, -4.0], [-4.0, 4.0]])  # a chain with a long memory
+    whole = model.chain.marginals(model.emissions(tokens)[index].astype(float), live)[..., 1]
+    assert np.abs(model.marginals(tokens) - whole[live]).max() < 1e-4
 
 
 @pytest.mark.parametrize("html, text", [
@@ -374,3 +376,83 @@ def test_broken_markup_loses_nothing(html, text):
     nodes = html_extract.parse(html)
     got = html_extract.main_text(nodes, [html_extract.MAIN] * len(nodes))
     assert got.replace("\n", "").replace(" ", "") == text.replace("\n", "").replace(" ", "")
+
+
+def test_certified_cutoffs_keep_their_promise(spark):
+    r = np.random.default_rng(10)
+    n, rows, labels = 4000, [], []
+    for k in range(n):
+        good = k % 4 > 0
+        words = [f"{WORDS[r.integers(10)]}{r.integers(400)}" for _ in range(int(r.integers(60, 150)))]
+        for i in r.choice(len(words), len(words) // (50 if good else 3), replace=False):
+            words[i] += "!"
+        rows.append((k, " ".join(words)))
+        labels.append((k, int(good)))
+    df, marks = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, quality int")
+    found = quality_rules.shared_checkpoint(quality_rules.text_statistics(df))
+    cutoffs = quality_rules.fit_cutoffs(found, marks)
+    assert (0, "bang_share") in cutoffs
+    got = {x["doc_id"]: x for x in quality_rules.judge(found, cutoffs).collect()}
+    lost = np.mean([not got[k]["kept"] for k in range(n) if k % 4])
+    caught = np.mean([not got[k]["kept"] for k in range(n) if not k % 4])
+    assert lost <= quality_rules.LIMIT and caught > 0.95
+    # the verdict by hand
+    for k in range(0, n, 37):
+        own = [c for (s, c), v in sorted(cutoffs.items()) if s == (0 if got[k]["n_words"] <= 200 else 1) and got[k][c] > v]
+        assert got[k]["failed_rules"] == ",".join(own) and got[k]["kept"] == (not own and not got[k]["base_failed"])
+    # the joint loss by hand, step by step
+    steps = {0: [("bang_share", 500), ("upper_share", 300), ("bang_share", 200)]}
+    some = found.withColumn("stratum", quality_rules.stratum()).withColumn("step", quality_rules.first_step(steps)).collect()
+    for x in some[:500]:
+        hits = [i for i, (rule, c) in enumerate(steps[0]) if x["stratum"] == 0 and x[rule] > c]
+        assert x["step"] == (hits[0] if hits else None)
+    assert quality_rules.fit_cutoffs(found.where("doc_id < 400"), marks) == {}
+
+
+def test_certified_stops_at_the_first_step_that_fails():
+    steps = [("bang_share", 500), ("upper_share", 300), ("bang_share", 200), ("pipe_share", 100)]
+    assert quality_rules.certified(steps, {}, 407, 0.01, 0.05 / 3) == {}
+    assert quality_rules.certified(steps, {}, 408, 0.01, 0.05 / 3) == {"bang_share": 200, "upper_share": 300, "pipe_share": 100}
+    assert quality_rules.certified(steps, {2: 40}, 2000, 0.01, 0.05 / 3) == {"bang_share": 500, "upper_share": 300}
+
+
+def test_factorisation_machine_against_explicit_pairs(spark):
+    r = np.random.default_rng(11)
+    machine = quality_fm.Machine(1)
+    machine.bias, machine.w = 0.3, r.normal(0, 0.2, machine.w.shape)
+    machine.v = r.normal(0, 0.2, machine.v.shape)
+    own = ["one two three two", "", "A | B $ 12\nline", "é " * 50]
+    block = quality_fm.features(*quality_fm.raw(pa.array(own)))
+    index, value, doc, n = block
+    got = machine.scores(*block)
+    for k in range(n):
+        at = np.flatnonzero(doc == k)
+        total = machine.bias + sum(machine.w[index[a]] * value[a] for a in at)
+        total += sum(float(machine.v[index[a]] @ machine.v[index[b]]) * value[a] * value[b] for i, a in enumerate(at) for b in at[:i])
+        assert abs(got[k] - 1 / (1 + math.exp(-total))) < 1e-9
+    good = [" ".join(r.choice(WORDS, 40)) + "." for _ in range(120)]
+    bad = ["BUY!!! $$ " + " ".join(r.choice(WORDS[:3], 30)) for _ in range(120)]
+    df = documents(spark, [*good, *bad, None, ""])
+    labels = spark.createDataFrame([(k, int(k < 120)) for k in range(240)], "doc_id long, quality int")
+    fitted = quality_fm.fit(df, labels, ~toxicity.held_out(4, 2))
+    scores = {x["doc_id"]: x["score"] for x in quality_fm.score(df, fitted).collect()}
+    assert np.mean([(scores[k] >= 0.5) == (k < 120) for k in range(240)]) > 0.97 and 0 <= scores[240] == scores[241] <= 1
+    kept = quality_fm.keep_good(df, fitted, 0.7)
+    assert kept.columns == df.columns and {x["doc_id"] for x in kept.collect()} == {k for k, s in scores.items() if s >= 0.7}
+    assert quality_fm.keep_good(df.limit(0), fitted, 0.7).count() == 0
+    assert set(x["score"] for x in quality_fm.score(df, quality_fm.fit(df, labels.limit(0))).collect()) == {0.5}
+
+
+def test_extraction_of_labelled_pages(trees, spark):
+    pages = html_extract.training_pages(120, seed=77)
+    right = []
+    for page in pages:
+        plain = re.sub(r' x="[mo]"', "", page)
+        nodes = html_extract.parse(plain)
+        marks = [None] + [m[2] for m in html_extract._MARK.finditer(re.sub(r"<head>.*?</head>|<!DOCTYPE[^>]*>|<html>", "", page)) if m[1] not in html_extract.INLINE and m[1] not in html_extract.UNSEEN]
+        truth = html_extract.labels_of(nodes, marks[: len(nodes)] + [None] * (len(nodes) - len(marks)))
+        right.append(html_extract.extract([plain], trees)[0] == html_extract.main_text(nodes, truth))
+    assert np.mean(right) > 0.9
+    df = spark.createDataFrame([(k, f"u{k}", p, "x") for k, p in enumerate([*pages[:3], None, "", pages[0]])], "page_id long, url string, html string, text string")
+    got = {x["page_id"]: x for x in html_extract.extract_pages(df, trees).collect()}
+    assert got[3]["text"] == got[4]["text"] == "" and got[0]["text"] == got[5]["text"] and got[0]["n_chars"] == len(got[0]["text"])
