@@ -1,25 +1,32 @@
 """Quality rules whose cutoffs are chosen under a guarantee: few good documents are rejected.
 
 ``text_statistics`` computes word and line statistics of whole texts in numpy.  Each rule rejects a document
-whose statistic exceeds a cutoff.  The cutoffs are not set by hand: for each stratum (by number of words) and
-rule, the labelled documents of good quality are the holdout; going from the mildest cutoff to stricter ones
-(fixed-sequence testing), a cutoff is certified while the exact one-sided binomial (Clopper-Pearson) upper
-bound on the share of good documents that it rejects stays under the rule's part of the stratum's limit.  The
-error probability is split over all strata and rules (Bonferroni), and the limit over the rules, so with
-confidence 1 - delta no stratum loses more than ``limit`` of its good documents.  The strictest certified
-cutoff is used; where none is certified (few labels) the rule never rejects.
+whose statistic exceeds a cutoff.  The cutoffs are not set by hand.  For each stratum (by number of words) the
+labelled documents are split by a hash of their texts:
 
-Counts for the bounds come from all labelled documents by one aggregation; what reaches the driver is one row
-for each stratum, rule and cutoff.
+1. The design part orders the steps: a step tightens one rule to its next cutoff.  The next step is always the
+   one whose rule rejects the smallest share of the design part's good documents there (then the most bad ones).
+   Steps that reject no labelled bad document are taken together with the rule's next one that does.
+2. The holdout part tests them in that order (fixed-sequence testing).  A step is certified while the exact
+   one-sided binomial (Clopper-Pearson) upper bound on the share of good documents that all rules of the steps
+   so far reject together stays within ``limit``; the first step that isn't ends the sequence.  The order comes
+   from other documents, so a sequence needs no further correction; the strata share ``delta`` (Bonferroni).
+
+So with confidence 1 - delta no stratum loses more than ``limit`` of its good documents.  At the defaults a
+stratum needs 408 good texts in its holdout part for a first step, if none of them is rejected; with fewer its
+rules never reject.
+
+Counts come from all labelled documents by aggregations; what reaches the driver is one row for each stratum,
+rule and cutoff, and one for each stratum and step.  Copies of a text count once: they aren't independent.
 
 Null and empty texts have no words: all statistics are 0 (and base_failed holds, by n_words < 50).  Repeated
-rows are judged one by one.  Without labels no rule is certified.
+rows are judged one by one.  Columns beyond those needed are ignored.  Without labels no rule is certified.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from math import lgamma, log
+from math import exp, lgamma, log, log1p
 
 import numpy as np
 import pyarrow as pa
@@ -34,11 +41,13 @@ LIMIT, DELTA = 0.01, 0.05
 STRATA = (200, 800)
 #: Rules and their cutoffs from the mildest to the strictest: shares in thousandths of words (or characters, lines).
 CUTOFFS = tuple(range(950, 0, -25))
+#: One text in so many goes to the design part.
+DESIGN = 4
 RULES = ("symbol_share", "upper_share", "pipe_share", "repeat_share", "dup_line_share", "top_word_share", "bang_share")
 
 BASE = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
-SCHEMA = pa.schema([("doc_id", pa.int64()), *((c, pa.int64()) for c in BASE), *((c, pa.int32()) for c in RULES)])
-COLUMNS = "doc_id long, " + ", ".join(f"{c} long" for c in BASE) + ", " + ", ".join(f"{c} int" for c in RULES)
+SCHEMA = pa.schema([("doc_id", pa.int64()), *((c, pa.int64()) for c in BASE), *((c, pa.int32()) for c in RULES), ("text_name", pa.int64())])
+COLUMNS = "doc_id long, " + ", ".join(f"{c} long" for c in BASE) + ", " + ", ".join(f"{c} int" for c in RULES) + ", text_name long"
 
 
 #: Signs that count as symbols.
@@ -94,7 +103,7 @@ def statistics(data: np.ndarray, offsets: np.ndarray) -> dict[str, np.ndarray]:
         covered[twice + k] = True
     n_repeat = np.bincount(doc[covered], minlength=n_docs)
     _, same = first_seen(doc, range_hashes(lowered(data), start, end))
-    top = np.zeros(n_docs, np.int64)
+    top = np.ones(n_docs, np.int64)  # occurrences of the most frequent word; beyond the first they are repeats
     np.maximum.at(top, doc, same)
     marked = np.unique(np.searchsorted(start, np.flatnonzero(symbol), side="right") - 1)
     n_marked = np.bincount(doc[marked], minlength=n_docs)
@@ -105,7 +114,8 @@ def statistics(data: np.ndarray, offsets: np.ndarray) -> dict[str, np.ndarray]:
     return {
         "n_words": counts, "word_chars": chars, "n_symbols": n_symbols, "n_dup_lines": dup_lines, "n_repeat_words": n_repeat,
         "symbol_share": share(n_marked, counts), "upper_share": share(upper, upper + lower), "pipe_share": share(2 * pipes, counts), "repeat_share": share(n_repeat, counts),
-        "dup_line_share": share(dup_lines, n_lines), "top_word_share": share(top * (counts >= 20), counts), "bang_share": share(bangs, counts),
+        "dup_line_share": share(dup_lines, n_lines), "top_word_share": share(top - 1, counts), "bang_share": share(bangs, counts),
+        "text_name": range_hashes(data, offsets[:-1], offsets[1:], sums).view(np.int64),
     }
 
 
@@ -113,29 +123,43 @@ def statistic_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBa
     for b in batches:
         for lo, hi in blocks(b.column(1)):
             found = statistics(*raw(b.column(1).slice(lo, hi - lo)))
-            yield batch(SCHEMA, b.column(0).slice(lo, hi - lo), *(found[c].astype(np.int64) for c in BASE), *(found[c] for c in RULES))
+            yield batch(SCHEMA, b.column(0).slice(lo, hi - lo), *(found[c].astype(np.int64) for c in BASE), *(found[c] for c in RULES), found["text_name"])
 
 
 def text_statistics(documents: DataFrame) -> DataFrame:
-    """doc_id, the base counts and the rules' statistics of every whole text; no shuffle."""
+    """doc_id, the base counts, the rules' statistics and the text's 64-bit name of every whole text; no shuffle."""
     return need(documents, doc_id="long", text="string").mapInArrow(on_workers(__name__, "statistic_batches"), COLUMNS)
 
 
+def beta_below(x: float, a: float, b: float) -> float:
+    """The regularised incomplete beta function I_x(a, b), by its continued fraction (Lentz)."""
+    if x <= 0 or x >= 1:
+        return float(x >= 1)
+    if x > (a + 1) / (a + b + 2):
+        return 1 - beta_below(1 - x, b, a)
+    tiny = 1e-300
+    c, d = 1.0, 1 / max(1 - (a + b) * x / (a + 1), tiny)
+    out, m = d, 0
+    while m < 10_000:
+        m += 1
+        for top in (m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m)), -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))):
+            d = 1 + top * d
+            c = 1 + top / c
+            d, c = 1 / (d if abs(d) > tiny else tiny), c if abs(c) > tiny else tiny
+            out *= d * c
+        if abs(d * c - 1) < 1e-14:
+            break
+    return exp(lgamma(a + b) - lgamma(a) - lgamma(b) + a * log(x) + b * log1p(-x)) * out / a
+
+
 def binomial_upper(x: int, n: int, delta: float) -> float:
-    """The exact (Clopper-Pearson) upper bound: the largest p with P(at most x of n) >= delta."""
+    """The exact (Clopper-Pearson) upper bound: the largest p with P(at most x of n) >= delta, a quantile of a beta distribution."""
     if x >= n:
         return 1.0
-    choose = [lgamma(n + 1) - lgamma(k + 1) - lgamma(n - k + 1) for k in range(x + 1)]
-
-    def below(p: float) -> bool:
-        terms = [c + k * log(p) + (n - k) * log(1 - p) for k, c in enumerate(choose)]
-        most = max(terms)
-        return most + log(sum(np.exp(t - most) for t in terms)) >= log(delta)
-
     lo, hi = x / n, 1.0
-    for _ in range(50):
+    for _ in range(60):
         mid = (lo + hi) / 2
-        if mid > 0 and below(mid):
+        if beta_below(mid, x + 1, n - x) <= 1 - delta:
             lo = mid
         else:
             hi = mid
@@ -149,28 +173,77 @@ def stratum(column: str = "n_words"):
     return out
 
 
-def certified(counts: dict[tuple[int, str], tuple[int, dict[int, int]]], limit: float = LIMIT, delta: float = DELTA) -> dict[tuple[int, str], int]:
-    """The strictest certified cutoff of each (stratum, rule).
+Steps = list[tuple[str, int]]
+
 
-    counts: the number of good documents and, for each cutoff, how many of them it rejects.
+def ordered_steps(design: dict[str, dict[int, tuple[int, int]]], good: int, limit: float) -> Steps:
+    """The order of (rule, cutoff) from the design part: for each rule and cutoff how many good and bad documents it rejects.
+
+    Cutoffs that reject more than ``limit`` of the good ones by themselves are left out.
     """
-    out = {}
-    strata = len(STRATA) + 1
-    for key, (good, rejected) in counts.items():
+    ways = {}
+    for rule, counts in design.items():
+        way, last = [], 0
         for cutoff in CUTOFFS:
-            if binomial_upper(rejected.get(cutoff, 0), good, delta / (strata * len(RULES))) > limit / len(RULES):
-                break  # fixed sequence: what is stricter is not tested
-            out[key] = cutoff
+            lost, caught = counts.get(cutoff, (0, 0))
+            if lost > limit * good:
+                break
+            if caught > last:
+                way.append((lost, -caught, cutoff))
+                last = caught
+        ways[rule] = way[::-1]
+    out: Steps = []
+    while any(ways.values()):
+        rule = min((r for r in ways if ways[r]), key=lambda r: (ways[r][-1][0], ways[r][-1][1], RULES.index(r)))
+        out.append((rule, ways[rule].pop()[2]))
     return out
 
 
+def certified(steps: Steps, rejected: dict[int, int], good: int, limit: float = LIMIT, delta: float = DELTA / (len(STRATA) + 1)) -> dict[str, int]:
+    """The strictest certified cutoff of each rule of a stratum.
+
+    rejected: of the holdout's good documents, how many each step is the first to reject; good: of how many.
+    """
+    out, lost = {}, 0
+    for k, (rule, cutoff) in enumerate(steps):
+        lost += rejected.get(k, 0)
+        if not good or lost > limit * good or binomial_upper(lost, good, delta) > limit:
+            break  # what comes later is not tested
+        out[rule] = cutoff
+    return out
+
+
+def first_step(steps: dict[int, Steps]):
+    """The first step of a document's stratum that rejects it, null if none does."""
+    none = 1 << 30
+    own = []
+    for rule in RULES:
+        # a statistic x exceeds the cutoffs below it; the largest of them was reached first
+        tables = []
+        for k in range(len(STRATA) + 1):
+            at = {c: i for i, (r, c) in enumerate(steps.get(k, [])) if r == rule}
+            tables.append(F.lit([min((i for c, i in at.items() if c < x), default=none) for x in range(0, 1001)]))
+        own.append(F.element_at(F.element_at(F.array(*tables), F.col("stratum") + 1), F.least(F.greatest(F.col(rule), F.lit(0)), F.lit(1000)) + 1))
+    return F.nullif(F.least(*own), F.lit(none))
+
+
 def fit_cutoffs(statistics: DataFrame, labels: DataFrame, limit: float = LIMIT, delta: float = DELTA) -> dict[tuple[int, str], int]:
-    """Cutoffs from all documents that ``labels`` (doc_id, quality) marks as good."""
-    good = need(labels, doc_id="long", quality="int").where("quality = 1").select("doc_id").distinct()
-    rows = statistics.join(good, "doc_id", "left_semi").withColumn("stratum", stratum())
-    sums = rows.groupBy("stratum").agg(F.count(F.lit(1)).alias("good"), *(F.sum((F.col(r) > c).cast("long")).alias(f"{r}_{c}") for r in RULES for c in CUTOFFS))
-    counts = {(x["stratum"], r): (x["good"], {c: x[f"{r}_{c}"] for c in CUTOFFS}) for x in sums.collect() for r in RULES}
-    return certified(counts, limit, delta)
+    """Cutoffs (stratum, rule) from all documents that ``labels`` (doc_id, quality) marks; a text marked both ways is bad."""
+    marked = need(labels, doc_id="long", quality="int").where("quality IN (0, 1)").groupBy("doc_id").agg(F.min("quality").alias("quality"))
+    kinds = F.first("n_words").alias("n_words"), *(F.first(r).alias(r) for r in RULES)
+    rows = statistics.join(marked, "doc_id").groupBy("text_name").agg(F.min("quality").alias("quality"), *kinds)
+    rows = shared_checkpoint(rows.withColumns({"stratum": stratum(), "design": F.pmod(F.xxhash64("text_name", F.lit(11)), F.lit(DESIGN)) == 0}))
+    good = F.col("quality") == 1
+    counts = [F.struct(F.count(F.when(good & (F.col(r) > c), 1)).alias("lost"), F.count(F.when(~good & (F.col(r) > c), 1)).alias("caught")).alias(f"{r}_{c}") for r in RULES for c in CUTOFFS]
+    design = rows.where("design").groupBy("stratum").agg(F.count(F.when(good, 1)).alias("good"), *counts).collect()
+    steps = {x["stratum"]: ordered_steps({r: {c: tuple(x[f"{r}_{c}"]) for c in CUTOFFS} for r in RULES}, x["good"], limit) for x in design}
+    held = rows.where(~F.col("design") & good).groupBy("stratum", first_step(steps).alias("step")).agg(F.count(F.lit(1)).alias("n")).collect()
+    out = {}
+    for k, own in steps.items():
+        mine = {x["step"]: x["n"] for x in held if x["stratum"] == k}
+        for rule, cutoff in certified(own, mine, sum(mine.values()), limit, delta / (len(STRATA) + 1)).items():
+            out[k, rule] = cutoff
+    return out
 
 
 def judge(statistics: DataFrame, cutoffs: dict[tuple[int, str], int]) -> DataFrame:

@@ -28,7 +28,7 @@ def op2_pii_crf(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def op3_risk_controlled_rules(spark: SparkSession, folder: str) -> DataFrame:
-    return quality_rules.apply_rules(table(spark, folder, "documents"), table(spark, folder, "labels")).drop(*quality_rules.RULES)
+    return quality_rules.apply_rules(table(spark, folder, "documents"), table(spark, folder, "labels")).drop(*quality_rules.RULES, "text_name")
 
 
 def op4_toxicity_crf(spark: SparkSession, folder: str) -> DataFrame:
