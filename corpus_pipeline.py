@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from sparsegrove.llm import mixing, ngram_join, packing, pii, quality_fm, toxicity
-from sparsegrove.llm.common import shared_checkpoint, table
+from sparsegrove.llm.common import settle, shared_checkpoint, table
 from sparsegrove.llm.queries import GOOD_FROM, tokenizer_path
 
 #: The most often that a document of a small source is read more than one of the largest.
@@ -25,16 +25,19 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, folder: str) -> DataFr
 
 def personal_data(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
     """Personal data give way to the names of their kinds."""
+    settle(spark)
     return pii.redact_documents(docs)
 
 
 def source_mixture(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
     """Small sources are repeated up to ``REPEATS`` times; every document is read once at least."""
+    settle(spark)
     return mixing.mix_sources(docs, repeats=REPEATS).select(*docs.columns)
 
 
 def sequences(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
     """Pieces of documents in sequences of 4096 tokens."""
+    settle(spark)
     return packing.pack_documents(docs, tokenizer_path())
 
 

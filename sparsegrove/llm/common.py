@@ -46,6 +46,7 @@ def on_workers(module: str, function: str, *args):
         import ctypes
 
         yield from found
+        pa.default_memory_pool().release_unused()
         try:
             ctypes.CDLL(None).malloc_trim(0)
         except (AttributeError, OSError):  # another C library
@@ -84,6 +85,16 @@ def shared_checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def settle(spark: SparkSession) -> None:
+    """Let the executors collect their garbage, which gives back heap that the stages before have grown.
+
+    Python workers live outside the heap, so a stage that needs them has the room.  A task for each core; what it
+    calls is a method of Java's own.
+    """
+    n = spark.sparkContext.defaultParallelism
+    spark.range(0, n, 1, n).select(F.expr("java_method('java.lang.System', 'gc')")).collect()
+
+
 def need(df: DataFrame, **kinds: str) -> DataFrame:
     """Only the named columns, in the named types; a table without one of them has nulls there."""
     return df.select(*(

@@ -35,7 +35,7 @@ SEPARATOR = 1
 OPEN_BINS = 1024
 PIECES_PER_PACKER = 16_000
 #: Words that a Python worker remembers the ids of (about 40 bytes each); beyond that it starts anew.
-REMEMBERED = 1_000_000
+REMEMBERED = 300_000
 #: One sequence number holds the packer above these bits, the packer's own count below.
 PACKER_BITS = 36
 
