@@ -456,3 +456,23 @@ def test_extraction_of_labelled_pages(trees, spark):
     df = spark.createDataFrame([(k, f"u{k}", p, "x") for k, p in enumerate([*pages[:3], None, "", pages[0]])], "page_id long, url string, html string, text string")
     got = {x["page_id"]: x for x in html_extract.extract_pages(df, trees).collect()}
     assert got[3]["text"] == got[4]["text"] == "" and got[0]["text"] == got[5]["text"] and got[0]["n_chars"] == len(got[0]["text"])
+
+
+def test_url_filter_against_its_sql(spark, tmp_path):
+    duckdb = pytest.importorskip("duckdb")
+    long = "http://a.net/" + "x/" * 5000 + "casino"
+    urls = ["http://x.net/spam/poker", "http://x.net/%73pam/a%20casino", "http://x.net/casino-casino", "http://x.net/acasino", "HTTP://Q.Example.ORG/es/", "http://x.net/caf%C3%A9spam", "http://x.net/live-cams", "http://x.net/my-live-cams", "http://x.net/xlive-camsx", "http://bigjackpot.net/spam", "http://x.net/free-download?ad", None, "", "no scheme casino", "http://example.org?x", long, "http://x.net/spam/spam/spam"]
+    rows = [(k, u, "h", "rule") for k, u in enumerate(urls)] + [(0, urls[0], "h", "rule")]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string, rule string")
+    pages = df.select("page_id", "url").toPandas()  # noqa: F841
+    got = sorted(map(tuple, url_filter.judge_urls(df).collect()), key=repr)
+    con = duckdb.connect()
+    con.register("pages", pages)
+    want = con.sql(url_filter.oracle() + " ").fetchall()
+    assert len(got) == len(rows) and set(got) == set(want)
+    by_id = {x[0]: x for x in got}
+    assert [by_id[k][4] for k in (0, 1, 2, 3, 6, 7, 8, 9, 10, 13, 16)] == ["block", "block", "block", "allow", "block", "block", "allow", "block", "block", "block", "allow"]
+    terms = url_filter.terms_of(spark.createDataFrame([("Teapot", 1.0, "any"), (None, 1.0, "any"), ("cup", 0.4, None)], "term string, weight double, boundary string"))
+    assert terms == {"teapot": (1.0, "any"), "cup": (0.4, "word")}
+    assert url_filter.judge_urls(spark.createDataFrame([(1, "http://a.net/myteapots")], "page_id long, url string"), terms=terms).first()["verdict"] == "block"
+    assert url_filter.judge_urls(df.limit(0)).count() == 0
