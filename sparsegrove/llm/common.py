@@ -66,7 +66,7 @@ def ship() -> None:
     package = Path(__file__).resolve().parents[1]
     out = Path(tempfile.mkdtemp(), f"{package.name}.zip")  # the driver's file server hands it out from there
     with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
-        for path in sorted(package.rglob("*.py")):
+        for path in sorted((*package.rglob("*.py"), *package.rglob("*.tsv"))):
             z.write(path, path.relative_to(package.parent))
     session.sparkContext.addPyFile(str(out))
     _shipped.add(session.sparkContext.applicationId)

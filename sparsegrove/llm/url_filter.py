@@ -16,6 +16,7 @@ reject them.  Each row is judged by itself, so ties, repeated rows and further c
 
 from __future__ import annotations
 
+import pkgutil
 from collections.abc import Iterator
 from pathlib import Path
 from urllib.parse import unquote
@@ -35,9 +36,10 @@ RULES = (("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "exa
 MOST_TERMS = 1_000_000
 
 
-def file_terms(path: str | Path = Path(__file__).with_name("url_terms.tsv")) -> dict[str, tuple[float, str]]:
-    """Term to (weight, boundary), from a table with tabs and a header."""
-    rows = [x.split("\t") for x in Path(path).read_text("utf-8").splitlines()[1:] if x]
+def file_terms(path: str | None = None) -> dict[str, tuple[float, str]]:
+    """Term to (weight, boundary), from a table with tabs and a header; without a path from the one of this package."""
+    text = pkgutil.get_data(__package__, "url_terms.tsv").decode() if path is None else Path(path).read_text("utf-8")
+    rows = [x.split("\t") for x in text.splitlines()[1:] if x]
     return {t.lower(): (float(w), b) for t, w, b in rows}
 
 
