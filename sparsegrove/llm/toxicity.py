@@ -69,15 +69,23 @@ class Tokens:
             end = np.maximum(behind, start) + 1
         self.start, self.end, self.doc = start, end, self.words.doc
 
-    def names(self, rows=slice(None)) -> Iterator[np.ndarray]:
-        """64-bit names of the word, its prefixes (0 if it is no longer than that), suffix and shape, one kind at a time."""
+    def names(self, rows=slice(None), only: int | None = None) -> Iterator[np.ndarray]:
+        """64-bit names of the word, its prefixes (0 if it is no longer than that), suffix and shape, one kind at a time.
+
+        only: the word (0) or a prefix (1 and on), alone.
+        """
         low = lowered(self.data)
         sums = prefix_hashes(low)
         start, end = self.start[rows], self.end[rows]
-        yield range_hashes(low, start, end, sums)
-        for n in PREFIXES:
+        if not only:
+            yield range_hashes(low, start, end, sums)
+        for kind, n in enumerate(PREFIXES, 1):
+            if only not in (None, kind):
+                continue
             longer = end - start > n
             yield np.where(longer, mix(range_hashes(low, start, np.minimum(start + n, end), sums), n), np.uint64(0))
+        if only is not None:
+            return
         yield mix(range_hashes(low, np.maximum(start, end - 4), end, sums), 99)
         del low, sums
         upper = np.concatenate([[0], np.cumsum((self.data - 65) < 26, dtype=np.int32)])
@@ -168,17 +176,16 @@ class Toxicity:
         return 1 / (1 + np.exp(-(a + b * x + c * y)))
 
 
-def mined(tokens: Tokens, toxic: np.ndarray) -> np.ndarray:
-    """Which tokens count as toxic, from documents' labels: by word or prefix."""
+def mined(parts: list[Tokens], doc: np.ndarray, toxic: np.ndarray) -> np.ndarray:
+    """Which tokens of the parts count as toxic, from documents' labels: by word or prefix.  doc: each token's document."""
     n_toxic, n_clean = max(int(toxic.sum()), 1), max(int((~toxic).sum()), 1)
-    out = np.zeros(len(tokens.start), np.bool_)
-    for kind, names in enumerate(tokens.names()):
-        if kind > len(PREFIXES):
-            break
+    out = np.zeros(len(doc), np.bool_)
+    for kind in range(len(PREFIXES) + 1):
         if kind and PREFIXES[kind - 1] < 4:
             continue
-        order = np.lexsort((tokens.doc, names))
-        n, d = names[order], tokens.doc[order]
+        names = np.concatenate([next(t.names(only=kind)) for t in parts])
+        order = np.lexsort((doc, names))
+        n, d = names[order], doc[order]
         one = np.ones(len(n), np.bool_)
         one[1:] = (n[1:] != n[:-1]) | (d[1:] != d[:-1])  # a document counts once for a name
         starts = np.flatnonzero(np.append(True, n[1:] != n[:-1])) if len(n) else np.zeros(0, np.int64)
@@ -191,7 +198,7 @@ def mined(tokens: Tokens, toxic: np.ndarray) -> np.ndarray:
         good = (dirty >= 3) & (odds > 3.5) & (clean * 20 <= dirty) & (n[starts] != 0)
         hit = np.repeat(good, np.diff(np.append(starts, len(n))))
         out[order[hit]] = True
-    return out & toxic[tokens.doc]
+    return out & toxic[doc]
 
 
 def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2) -> np.ndarray:
@@ -212,30 +219,30 @@ def learn(texts: pa.Array, toxic: np.ndarray, seed: int = 0) -> Toxicity:
     share = float(toxic.mean()) if len(toxic) else 0.0
     if not toxic.any() or toxic.all():
         return Toxicity(None, (0.0, 0.0, 0.0), share)
-    parts = []
-    tokens = Tokens(*raw(texts))
-    gold = mined(tokens, toxic)
+    # block by block: whole arrays over all the sample's bytes would weigh on the driver
+    spans = list(blocks(texts))
+    parts = [Tokens(*raw(texts.slice(lo, hi - lo))) for lo, hi in spans]
+    bases = np.cumsum([0, *(len(t.start) for t in parts)])
+    doc = np.concatenate([t.doc + lo for t, (lo, _) in zip(parts, spans)])
+    first = np.append(np.concatenate([t.words.first[:-1] + base for t, base in zip(parts, bases)]), bases[-1])
+    gold = mined(parts, doc, toxic)
     random = np.random.default_rng(seed)
-    centres = np.flatnonzero(gold)
-    clean = np.flatnonzero(~toxic[tokens.doc])
-    centres = random.permutation(centres)[:TOXIC_TOKENS]
-    others = random.permutation(clean)[: max(TOXIC_TOKENS, 3 * len(centres))] if len(clean) else clean
-    chain = Chain(1 << BITS, 2)
-    first = tokens.words.first
-    for c in (centres, others):
-        lo = np.maximum(c - WINDOW, first[tokens.doc[c]])
-        hi = np.minimum(c + WINDOW + 1, first[tokens.doc[c] + 1])
-        parts.append((lo, hi - lo))
-    lo, sizes = (np.concatenate(x) for x in zip(*parts))
+    centres = random.permutation(np.flatnonzero(gold))[:TOXIC_TOKENS]
+    others = random.permutation(np.flatnonzero(~toxic[doc]))[: max(TOXIC_TOKENS, 3 * len(centres))]
     if not len(centres):
         return Toxicity(None, (0.0, 0.0, 0.0), share)
+    c = np.concatenate([centres, others])
+    lo = np.maximum(c - WINDOW, first[doc[c]])
+    sizes = np.minimum(c + WINDOW + 1, first[doc[c] + 1]) - lo
     live = np.arange(2 * WINDOW + 1) < sizes[:, None]
     index = np.where(live, lo[:, None] + np.arange(2 * WINDOW + 1), lo[:, None])
     used, place = np.unique(index, return_inverse=True)
-    chain.fit(tokens.features(used)[place.reshape(index.shape)], gold[index].astype(np.int64) * live, live, epochs=8, size=2048, seed=seed)
+    cuts = np.searchsorted(used, bases)
+    features = np.concatenate([t.features(used[a:b] - base) for t, base, a, b in zip(parts, bases, cuts, cuts[1:])])
+    chain = Chain(1 << BITS, 2)
+    chain.fit(features[place.reshape(index.shape)], gold[index].astype(np.int64) * live, live, epochs=8, size=2048, seed=seed)
     model = Toxicity(chain, (0.0, 1.0, 0.0), share)
-    p = model.marginals(tokens)
-    x, y = model.summary(p, tokens.doc, len(toxic))
+    x, y = model.summary(np.concatenate([model.marginals(t) for t in parts]), doc, len(toxic))
     model.curve = tuple(float(v) for v in logistic(np.column_stack([x, y]), toxic.astype(float)))
     return model
 
