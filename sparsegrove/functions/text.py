@@ -142,3 +142,68 @@ def sentence_spans():
             yield t.map(lambda x: [{"start": m.start(), "end": m.end()} for m in _SENTENCE.finditer(x or "") if m[0].strip()])
 
     return spans
+
+
+def timestamp_text(at: Column, pattern: str = "yyyy-MM-dd HH:mm:ss") -> Column:
+    return F.date_format(at, pattern)
+
+
+def id_part(name: Column, separator: str, place: int) -> Column:
+    """The part of an id at a place (from 1, from the end if negative) between separators; empty beyond the last."""
+    return F.split_part(name, F.lit(separator), F.lit(place))
+
+
+def without_prefix(entries: Column, prefix: str) -> Column:
+    """A map without the keys that begin with the prefix."""
+    return F.map_filter(entries, lambda k, v: ~F.startswith(k, F.lit(prefix)))
+
+
+def with_prefix(entries: Column, prefix: str) -> Column:
+    """The entries whose keys begin with the prefix, which goes."""
+    kept = F.map_filter(entries, lambda k, v: F.startswith(k, F.lit(prefix)))
+    return F.transform_keys(kept, lambda k, v: F.substring(k, F.lit(len(prefix) + 1), F.length(k)))
+
+
+def rename_keys(entries: Column, names: dict[str, str]) -> Column:
+    """A map with some keys renamed."""
+    if not names:
+        return entries
+    table = F.create_map(*(F.lit(x) for pair in names.items() for x in pair))
+    return F.transform_keys(entries, lambda k, v: F.coalesce(F.try_element_at(table, k), k))
+
+
+def slices(rows, n: int, order: str, key: str | None = None):
+    """``rows`` with slice: n contiguous parts of like size (of each key's rows) in order, from 1; the first ones are the larger."""
+    from pyspark.sql import Window
+
+    by = Window.orderBy(order) if key is None else Window.partitionBy(key).orderBy(order)
+    return rows.withColumn("slice", F.ntile(n).over(by))
+
+
+def long_tokens(text: Column, least: int = 3) -> Column:
+    """Blank-separated tokens without outer punctuation, of ``least`` signs or more."""
+    return F.filter(F.transform(F.split(F.lower(text), r"\s+"), strip_punctuation), lambda t: F.length(t) >= least)
+
+
+def multi_word(term: Column, number: Column, first: int) -> Column:
+    """Whether a vocabulary entry is one of the added phrases (from this number on) and has several words."""
+    return F.contains(term, F.lit(" ")) & (number >= first)
+
+
+def at_most_words(phrase: Column, n: int = 3) -> Column:
+    return F.size(simple_tokens(phrase)) <= n
+
+
+def word_pieces(path: str):
+    """An Arrow UDF: token texts of a public tokenizer's file, read once a Python worker."""
+
+    @F.pandas_udf("array<string>")
+    def pieces(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        from tokenizers import Tokenizer
+
+        tokenizer = Tokenizer.from_file(path)
+        for t in texts:
+            found = tokenizer.encode_batch(t.fillna("").tolist(), add_special_tokens=False)
+            yield pd.Series([x.tokens for x in found])
+
+    return pieces

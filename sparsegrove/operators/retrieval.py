@@ -129,6 +129,11 @@ def hard_negatives(run: DataFrame, own: DataFrame, labels: DataFrame | None = No
     return rank(rows.select("query_id", "doc_id", "score"), 1).drop("rank")
 
 
+def idf_gate(queries: DataFrame, terms: DataFrame, least: float) -> DataFrame:
+    """Query terms whose idf (term, idf) is above ``least``; terms that no document has go."""
+    return queries.join(terms.where(F.col("idf") > least).select("term"), "term", "left_semi")
+
+
 def enough_matches(queries: DataFrame, docs: DataFrame, k: int, share: int = 5, most: int = 4) -> DataFrame:
     """Search that wants min(most, terms / share) of a query's terms in a document."""
     q = queries.select("query_id", "term", F.col("weight").alias("qw"))

@@ -1 +1,5 @@
+"""Streaming forms of the operators: the same rules on unbounded inputs, with watermarks that bound their state."""
 
+from .streams import distinct_texts, gap_sessions, running_gap_groups, window_counts
+
+__all__ = ["distinct_texts", "gap_sessions", "running_gap_groups", "window_counts"]
