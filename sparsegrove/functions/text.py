@@ -44,9 +44,21 @@ def simple_tokens(text: Column, lower: bool = True) -> Column:
     return F.filter(F.split(F.lower(text) if lower else text, r"[-,()\s]+"), lambda t: t != "")
 
 
+#: White space of ``\\s``, and what parts tokens: any run of punctuation and white space that holds white space.
+_BLANKS = " \t\n\x0b\f\r"
+_PUNCT_CLASS = re.escape(PUNCTUATION).replace("\\ ", " ")
+#: Letters fail at the first look; a run is tried from its first sign alone, so long runs take linear time.
+_BETWEEN = rf"(?=[{_PUNCT_CLASS}\s])(?<![{_PUNCT_CLASS}])[{_PUNCT_CLASS}]*+\s[{_PUNCT_CLASS}\s]*+"
+
+
 def search_tokens(text: Column, stopwords: Column | None = None) -> Column:
-    """Lower case, white space, outer punctuation gone, no empty or stop words."""
-    words = F.filter(F.transform(F.split(F.lower(text), r"\s+"), strip_punctuation), lambda t: t != "")
+    """Lower case, white space, outer punctuation gone, no empty or stop words.
+
+    Punctuation at the ends of a token touches white space or the text's ends, so one split at the runs between
+    tokens does it; no function of elements runs.
+    """
+    trimmed = F.btrim(F.lower(text), F.lit(PUNCTUATION + _BLANKS))
+    words = F.when(trimmed != "", F.split(trimmed, _BETWEEN)).otherwise(F.when(text.isNotNull(), F.array().cast("array<string>")))
     return words if stopwords is None else F.filter(words, lambda t: ~F.array_contains(stopwords, t))
 
 

@@ -61,9 +61,23 @@ def without_parts_of(phrases: DataFrame, base: DataFrame) -> DataFrame:
 
 
 def without_earlier_parts(phrases: DataFrame) -> DataFrame:
-    """Of (phrase, rank): phrases that contain no phrase of a smaller rank."""
-    b = phrases.select(F.col("phrase").alias("_b"), F.col("rank").alias("_r"))
-    return phrases.join(b, (F.col("_r") < F.col("rank")) & (F.instr(F.col("phrase"), F.col("_b")) > 0), "left_anti")
+    """Of (phrase, rank): phrases that contain no phrase of a smaller rank.
+
+    A phrase's parts (its distinct runs of signs, for phrases are short) meet the phrases by equality.
+    """
+    size = F.length("phrase")
+    parts = phrases.select("phrase", "rank", F.explode(F.sequence(F.lit(1), size)).alias("_i")).select("phrase", "rank", "_i", F.explode(F.sequence(F.lit(1), size - F.col("_i") + 1)).alias("_n"))
+    parts = parts.select("phrase", "rank", F.substring("phrase", F.col("_i"), F.col("_n")).alias("_b")).distinct()
+    held = parts.join(phrases.select(F.col("phrase").alias("_b"), F.col("rank").alias("_r")), "_b").where("_r < rank").select("phrase", "rank").distinct()
+    return phrases.join(held, ["phrase", "rank"], "left_anti")
+
+
+def checkpointed(rows: DataFrame) -> DataFrame:
+    """``rows`` cut off from their lineage, in the session's checkpoint folder; one is set only where none is named."""
+    context = rows.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(rows.sparkSession.conf.get("spark.checkpoint.dir", None) or "spark-warehouse/checkpoints")
+    return rows.checkpoint()
 
 
 def coverage(occurrences: DataFrame, chosen: DataFrame) -> DataFrame:
@@ -108,7 +122,7 @@ def greedy_cover(occurrences: DataFrame, k: int) -> DataFrame:
         if best is None:
             break
         picks.append((step, best["phrase"], best["n"]))
-        left = left.join(left.where(F.col("phrase") == best["phrase"]).select("doc_id"), "doc_id", "left_anti").checkpoint()
+        left = left.join(left.where(F.col("phrase") == best["phrase"]).select("doc_id"), "doc_id", "left_anti").transform(checkpointed)
     return spark.createDataFrame(picks, schema)
 
 

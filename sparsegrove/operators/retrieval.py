@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.vectors import dot, normalise
+from .phrases import checkpointed
 
 
 def rank(run: DataFrame, k: int | None = None, query: str = "query_id", doc: str = "doc_id") -> DataFrame:
@@ -18,10 +19,14 @@ def rank(run: DataFrame, k: int | None = None, query: str = "query_id", doc: str
 def impact_scores(queries: DataFrame, docs: DataFrame, threshold: float = 0.0) -> DataFrame:
     """(query_id, doc_id, score): inner products over shared terms, above the threshold.
 
-    queries: (query_id, term, weight); docs: (doc_id, term, weight).  Partial sums are combined before the
-    shuffle by (query, document); a hot term's postings are split by AQE's skew join.
+    queries: (query_id, term, weight); docs: (doc_id, term, weight).  Postings are dealt by document and meet the
+    queries' terms where they lie (broadcast, if counted to be few), so the many products of a pair are summed
+    without another shuffle.  More queries are joined by term, where AQE splits a hot term's postings, and
+    partial sums are combined before the shuffle by (query, document).
     """
-    pairs = queries.select("query_id", "term", F.col("weight").alias("qw")).join(docs, "term")
+    asked = queries.select("query_id", "term", F.col("weight").alias("qw"))
+    few = bounded(asked)
+    pairs = (docs.repartition("doc_id") if few is not asked else docs).join(few, "term")
     return pairs.groupBy("query_id", "doc_id").agg(F.sum(F.col("qw") * F.col("weight")).alias("score")).where(F.col("score") > threshold)
 
 
@@ -39,17 +44,17 @@ def weigh(queries: DataFrame, is_phrase: Column, tokens: float = 1.0, phrases: f
     return queries.withColumn("weight", F.col("weight") * F.when(is_phrase, F.lit(phrases)).otherwise(F.lit(tokens)))
 
 
-def gated_search(queries: DataFrame, docs: DataFrame, is_phrase: Column, k: int, gate: int) -> DataFrame:
-    """Hits of the whole vectors that are also among the first ``gate`` hits of the phrase terms alone."""
+def gated_search(queries: DataFrame, docs: DataFrame, is_phrase: Column, k: int, gate: int, tokens: float = 1.0, phrases: float = 1.0) -> DataFrame:
+    """Hits of the whole vectors, tokens and phrases weighed, that are also among the first ``gate`` hits of the phrase terms alone."""
     only = search(queries.where(is_phrase), docs, gate).select("query_id", "doc_id")
-    return rank(impact_scores(queries, docs).join(only, ["query_id", "doc_id"], "left_semi"), k)
+    return rank(impact_scores(weigh(queries, is_phrase, tokens, phrases), docs).join(only, ["query_id", "doc_id"], "left_semi"), k)
 
 
 def corpus_statistics(postings: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Of (doc_id, term, tf): (term, df, idf) and one row (n_docs, avg_len)."""
+    """Of (doc_id, term, tf), one row a document and term: (term, df, idf) and one row (n_docs, avg_len)."""
     lengths = postings.groupBy("doc_id").agg(F.sum("tf").alias("len"))
     corpus = lengths.agg(F.count(F.lit(1)).alias("n_docs"), F.avg("len").alias("avg_len"))
-    terms = postings.groupBy("term").agg(F.countDistinct("doc_id").alias("df"))
+    terms = postings.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     idf = F.log((F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1)
     return terms.crossJoin(F.broadcast(corpus)).select("term", "df", idf.alias("idf")), corpus
 
@@ -67,6 +72,64 @@ def bm25_impacts(postings: DataFrame, k1: float = 0.9, b: float = 0.4, scale: in
     return rows.select("doc_id", "term", F.floor(score).cast("long").alias("weight"))
 
 
+#: A term that stands for a document itself.
+ITSELF = "\x00"
+
+
+def bm25_search(queries: DataFrame, tokens: DataFrame, k: int, k1: float = 0.9, b: float = 0.4, scale: int = 100) -> DataFrame:
+    """The k best documents of each query by whole-number BM25 scores, from (doc_id, tokens) without an index.
+
+    A document's length is the size of its array, so lengths and their mean need no shuffle; only postings of terms
+    that some query has are counted, weighed and joined.  queries: (query_id, term, weight).
+    """
+    rows = tokens.select("doc_id", "tokens", F.size("tokens").alias("len")).where("len > 0")
+    # a token that no text has stands for the document itself, so one pass gives postings and lengths
+    itself = tokens.sparkSession.range(1).select(F.lit(ITSELF).alias("term"))
+    wanted = bounded(queries.select("term").distinct().unionAll(itself))
+    each = rows.select("doc_id", "len", F.explode(F.array_append("tokens", F.lit(ITSELF))).alias("term")).join(wanted, "term", "left_semi")
+    # written once: the statistics and the scores both read it
+    found = checkpointed(each.repartition("doc_id").groupBy("doc_id", "term").agg(F.count(F.lit(1)).alias("tf"), F.first("len").alias("len")))
+    corpus = found.where(F.col("term") == ITSELF).agg(F.count(F.lit(1)).alias("n_docs"), F.avg("len").alias("avg_len"))
+    posts = found.where(F.col("term") != ITSELF)
+    terms = posts.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    asked = queries.select("query_id", "term", F.col("weight").alias("qw"))
+    # a term's statistics belong to its few query rows, not to its many postings
+    asked = asked.join(terms, "term").crossJoin(F.broadcast(corpus))
+    idf = F.log((F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1)
+    asked = asked.select("query_id", "term", "qw", idf.alias("idf"), "avg_len")
+    tf = F.col("tf")
+    weight = F.floor(F.lit(scale) * F.col("idf") * tf * (k1 + 1) / (tf + k1 * (1 - b + b * F.col("len") / F.col("avg_len")))).cast("long")
+    # dealt by document, the products of a pair are summed where they are made
+    pairs = posts.repartition("doc_id").join(bounded(asked), "term").select("query_id", "doc_id", (F.col("qw") * weight).alias("s"))
+    return rank(pairs.groupBy("query_id", "doc_id").agg(F.sum("s").alias("score")).where("score > 0"), k)
+
+
+def contained_in(passages: DataFrame, docs: DataFrame) -> DataFrame:
+    """(query_id, doc_id): documents whose text holds a passage's whole text.  passages: (query_id, text), docs: (doc_id, text).
+
+    The words of a passage but for its first and last, which may begin or end within a word of the document, are
+    words of any document that holds it.  So pairs meet by the longest of them and are then compared; passages of
+    fewer than three words are compared with all documents.
+    """
+    words = F.split("text", " ")
+    inner = F.filter(F.slice(words, 2, F.greatest(F.size(words) - 2, F.lit(0))), lambda w: w != "")
+    longest = F.element_at(F.array_sort(F.transform(inner, lambda w: F.struct((-F.length(w)).alias("n"), w.alias("w")))), 1)["w"]
+    own = passages.select("query_id", F.col("text").alias("_q"), F.when(F.size(inner) > 0, longest).alias("_w"))
+    long_, short = own.where("_w IS NOT NULL"), own.where("_w IS NULL AND _q IS NOT NULL").drop("_w")
+    met = docs.select("doc_id", "text", F.explode(F.array_distinct(words)).alias("_w")).join(bounded(long_), "_w").where(F.contains("text", "_q")).select("query_id", "doc_id")
+    rest = docs.join(bounded(short), F.contains("text", "_q")).select("query_id", "doc_id")
+    return met.unionAll(rest).distinct()
+
+
+#: Rows up to which a counted side is broadcast.
+BROADCAST_ROWS = 200_000
+
+
+def bounded(rows: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
+    """``rows`` with a broadcast hint if they are counted to be few enough."""
+    return F.broadcast(rows) if rows.count() <= most else rows
+
+
 def okapi_scores(queries: DataFrame, postings: DataFrame, k1: float = 1.5, b: float = 0.75, epsilon: float = 0.25) -> DataFrame:
     """Okapi BM25 whose negative idf are replaced by epsilon times the mean idf; query terms count as often as they occur."""
     terms, corpus = corpus_statistics(postings)
@@ -81,14 +144,25 @@ def okapi_scores(queries: DataFrame, postings: DataFrame, k1: float = 1.5, b: fl
     return queries.select("query_id", "term", F.col("tf").alias("qtf")).join(docs, "term").groupBy("query_id", "doc_id").agg(F.sum(F.col("qtf") * F.col("weight")).alias("score"))
 
 
+#: Queries of a block that every task holds.
+QUERY_BLOCK = 4096
+
+
 def dense_search(queries: DataFrame, docs: DataFrame, k: int) -> DataFrame:
     """The k documents of the largest cosine: (query_id, v) against (doc_id, v), a flat index.
 
-    A query set is bounded; it is broadcast in blocks by the caller's choice, and each row of ``docs`` is read once.
+    Queries are counted: one block of them is broadcast, so each row of ``docs`` is read once and no vector
+    shuffles; more are dealt into blocks, and each block is joined with all documents under its number.
     """
     q = queries.select("query_id", normalise(F.col("v")).alias("qv"))
     d = docs.select("doc_id", normalise(F.col("v")).alias("dv"))
-    return rank(d.crossJoin(F.broadcast(q)).select("query_id", "doc_id", dot(F.col("qv"), F.col("dv")).alias("score")), k)
+    blocks = -(-q.count() // QUERY_BLOCK)
+    if blocks <= 1:
+        pairs = d.crossJoin(F.broadcast(q))
+    else:
+        dealt = d.withColumn("_block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+        pairs = dealt.join(q.withColumn("_block", F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int")), "_block")
+    return rank(pairs.select("query_id", "doc_id", dot(F.col("qv"), F.col("dv")).alias("score")), k)
 
 
 def max_sim(queries: DataFrame, docs: DataFrame) -> DataFrame:

@@ -67,12 +67,18 @@ def sample_in_group(rows: DataFrame, group: str, n: int, *keys: str, seed: str =
     return rows.withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= n).drop("_r")
 
 
-def next_of_other_label(rows: DataFrame, item: str, label: str, buckets: int = 1, seed: str = "0") -> DataFrame:
+#: Rows of a window over a hash order.
+BUCKET_ROWS = 100_000
+
+
+def next_of_other_label(rows: DataFrame, item: str, label: str, buckets: int | None = None, seed: str = "0") -> DataFrame:
     """``rows`` with negative: the next item, in a hash order, of another label in the same bucket.
 
     In a bucket's order a negative is the row after, if its label differs, else the bucket's first row, if that
-    one's does, else null.  ``buckets`` deals the rows by hash, so no window holds the whole table.
+    one's does, else null.  ``buckets`` deals the rows by hash, so no window holds the whole table; by default one for
+    each ``BUCKET_ROWS`` rows counted.
     """
+    buckets = -(-max(1, rows.count()) // BUCKET_ROWS) if buckets is None else buckets
     rows = rows.withColumn("_k", pick_key(F.col(item), seed=seed)).withColumn("_b", F.pmod(F.xxhash64(item), F.lit(buckets)))
     order = Window.partitionBy("_b").orderBy("_k", item)
     other = F.struct(F.col(item).alias("i"), F.col(label).alias("l"))
