@@ -2,18 +2,26 @@
 
 Vectors become integers, floor(scale * x).  A dimension holds two terms, its positive and its negative
 values; a query's component draws on the term of its own sign, whose products can only raise a score, while
-the other term's can only lower it.  Each term of a shard has a bound, the largest impact in its posting
-list; times the query's weight that is the most the term can add.
+the other term's can only lower it.  A shard's rows lie in strips; in each strip a term has a posting list (rows
+and impacts) and a bound, its largest impact, which times the query's weight is the most the term can add there.
 
-For each query the terms are ordered by bound.  While the bounds of the terms left sum to less than the
-current k-th score, a vector that occurs in those terms alone can't enter: they are non-essential, the others
-essential.  The essential postings are traversed from the largest bound down, adding up scores; the
-non-essential ones are probed only for vectors whose score so far plus the bounds left can still reach the
-threshold (reach, not exceed: ties go to the smaller id).  Negative products are bounded by nought until they
-are added exactly at the end, so no vector that belongs to the answer is ever dropped.
+For each query and strip the terms are ordered by bound.  While the bounds of the terms left sum to less than the
+query's threshold, a vector that occurs in those terms alone can't enter: they are non-essential, the others
+essential.  The essential postings are traversed, adding up scores; the non-essential terms are probed only for
+rows whose score so far plus the bounds left can still reach the threshold (reach, not exceed: ties go to the
+smaller id).  Negative products are bounded by nought until the whole product is taken for the rows that are
+left, so no vector that belongs to the answer is ever dropped.
 
 Vectors are dealt into shards by a hash of their id and queries into blocks; a task joins one shard with one
-block, both of bounded size, and yields its own top k; a rank over (query, at most shards * k rows) merges them.
+block, both of bounded size.  The first shard is searched before the others: its k-th score of each query is the
+threshold that all others begin with, so they yield few rows beyond the answer.  Shards merge by a rank over
+(query, rows that passed), which each task cuts to k rows a query before they travel.
+
+With n vectors and m queries, n * m / ``BLOCK_QUERIES`` + m * n / ``SHARD_ROWS`` rows shuffle: exact search
+compares each query with each shard.
+
+Null or empty ids take no part; an empty vector (which holds nothing bad) scores 0 with all.  A repeated id stands
+for as many candidates; further columns are ignored; empty tables give no rows.
 """
 
 from __future__ import annotations
@@ -25,6 +33,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import shared_checkpoint
+
 SCALE = 1024
 SHARD_ROWS = 8192
 BLOCK_QUERIES = 2048
@@ -33,7 +43,7 @@ STRIP = 2048
 
 
 def quantise(vectors: DataFrame, scale: int = SCALE) -> DataFrame:
-    """(vec_id, q): whole-number components; a vector that is null or empty or holds a null or non-finite value goes.
+    """(vec_id, q): whole-number components; a vector that is null or holds a null or non-finite value goes.
 
     Vectors of another length than most still score: the inner product runs over the shared components.
     """
@@ -54,56 +64,70 @@ def matrix(column) -> np.ndarray:
     return out
 
 
+class Strip:
+    """Some rows of a shard: ids, components (dimension by dimension), and each signed term's posting list and bound."""
+
+    def __init__(self, ids: np.ndarray, by_dim: np.ndarray):
+        self.ids, self.by_dim = ids, by_dim
+        self.postings = {}
+        self.bounds = np.zeros((2, len(by_dim)), np.int64)
+        for d, column in enumerate(by_dim):
+            for sign, rows in ((0, np.flatnonzero(column > 0)), (1, np.flatnonzero(column < 0))):
+                impacts = np.abs(column[rows])
+                self.postings[sign, d] = rows, impacts
+                self.bounds[sign, d] = impacts.max(initial=0)
+
+    def search(self, query: np.ndarray, threshold: int | None) -> tuple[np.ndarray, np.ndarray]:
+        """Rows that can reach the threshold (all without one), and their scores."""
+        width = min(len(query), len(self.by_dim))
+        query = query[:width]
+        weight, sign = np.abs(query), (query < 0).astype(np.int64)
+        bound = weight * self.bounds[sign, np.arange(width)]
+        order = np.argsort(-bound, kind="stable")
+        order = order[bound[order] > 0]
+        # left[j]: the most that the terms from the j-th on can add
+        left = np.append(np.cumsum(bound[order][::-1])[::-1], 0)
+        if threshold is None:
+            rows = np.arange(len(self.ids))
+            return rows, query @ self.by_dim[:width]
+        if left[0] < threshold:
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        # essential: up to where the rest alone can't reach the threshold
+        essential = int(np.searchsorted(-left, -threshold, side="right"))
+        gain = np.zeros(len(self.ids), np.int64)
+        for d in order[:essential].tolist():
+            at, impacts = self.postings[sign[d], d]
+            gain[at] += impacts * weight[d]
+        rows = np.flatnonzero(gain + left[min(essential, len(order))] >= threshold)
+        gain = gain[rows]
+        for j, d in enumerate(order[essential:].tolist(), essential):
+            if not len(rows):
+                break
+            gain += np.maximum(self.by_dim[d][rows] * query[d], 0)
+            on = gain + left[j + 1] >= threshold
+            if not on.all():
+                rows, gain = rows[on], gain[on]
+        score = query @ self.by_dim[:width, rows]
+        on = score >= threshold
+        return rows[on], score[on]
+
+
 class Shard:
-    """Vectors by component, with the bound of each signed term in each strip."""
+    """Vectors in strips, by id."""
 
     def __init__(self, ids: np.ndarray, q: np.ndarray):
         order = np.argsort(ids, kind="stable")
-        self.ids, self.by_dim = ids[order], np.ascontiguousarray(q[order].T)
-        self.strips = [(a, min(a + STRIP, len(ids))) for a in range(0, len(ids), STRIP)]
-        self.up = [np.maximum(self.by_dim[:, a:b].max(axis=1), 0) for a, b in self.strips]
-        self.down = [np.maximum(-self.by_dim[:, a:b].min(axis=1), 0) for a, b in self.strips]
+        ids, by_dim = ids[order], np.ascontiguousarray(q[order].T)
+        self.strips = [Strip(ids[a : a + STRIP], np.ascontiguousarray(by_dim[:, a : a + STRIP])) for a in range(0, len(ids), STRIP)]
 
-    def search(self, query_id: int, query: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """Scores and ids of the k best others, best first, ties to the smaller id."""
-        width = min(len(query), len(self.by_dim))
-        query = query[:width]
+    def search(self, query_id: int, query: np.ndarray, k: int, least: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """Scores and ids of the k best others that score ``least`` or more, best first, ties to the smaller id."""
         best_s, best_i = np.zeros(0, np.int64), np.zeros(0, np.int64)
-        for (a, b), up, down in zip(self.strips, self.up, self.down):
-            threshold = best_s[-1] if len(best_s) == k else None
-            bound = np.abs(query) * np.where(query > 0, up[:width], down[:width])
-            order = np.argsort(-bound, kind="stable")
-            order = order[query[order] != 0]
-            # left[j]: the most that the terms from the j-th on can add
-            left = np.append(np.cumsum(bound[order][::-1])[::-1], 0)
-            ids = self.ids[a:b]
-            if threshold is not None and len(order) and left[0] < threshold:
-                continue
-            # essential: up to where the rest alone can't reach the threshold
-            essential = len(order) if threshold is None else int(np.searchsorted(-left, -threshold, side="right"))
-            rows: np.ndarray | None = None
-            gain, loss = np.zeros(b - a, np.int64), np.zeros(b - a, np.int64)
-            seen = np.zeros(b - a, np.bool_)
-            for j, d in enumerate(order.tolist()):
-                if j == essential:  # from here on only candidates are probed
-                    rows = np.flatnonzero(seen & (gain + left[j] >= threshold))
-                    gain, loss = gain[rows], loss[rows]
-                elif rows is not None and threshold is not None and j % 8 == 0:
-                    on = gain + left[j] >= threshold
-                    if not on.all():
-                        rows, gain, loss = rows[on], gain[on], loss[on]
-                if rows is not None and not len(rows):
-                    break
-                product = (self.by_dim[d, a:b] if rows is None else self.by_dim[d, a:b][rows]) * query[d]
-                gain += np.maximum(product, 0)
-                loss += np.minimum(product, 0)
-                if rows is None:
-                    seen |= product > 0
-            score = gain + loss
-            mine = ids if rows is None else ids[rows]
+        for strip in self.strips:
+            threshold = int(best_s[-1]) if len(best_s) == k else least
+            rows, score = strip.search(query, threshold)
+            mine = strip.ids[rows]
             on = mine != query_id
-            if threshold is not None:
-                on &= score >= threshold
             s, i = np.concatenate([best_s, score[on]]), np.concatenate([best_i, mine[on]])
             top = np.lexsort((i, -s))[:k]
             best_s, best_i = s[top], i[top]
@@ -119,8 +143,8 @@ def search_group(k: int):
             return OUT.empty_table()
         shard = Shard(left["vec_id"].to_numpy(), matrix(left["q"]))
         queries, ids, scores = [], [], []
-        for query_id, q in zip(right["vec_id"].to_pylist(), matrix(right["q"])):
-            s, i = shard.search(query_id, q, k)
+        for query_id, q, least in zip(right["vec_id"].to_pylist(), matrix(right["q"]), right["least"].to_pylist()):
+            s, i = shard.search(query_id, q, k, least)
             queries.append(np.full(len(s), query_id, np.int64))
             ids.append(i)
             scores.append(s)
@@ -150,9 +174,19 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, scale: int = SCAL
     rows, asked = quantise(vectors, scale), quantise(queries, scale)
     shards = max(1, -(-vectors.count() // SHARD_ROWS))
     parts = max(1, -(-queries.count() // BLOCK_QUERIES))
-    dealt = rows.withColumn("shard", F.pmod(F.xxhash64("vec_id"), F.lit(shards))).withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
-    probes = asked.withColumn("part", F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(parts)).cast("int")).withColumn("shard", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(shards - 1).cast("long"))))
-    found = dealt.groupBy("shard", "part").cogroup(probes.groupBy("shard", "part")).applyInArrow(remote_search(k), "query_id long, vec_id long, score long")
+    placed = rows.withColumn("shard", F.pmod(F.xxhash64("vec_id"), F.lit(shards)))
+    dealt = placed.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+    asked = asked.withColumn("part", F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(parts)).cast("int"))
+
+    def search(vectors: DataFrame, probes: DataFrame) -> DataFrame:
+        return vectors.groupBy("shard", "part").cogroup(probes.groupBy("shard", "part")).applyInArrow(remote_search(k), "query_id long, vec_id long, score long")
+
+    found = search(dealt.where("shard = 0"), asked.withColumns({"shard": F.lit(0).cast("long"), "least": F.lit(None).cast("long")}))
+    if shards > 1:
+        found = shared_checkpoint(found)
+        least = found.groupBy(F.col("query_id").alias("vec_id")).agg(F.when(F.count(F.lit(1)) >= k, F.min("score")).alias("least"))
+        probes = asked.join(least, "vec_id", "left").withColumn("shard", F.explode(F.sequence(F.lit(1).cast("long"), F.lit(shards - 1).cast("long"))))
+        found = found.unionAll(search(dealt.where("shard > 0"), probes))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 

@@ -476,3 +476,21 @@ def test_url_filter_against_its_sql(spark, tmp_path):
     assert terms == {"teapot": (1.0, "any"), "cup": (0.4, "word")}
     assert url_filter.judge_urls(spark.createDataFrame([(1, "http://a.net/myteapots")], "page_id long, url string"), terms=terms).first()["verdict"] == "block"
     assert url_filter.judge_urls(df.limit(0)).count() == 0
+
+
+def test_top_k_over_shards_and_odd_vectors(spark, monkeypatch):
+    monkeypatch.setattr(topk, "SHARD_ROWS", 40)
+    monkeypatch.setattr(topk, "BLOCK_QUERIES", 3)
+    r = np.random.default_rng(6)
+    v = [(k, (r.normal(size=5) * (r.random(5) < 0.5)).round(1).tolist(), "x") for k in range(400)]
+    v += [(400, None, "x"), (401, [1.0, None], "x"), (402, [float("inf")], "x"), (403, [], "x"), (404, [0.5, -0.5], "x"), (None, [1.0], "x"), (7, v[7][1], "x")]
+    df = spark.createDataFrame(v, "vec_id long, embedding array<float>, score string")
+    got = sorted((x["query_id"], x["rank"], x["vec_id"], x["score"]) for x in topk.top_k(df, df.where("vec_id % 50 = 0"), 4).collect())
+    q = [(k, [math.floor(1024 * float(np.float32(c))) for c in x]) for k, x, _ in v if k is not None and k not in (400, 401, 402)]
+    want = []
+    for a, x in q:
+        if a % 50 == 0:
+            scores = sorted((-sum(c * e for c, e in zip(x, y)), b) for b, y in q if b != a)
+            want += [(a, n + 1, b, -s) for n, (s, b) in enumerate(scores[:4])]
+    assert got == sorted(want)
+    assert topk.top_k(df.limit(0), df.limit(0)).count() == 0 and topk.top_k(df, df.limit(0)).count() == 0
