@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -296,13 +295,13 @@ f AS (SELECT *, CASE WHEN precision + recall > 0 THEN 2 * precision * recall / (
 
 
 @query(_DOCM + "SELECT doc_id, CAST(hits AS DOUBLE) AS hits, round(precision, 6) AS precision, round(recall, 6) AS recall, round(f1, 6) AS f1, round(ndcg, 6) AS ndcg, round(ap, 6) AS ap FROM f")
-def keyphrase_measures(spark, d, pairs=X.keyphrase_pairs):
+def keyphrase_measures(spark, d, pairs=X.keyphrase_words):
     rows = P.document_measures(pairs(spark, d), 5)
     return rows.select("doc_id", "hits", *(r6(F.col(c), c) for c in ("precision", "recall", "f1", "ndcg", "ap")))
 
 
 @query(_DOCM + ", s AS (SELECT avg(precision) AS macro_p, avg(recall) AS macro_r, sum(hits) / sum(k) AS micro_p, sum(hits) / sum(n_targets) AS micro_r, avg(ndcg) AS ndcg, avg(ap) AS map FROM f) SELECT round(macro_p, 6) AS macro_p, round(macro_r, 6) AS macro_r, round(2 * macro_p * macro_r / (macro_p + macro_r), 6) AS macro_f1, round(micro_p, 6) AS micro_p, round(micro_r, 6) AS micro_r, round(2 * micro_p * micro_r / (micro_p + micro_r), 6) AS micro_f1, round(ndcg, 6) AS ndcg, round(map, 6) AS map FROM s")
-def keyphrase_corpus_measures(spark, d, pairs=X.keyphrase_pairs):
+def keyphrase_corpus_measures(spark, d, pairs=X.keyphrase_words):
     out = P.corpus_measures(P.document_measures(pairs(spark, d), 5))
     return out.select(*(r6(F.col(c), c) for c in out.columns))
 
@@ -310,7 +309,7 @@ def keyphrase_corpus_measures(spark, d, pairs=X.keyphrase_pairs):
 @query(f"""WITH {X.SQL_PAIRS}, x AS (SELECT a.doc_id, a.pos, t.w, CASE WHEN contains(a.w, t.w) OR contains(t.w, a.w) THEN 1 ELSE 0 END AS hit FROM co a JOIN tg t USING (doc_id) WHERE a.role = 'assistant' AND a.pos <= 5),
 y AS (SELECT *, coalesce(sum(hit) OVER (PARTITION BY doc_id, w ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS seen FROM x)
 SELECT doc_id, round(sum(hit * pow(0.5::DOUBLE, seen) / log2(pos + 1)), 6) AS alpha_dcg FROM y GROUP BY doc_id""")
-def alpha_dcg(spark, d, pairs=X.keyphrase_pairs):
+def alpha_dcg(spark, d, pairs=X.keyphrase_words):
     return P.alpha_dcg(pairs(spark, d), 5).select("doc_id", r6(F.col("alpha_dcg"), "alpha_dcg"))
 
 
@@ -323,7 +322,7 @@ def _parts(hits: str, a: str, b: str) -> str:
 
 
 @query(f"{_LISTS}, x AS (SELECT doc_id, {_parts('len(list_intersect(p, t))', 'p', 't')} FROM b) SELECT doc_id, round(p, 6) AS precision, round(r, 6) AS recall, round(CASE WHEN p + r > 0 THEN 2 * p * r / (p + r) ELSE 0 END, 6) AS f1 FROM x")
-def set_measures(spark, d, pairs=X.keyphrase_pairs):
+def set_measures(spark, d, pairs=X.keyphrase_words):
     rows = pairs(spark, d).select("doc_id", O.set_measures(F.col("predictions"), F.col("targets")).alias("m"))
     return rows.select("doc_id", *(r6(F.col(f"m.{c}"), c) for c in ("precision", "recall", "f1")))
 
@@ -331,14 +330,14 @@ def set_measures(spark, d, pairs=X.keyphrase_pairs):
 @query(f"""{_LISTS}, z AS (SELECT doc_id, p, t, [list_sum([(contains(x, y) OR contains(y, x))::INT for y in t]) > 0 for x in p] AS hp, [list_sum([(contains(x, y) OR contains(y, x))::INT for y in p]) > 0 for x in t] AS ht FROM b),
 x AS (SELECT doc_id, CASE WHEN len(t) > 0 THEN len(list_filter(hp[1:len(t)], lambda e: e))::DOUBLE / len(t) ELSE 0 END AS q, CASE WHEN len(p) > 0 THEN len(list_filter(hp, lambda e: e))::DOUBLE / len(p) ELSE 0 END AS p, CASE WHEN len(t) > 0 THEN len(list_filter(ht, lambda e: e))::DOUBLE / len(t) ELSE 0 END AS r FROM z)
 SELECT doc_id, round(q, 6) AS r_precision, round(p, 6) AS precision, round(r, 6) AS recall, round(CASE WHEN p + r > 0 THEN 2 * p * r / (p + r) ELSE 0 END, 6) AS f1 FROM x""")
-def loose_measures(spark, d, pairs=X.keyphrase_pairs):
+def loose_measures(spark, d, pairs=X.keyphrase_words):
     rows = pairs(spark, d).select("doc_id", O.loose_measures(F.col("predictions"), F.col("targets")).alias("m"))
     return rows.select("doc_id", *(r6(F.col(f"m.{c}"), c) for c in ("r_precision", "precision", "recall", "f1")))
 
 
 @query(f"""{_LISTS}, x AS (SELECT doc_id, {_parts('len(list_intersect(p, t))', 'p', 't')} FROM b), y AS (SELECT doc_id, {_parts('len(list_intersect(pb, tb))', 'pb', 'tb')} FROM b)
 SELECT doc_id, round(x.p, 6) AS p1, round(x.r, 6) AS r1, round(2 * x.p * x.r / (x.p + x.r + 1e-8), 6) AS f1, round(y.p, 6) AS p2, round(y.r, 6) AS r2, round(2 * y.p * y.r / (y.p + y.r + 1e-8), 6) AS f2 FROM x JOIN y USING (doc_id)""")
-def rouge_measures(spark, d, pairs=X.keyphrase_pairs):
+def rouge_measures(spark, d, pairs=X.keyphrase_words):
     rows = pairs(spark, d).select("doc_id", *(O.rouge(F.col("predictions"), F.col("targets"), n).alias(f"m{n}") for n in (1, 2)))
     return rows.select("doc_id", *(r6(F.col(f"m{n}.{c}"), f"{c}{n}") for n in (1, 2) for c in "prf"))
 
@@ -355,10 +354,6 @@ def alignment_measures(spark, d):
     return rows.select("doc_id", r6(O.meteor(F.col("predictions"), F.col("targets")), "meteor"), r6(O.self_bleu(F.col("predictions")), "self_bleu"))
 
 
-# the queries above that have SQL are held to its first 12 words; these have all words, and no SQL
-for _f in (keyphrase_measures, keyphrase_corpus_measures, alpha_dcg, set_measures, loose_measures, rouge_measures):
-    QUERIES[f"{_f.__name__}_whole"] = partial(_f, pairs=X.keyphrase_words)
-
 
 # citations, triplets, losses
 

@@ -70,16 +70,11 @@ def keyphrase_words(spark: SparkSession, folder: str) -> DataFrame:
     return rows.groupBy(F.col("conv_id").alias("doc_id")).agg(words("assistant").alias("predictions"), words("user").alias("targets"))
 
 
-def keyphrase_pairs(spark: SparkSession, folder: str) -> DataFrame:
-    """``keyphrase_words`` cut to the first 12 on either side, as ``SQL_PAIRS`` has them."""
-    return keyphrase_words(spark, folder).select("doc_id", *(F.slice(c, 1, 12).alias(c) for c in ("predictions", "targets")))
-
-
 _W = sql_tokens("conversations").split("unnest(")[1].rsplit(") AS term", 1)[0]
 SQL_PAIRS = f"""ct AS (SELECT conv_id AS doc_id, turn, role, {_W} AS tokens FROM conversations),
 cw AS (SELECT doc_id, role, turn, unnest(tokens) AS w, generate_subscripts(tokens, 1) AS i FROM ct),
 cf AS (SELECT doc_id, role, w, min(turn * 1000000 + i) AS o FROM cw GROUP BY ALL),
-co AS (SELECT *, row_number() OVER (PARTITION BY doc_id, role ORDER BY o) AS pos FROM cf QUALIFY pos <= 12),
+co AS (SELECT *, row_number() OVER (PARTITION BY doc_id, role ORDER BY o) AS pos FROM cf),
 docs AS (SELECT DISTINCT doc_id FROM ct),
 tg AS (SELECT doc_id, w FROM co WHERE role = 'user'),
 nt AS (SELECT doc_id, count(tg.w) AS n_targets FROM docs LEFT JOIN tg USING (doc_id) GROUP BY doc_id),
