@@ -334,8 +334,8 @@ def around(text: str, at: int) -> list[tuple[int, int]]:
     return [*reversed(left), (start, end), *right]
 
 
-SCHEMA = pa.schema([("doc_id", pa.int64()), *((f"n_{k}", pa.int64()) for k in KINDS), ("base_sha256", pa.string()), ("spans", pa.string()), ("n_added", pa.int64())])
-COLUMNS = "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_added long"
+SCHEMA = pa.schema([("doc_id", pa.int64()), *((f"n_{k}", pa.int64()) for k in KINDS), ("base_sha256", pa.string()), ("spans", pa.string()), ("n_added", pa.int64()), ("n_spans", pa.int64())])
+COLUMNS = "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_added long, n_spans long"
 
 
 def found(texts: list[str | None], tagger: Tagger) -> tuple[list[dict], list[list[tuple[str, int, int]]]]:
@@ -356,11 +356,11 @@ def span_batches(batches: Iterator[pa.RecordBatch], chain: Chain) -> Iterator[pa
             base, added = found(part.column(1).to_pylist(), tagger)
             every = [{k: sorted([*x[k], *((s, e) for kind, s, e in more if kind == k)]) for k in KINDS} for x, more in zip(base, added)]
             counts = [np.array([len(x[k]) for x in base], np.int64) for k in KINDS]
-            yield batch(SCHEMA, part.column(0), *counts, [sha256(joined(x).encode()).hexdigest() for x in base], [joined(x) for x in every], np.array([len(x) for x in added], np.int64))
+            yield batch(SCHEMA, part.column(0), *counts, [sha256(joined(x).encode()).hexdigest() for x in base], [joined(x) for x in every], np.array([len(x) for x in added], np.int64), np.array([sum(map(len, x.values())) for x in every], np.int64))
 
 
 def find_pii(documents: DataFrame, chain: Chain | None = None) -> DataFrame:
-    """Counts of the patterns' spans, their digest, and all spans (kind:start:end) of every whole text; no shuffle."""
+    """Counts of the patterns' spans, their digest, all spans (kind:start:end) and their number of every whole text; no shuffle."""
     rows = need(documents, doc_id="long", text="string")
     return rows.mapInArrow(on_workers(__name__, "span_batches", learn() if chain is None else chain), COLUMNS)
 
