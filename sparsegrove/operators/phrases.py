@@ -28,6 +28,48 @@ def candidates(tokens: Column, stopwords: Column, longest: int = 5, least_chars:
     return F.array_distinct(F.filter(runs, lambda r: (F.length(r) >= least_chars) & (F.size(F.split(r, " ")) <= longest)))
 
 
+def tag_runs(tokens: Column, tags: Column) -> Column:
+    """The noun phrases of tagged tokens, each an array of tokens, in order.
+
+    Leftmost and longest: nouns (NN...) or adjectives (JJ...) before a noun or a number (CD), or one noun.  Missing tags
+    are of no kind.  One letter stands for a token, so the pattern runs once over a string as long as the text has
+    tokens and no expression rereads what is before a token.
+    """
+    letter = lambda t: F.when(F.startswith(t, F.lit("NN")), "N").when(F.startswith(t, F.lit("JJ")), "J").when(t == "CD", "C").otherwise("O")
+    marked = F.regexp_replace(F.array_join(F.transform(F.slice(tags, 1, F.size(tokens)), letter), ""), "([NJ]+[NC]|N)", "<$1>")
+    # a run's first letter becomes B, its further ones I
+    places = F.transform(F.split(marked, "[<>]"), lambda part, i: F.when(i % 2 == 1, F.concat(F.lit("B"), F.repeat(F.lit("I"), F.length(part) - 1))).otherwise(F.repeat(F.lit("O"), F.length(part))))
+    clean = F.transform(tokens, lambda t: F.translate(F.coalesce(t, F.lit("")), "\x01\x02", ""))
+    put = F.zip_with(clean, F.split(F.array_join(places, ""), ""), lambda t, at: F.when(at == "B", F.concat(F.lit("\x02"), t)).when(at == "I", F.concat(F.lit("\x01"), t)).otherwise(F.lit("\x02")))
+    return F.transform(F.filter(F.split(F.array_join(put, ""), "\x02"), lambda r: r != ""), lambda r: F.split(r, "\x01"))
+
+
+#: Signs that are no word of a phrase, fixed values.
+SIGNS = r"""!"#$%&'()*+,-./:;<=>?@[\]^_`{|}~"""
+
+
+def noun_phrases(rows: DataFrame, counts: DataFrame | None = None, shortest: int = 2, longest: int = 5) -> DataFrame:
+    """(doc_id, pos, phrase) of (doc_id, tokens, tags): a document's noun phrases of ``shortest`` tokens at least, lower-cased.
+
+    Runs that hold a sign go.  Of a longer run than ``longest`` the part of 2 to ``longest`` tokens stays that is most
+    frequent in ``counts`` (phrase, n), ties to the shorter and then the earlier part; without counts, or without
+    a part that they have, the run goes.  Each spelling counts once a document, at its first place, so two
+    spellings may give the same lower-cased phrase twice.  Tags come from the caller's tagger; null tokens or tags give none.
+    """
+    runs = rows.select("doc_id", F.posexplode(tag_runs(F.col("tokens"), F.col("tags"))).alias("pos", "run"))
+    runs = runs.where(F.size("run") >= shortest).where(~F.exists("run", lambda t: F.contains(F.lit(SIGNS), t)))
+    found = runs.where(F.size("run") <= longest).select("doc_id", "pos", F.array_join("run", " ").alias("phrase"))
+    if counts is not None:
+        wide = runs.where(F.size("run") > longest)
+        numbered = lambda n: F.transform(ngrams(F.col("run"), n), lambda p, at: F.struct(p.alias("phrase"), F.lit(n).alias("_n"), at.alias("_at")))
+        each = [numbered(n) for n in range(2, longest + 1)]
+        parts = wide.select("doc_id", "pos", F.explode(F.concat(*each)).alias("_p")).select("doc_id", "pos", "_p.*")
+        known = parts.join(counts.select("phrase", F.col("n").alias("_count")).where("n > 0"), "phrase")
+        best = known.groupBy("doc_id", "pos").agg(F.max_by("phrase", F.struct("_count", -F.col("_n"), -F.col("_at"))).alias("phrase"))
+        found = found.unionByName(best)
+    return found.groupBy("doc_id", "phrase").agg(F.min("pos").alias("pos")).select("doc_id", "pos", F.lower("phrase").alias("phrase"))
+
+
 def candidate_scores(cands: DataFrame, vectors: DataFrame, penalty: float = -0.25) -> DataFrame:
     """(doc_id, phrase, score): the sum of the weights of a phrase's words over (n - penalty)."""
     words = cands.select("doc_id", "phrase", F.split("phrase", " ").alias("w")).select("doc_id", "phrase", F.size("w").alias("n"), F.explode("w").alias("term"))

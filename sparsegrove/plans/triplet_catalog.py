@@ -127,17 +127,17 @@ def papers_of_fields(spark, d):
     return T.with_fields(docs, ["en", "fr"]).select("doc_id")
 
 
-# losses: suppliers as a batch's queries, the orders' first lines as documents
+# losses: the line items of ten order keys as a batch, suppliers as its queries, parts as its documents
 
 
 def in_batch(spark, d):
     """(batch, i, j, score, score_tokens, score_phrases): square batches of ten, scores from line items."""
-    rows = table(spark, d, "lineitem").where("l_linenumber = 1").select((F.col("l_orderkey") % 1000).alias("batch"), (F.col("l_suppkey") % 10).alias("i"), (F.col("l_partkey") % 10).alias("j"), "l_quantity", "l_discount", "l_tax")
+    rows = table(spark, d, "lineitem").select(F.expr("l_orderkey div 10").alias("batch"), (F.col("l_suppkey") % 10).alias("i"), (F.col("l_partkey") % 10).alias("j"), "l_quantity", "l_discount", "l_tax")
     own = rows.groupBy("batch", "i", "j").agg(F.sum(F.col("l_quantity").cast("double") / 25).alias("score_tokens"), F.sum(F.col("l_discount").cast("double") * 10).alias("score_phrases"), F.max(F.col("l_tax").cast("double")).alias("scale"))
     return own.withColumn("score", F.col("score_tokens") + F.col("score_phrases"))
 
 
-_BATCH = """own AS (SELECT *, score_tokens + score_phrases AS score FROM (SELECT l_orderkey % 1000 AS batch, l_suppkey % 10 AS i, l_partkey % 10 AS j, sum(CAST(l_quantity AS DOUBLE) / 25) AS score_tokens, sum(CAST(l_discount AS DOUBLE) * 10) AS score_phrases, max(CAST(l_tax AS DOUBLE)) AS scale FROM lineitem WHERE l_linenumber = 1 GROUP BY ALL)),
+_BATCH = """own AS (SELECT *, score_tokens + score_phrases AS score FROM (SELECT l_orderkey // 10 AS batch, l_suppkey % 10 AS i, l_partkey % 10 AS j, sum(CAST(l_quantity AS DOUBLE) / 25) AS score_tokens, sum(CAST(l_discount AS DOUBLE) * 10) AS score_phrases, max(CAST(l_tax AS DOUBLE)) AS scale FROM lineitem GROUP BY ALL)),
 good AS (SELECT batch, i FROM own WHERE i = j), neg AS (SELECT batch, i, max(score) / 2 AS score, max(score_tokens) / 2 AS score_tokens, max(score_phrases) / 2 AS score_phrases, max(scale) AS scale FROM own GROUP BY ALL),
 r AS (SELECT * FROM own SEMI JOIN good USING (batch, i))"""
 

@@ -1,6 +1,8 @@
 """Hand-computed fixtures and properties of the retrieval and keyphrase operators."""
 
 import math
+import random
+import re
 
 import numpy as np
 from hypothesis import given, settings
@@ -130,3 +132,31 @@ def test_bleu_by_hand():
     assert math.isclose(overlap.bleu([["a", "b", "c", "e"]], same), want)
     assert math.isclose(overlap.bleu([["a", "b", "c", "d", "e"]], same), math.exp(1 - 5 / 4))
     assert overlap.meteor_of(["running"], ["runs"]) == 0.5
+
+
+def test_noun_phrases_against_brute_force(spark):
+    r = random.Random(11)
+    kinds = {"NN": "N", "NNS": "N", "JJ": "J", "CD": "C"}
+    docs = [(k, [r.choice(["a", "B", "b", "c-d", "e", "7", "a", "b", "."]) for _ in range(n)], [r.choice(["NN", "NNS", "JJ", "CD", "VB"][: r.choice([3, 5])]) for _ in range(n)]) for k, n in enumerate([0, 1, 2, 9, 40, 60, 300, 400])]
+    counts = {"a b": 3, "b a": 3, "B b a": 3, "a a": 1, "b b c-d": 9, "c-d 7": 0}
+    want = set()
+    for k, tokens, tags in docs:
+        seen = set()
+        for pos, m in enumerate(re.finditer("[NJ]+[NC]|N", "".join(kinds.get(t, "O") for t in tags))):
+            run = tokens[m.start() : m.end()]
+            if len(run) < 2 or "." in run:
+                continue
+            if len(run) > 3:
+                parts = [" ".join(run[i : i + n]) for n in (2, 3) for i in range(len(run) - n + 1)]
+                run = max((p for p in parts if counts.get(p)), key=counts.get, default="").split()
+            phrase = " ".join(run)
+            if phrase and phrase not in seen:
+                seen.add(phrase)
+                want.add((k, pos, phrase.lower()))
+    odd = [(100, None, None), (101, ["a", None, "b"], ["NN", "NN"]), (102, ["a", "b"], None)]
+    schema = "doc_id long, tokens array<string>, tags array<string>"
+    known = spark.createDataFrame(list(counts.items()), "phrase string, n long")
+    got = phrases.noun_phrases(spark.createDataFrame(docs + odd, schema), known, 2, 3).collect()
+    assert {tuple(x) for x in got if x["doc_id"] < 100} == want and len(want) > 20
+    assert {x["doc_id"] for x in got if x["doc_id"] >= 100} <= {101}
+    assert phrases.noun_phrases(spark.createDataFrame([], schema)).count() == 0
