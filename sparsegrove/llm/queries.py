@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import html_extract, mixing, ngram_join, packing, pii, quality_fm, quality_rules, topk, toxicity, url_filter
+from . import html_extract, lexical_search, line_dedup, mixing, ngram_join, packing, pii, quality_fm, quality_rules, topk, toxicity, url_filter, whitening
 from .common import table
 
 #: The vocabulary file of a public tokenizer.
@@ -69,5 +69,18 @@ def op10_html_extraction(spark: SparkSession, folder: str) -> DataFrame:
     return html_extract.extract_pages(table(spark, folder, "pages"))
 
 
-QUERIES = {f.__name__: f for f in (op1_url_filter, op2_pii_crf, op3_risk_controlled_rules, op4_toxicity_crf, op5_maxscore_topk, op6_best_fit_packing, op7_parity_sketch_join, op8_quality_fm, op9_temperature_mixing, op10_html_extraction)}
-ORACLES = {"op1_url_filter": url_filter.oracle(), "op5_maxscore_topk": topk.oracle(), "op9_temperature_mixing": mixing.oracle()}
+def op11_embedding_whitening(spark: SparkSession, folder: str) -> DataFrame:
+    return whitening.whiten(table(spark, folder, "embeddings"), 8)
+
+
+def op12_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    lines = line_dedup.dedup_lines(table(spark, folder, "documents"))
+    return lines.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
+
+
+def op13_ranked_lexical_search(spark: SparkSession, folder: str) -> DataFrame:
+    return lexical_search.search(lexical_search.index_documents(table(spark, folder, "documents")), table(spark, folder, "benchmark"), 50)
+
+
+QUERIES = {f.__name__: f for f in (op1_url_filter, op2_pii_crf, op3_risk_controlled_rules, op4_toxicity_crf, op5_maxscore_topk, op6_best_fit_packing, op7_parity_sketch_join, op8_quality_fm, op9_temperature_mixing, op10_html_extraction, op11_embedding_whitening, op12_line_dedup, op13_ranked_lexical_search)}
+ORACLES = {"op1_url_filter": url_filter.oracle(), "op5_maxscore_topk": topk.oracle(), "op9_temperature_mixing": mixing.oracle(), "op12_line_dedup": line_dedup.oracle(), "op13_ranked_lexical_search": lexical_search.oracle()}
