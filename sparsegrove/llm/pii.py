@@ -15,9 +15,11 @@ so ties, repeated rows, further columns and empty tables make no difference.
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 from functools import lru_cache
 from hashlib import sha256
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -239,6 +241,19 @@ def spelled_address(text: str) -> bool:
     return "@" in text or bool(re.search(r"[\[({<]at|\bdot\b", text, re.I))
 
 
+class Taken:
+    """The patterns' spans of a text by start, with the furthest end up to each: whether a span meets one takes a bisection."""
+
+    def __init__(self, base: dict[str, list[tuple[int, int]]]):
+        spans = sorted(s for own in base.values() for s in own)
+        self.starts = [s for s, _ in spans]
+        self.ends = list(accumulate((e for _, e in spans), max))
+
+    def meets(self, start: int, end: int) -> bool:
+        k = bisect_left(self.starts, end)
+        return k > 0 and self.ends[k - 1] > start
+
+
 class Tagger:
     def __init__(self, chain: Chain):
         self.chain = chain
@@ -264,7 +279,7 @@ class Tagger:
     def spans(self, texts: list[str], base: list[dict[str, list[tuple[int, int]]]]) -> list[list[tuple[str, int, int]]]:
         """Spans that the patterns have not, of each text."""
         out: list[list[tuple[str, int, int]]] = [[] for _ in texts]
-        chains, flat = [], []
+        chains, flat, taken = [], [], {}
         for k, text in enumerate(texts):
             for own in self.windows(text):
                 chains.append((k, own))
@@ -281,13 +296,14 @@ class Tagger:
             for row, labels in zip(rows.tolist(), best):
                 if labels.any():
                     k, own = chains[row]
-                    out[k] += self.decoded(texts[k], own, labels[: len(own)].tolist(), base[k])
+                    if k not in taken:
+                        taken[k] = Taken(base[k])
+                    out[k] += self.decoded(texts[k], own, labels[: len(own)].tolist(), taken[k])
         return [sorted(x, key=lambda s: s[1]) for x in out]
 
     @staticmethod
-    def decoded(text: str, own: list[tuple[int, int]], labels: list[int], base: dict[str, list[tuple[int, int]]]) -> list[tuple[str, int, int]]:
+    def decoded(text: str, own: list[tuple[int, int]], labels: list[int], taken: Taken) -> list[tuple[str, int, int]]:
         out, k = [], 0
-        taken = [s for spans in base.values() for s in spans]
         while k < len(own):
             if not labels[k]:
                 k += 1
@@ -301,7 +317,7 @@ class Tagger:
                 end -= 1
             while start < end and text[start] in "\"'":
                 start += 1
-            if valid(kind, text[start:end]) and not any(s < end and start < e for s, e in taken):
+            if valid(kind, text[start:end]) and not taken.meets(start, end):
                 out.append((kind, start, end))
         return out
 
