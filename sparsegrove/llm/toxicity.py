@@ -269,12 +269,22 @@ def score_batches(batches: Iterator[pa.RecordBatch], model: Toxicity) -> Iterato
             yield batch(SCHEMA, b.column(0).slice(lo, hi - lo), scores, np.array([len(x) for x in spans], np.int32), [",".join(x) for x in spans])
 
 
+def fitting(sizes: np.ndarray, most: int) -> np.ndarray:
+    """Which texts of these sizes make up a sample of ``most`` bytes: each in turn that still fits and is no 64th of it."""
+    inside, held = np.zeros(len(sizes), np.bool_), 0
+    for k, n in enumerate(sizes.tolist()):
+        if 64 * n <= most and held + n <= most:
+            inside[k], held = True, held + n
+    return inside
+
+
 def training_rows(documents: DataFrame, labels: DataFrame, label: str, keep, most: dict[int, int]) -> pa.Table:
     """(doc_id, text, label) of at most ``most[v]`` labelled documents of each value v, by the hash of their ids.
 
     ``keep``: a condition on doc_id.  Only ids travel before the limit; the join broadcasts at most the sum
-    of ``most`` ids.  An id of several rows gives one, its smallest text; the rows with the smallest hashes stay
-    while their texts hold at most ``SAMPLE_BYTES``.
+    of ``most`` ids.  An id of several rows gives one, its smallest text.  Texts of more than ``SAMPLE_BYTES`` / 64 don't
+    train; by rising hash, a row stays if its text and those that stay before it hold at most ``SAMPLE_BYTES``, so
+    one long text leaves the others their place.
     """
     ids = need(labels, doc_id="long", **{label: "int"}).where(F.col("doc_id").isNotNull()).where(keep)
     ids = ids.groupBy("doc_id").agg(F.max(label).alias(label))  # a repeated label counts once
@@ -286,7 +296,7 @@ def training_rows(documents: DataFrame, labels: DataFrame, label: str, keep, mos
     found = texts.join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.coalesce(F.min("text"), F.lit("")).alias("text"), F.first(label).alias(label))
     found = shared_checkpoint(found)
     sizes = found.select("doc_id", F.octet_length("text").cast("long").alias("n"), F.xxhash64("doc_id", F.lit(7)).alias("h")).toArrow().sort_by([("h", "ascending"), ("doc_id", "ascending")])
-    inside = np.cumsum(sizes["n"].to_numpy()) <= SAMPLE_BYTES
+    inside = fitting(sizes["n"].to_numpy(), SAMPLE_BYTES)
     if not inside.all():
         found = found.where(F.col("doc_id").isin(sizes["doc_id"].to_numpy()[inside].tolist()))
     return found.select("doc_id", "text", label).toArrow().sort_by([("doc_id", "ascending")])
