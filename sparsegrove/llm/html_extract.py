@@ -4,7 +4,7 @@ A lenient parser builds the tree of block elements (inline ones belong to the bl
 styles, comments, the head and other unseen elements are no nodes).  Each node has features of its own tag and
 attribute tokens, of its ancestors', of its subtree (text, share of link text, text per tag, paragraphs,
 punctuation), depth and siblings.  Gradient-boosted trees, trained on pages that a seeded generator builds
-with known parts (``training_pages``), give each node a probability of three states:
+with known parts (``training_pages``, and ``plain_pages`` of little structure), give each node a probability of three states:
 
     pass   the node holds main text and other things, or can't be told
     main   the node and what is below it is main text, but for parts that are cut out
@@ -104,6 +104,30 @@ def parse(html: str) -> list[Node]:
     nodes, at, node, at_end = [root], 0, root, len(html)
     links = 0  # open links
     stack = [root]
+    #: Places in the stack of the open elements of each tag, and of those that bound a scope; the root has none.
+    places: dict[str, list[int]] = {}
+    scopes: list[int] = [0]
+
+    def innermost(tags) -> int:
+        """The place of the innermost open element of these tags; 0 if there is none, or none in the nearest scope."""
+        k = max((places[t][-1] for t in tags if places.get(t)), default=0)
+        return k if k and (scopes[-1] <= k or not SCOPE.isdisjoint(tags)) else 0
+
+    def close(k: int) -> Node:
+        """Close the elements from place k on; each is closed once, so all of it takes as long as the page has tags."""
+        for x in reversed(stack[k:]):
+            places[x.tag].pop()
+            if x.tag in SCOPE:
+                scopes.pop()
+        del stack[k:]
+        return stack[-1]
+
+    def push(x: Node) -> None:
+        places.setdefault(x.tag, []).append(len(stack))
+        if x.tag in SCOPE:
+            scopes.append(len(stack))
+        stack.append(x)
+
     unclosed: set[str] = set()  # tags without an end from here on
     for m in _TOKEN.finditer(html):
         if m.start() < at:
@@ -120,14 +144,9 @@ def parse(html: str) -> list[Node]:
                 links = max(0, links - 1)
             if tag in INLINE or tag in UNSEEN:
                 continue
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k].tag == tag:
-                    del stack[k:]
-                    node = stack[-1]
-                    links = 0
-                    break
-                if stack[k].tag in SCOPE and tag not in SCOPE:
-                    break
+            if k := innermost((tag,)):
+                node = close(k)
+                links = 0
             continue
         if tag in UNSEEN:
             if not m[0].endswith("/>"):  # all up to its end tag is unseen, or up to the body for an open head
@@ -152,20 +171,12 @@ def parse(html: str) -> list[Node]:
                 root.children.append(node)
                 root.parts.append(node)
                 nodes.append(node)
-                stack.append(node)
+                push(node)
             continue
         if tag in ENDS_PARAGRAPH and node.tag == "p":
-            stack.pop()
-            node = stack[-1]
-        closes = CLOSES.get(tag)
-        if closes:
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k].tag in closes:
-                    del stack[k:]
-                    node = stack[-1]
-                    break
-                if stack[k].tag in SCOPE:
-                    break
+            node = close(len(stack) - 1)
+        if tag in CLOSES and (k := innermost(CLOSES[tag])):
+            node = close(k)
         flags, hidden = attribute_flags(m[3]) if m[3] else (0, False)
         new = Node(tag, node, flags, hidden)
         node.children.append(new)
@@ -173,7 +184,7 @@ def parse(html: str) -> list[Node]:
         nodes.append(new)
         links = 0
         if tag not in VOID and not (m[3] and m[3].endswith("/")):
-            stack.append(new)
+            push(new)
             node = new
     if at < at_end:
         add_text(node, html[at:], links > 0)
@@ -360,6 +371,46 @@ def training_pages(pages: int = 160, seed: int = 3) -> list[str]:
     return out
 
 
+def plain_pages(pages: int = 169, seed: int = 5) -> list[str]:
+    """Pages of little text or structure, marked as ``training_pages``: bare text, a body without containers, short articles."""
+    r = np.random.default_rng(seed)
+
+    def words(lo: int, hi: int) -> str:
+        return " ".join("".join(r.choice(list("abcdeilmnorstu"), r.integers(2, 9))) + "  ,."[r.integers(4)].strip() for _ in range(int(r.integers(lo, hi))))
+
+    def inline(lo: int, hi: int) -> str:
+        return f" <b>{words(1, 4)}</b><br>".join(words(lo, hi) for _ in range(int(r.integers(1, 3))))
+
+    def paragraphs() -> str:
+        return "".join(f"<p>{inline(1, (4, 30, 120)[r.integers(3)])}</p>" for _ in range(int(r.integers(1, 4))))
+
+    def links() -> str:
+        return "".join(f'<li><a href="/">{words(1, 3)}</a></li>' for _ in range(int(r.integers(2, 8))))
+
+    def aside() -> str:
+        group = ("ad", "notice", "talk", "share", "side")[r.integers(5)]
+        name = GROUPS[group].split()[r.integers(3)]
+        return f'<div {("class", "id")[r.integers(2)]}="{name}" x="o"><p>{words(2, 16)}</p></div>'
+
+    shapes = (
+        lambda: f'<html x="m">{inline(1, 200)}',
+        lambda: f'<html><body x="m">{inline(1, 200)}</body></html>',
+        lambda: f'<html><body x="m">{paragraphs()}</body></html>',
+        lambda: f'<html><body x="m"><h1>{words(1, 8)}</h1>{paragraphs()}</body></html>',
+        lambda: f'<html><body x="m">{inline(5, 120)}<div>{inline(5, 60)}</div>{inline(5, 60)}</body></html>',
+        lambda: f'<p x="m">{inline(1, 12)}</p>',
+        lambda: f'<html><body><div x="m">{paragraphs()}</div></body></html>',
+        # short main text beside boilerplate, so that few words alone aren't taken for it
+        lambda: f'<html><body><nav x="o"><ul>{links()}</ul></nav><div class="ad" x="o">{words(2, 16)}</div><article x="m"><h1>{words(2, 10)}</h1><p>{inline(1, 15)}</article><footer x="o">&copy; {words(2, 30)}</footer></body></html>',
+        lambda: f'<html><body><div class="menu" x="o">{links()}</div><div x="m"><p>{inline(1, 15)}</p></div><footer x="o"><p>{words(2, 30)}</p></footer></body></html>',
+        lambda: f'<html><body><main x="m"><h1>{words(2, 10)}</h1><p>{inline(1, 15)}<p>{inline(1, 15)}</main><div class="footer" x="o">{words(2, 30)}</div></body></html>',
+        lambda: f'<html><body><article x="m"><h1>{words(1, 10)}</h1><p>{inline(1, 15)}<p>{inline(1, 15)}</p>{aside()}</article>{aside()}<footer x="o">{words(1, 20)}</footer></body></html>',
+        lambda: f'<html><body>{aside()}<article x="m"><p>{inline(1, 15)}</p>{aside()}<p>{inline(1, 15)}</p></article>{aside()}</body></html>',
+        lambda: f'<html><body><header x="o">{words(1, 8)}</header><article x="m"><p>{inline(1, 15)}</article><footer x="o">{words(2, 30)}</footer></body></html>',
+    )
+    return [shapes[k % len(shapes)]() for k in range(pages)]
+
+
 def labels_of(nodes: list[Node], marks: list[str | None]) -> list[int]:
     """States from marked elements: a mark holds below it until the next; what holds main text above is pass, the rest other."""
     state: list[int | None] = [None] * len(nodes)
@@ -378,11 +429,11 @@ _MARK = re.compile(r'<([a-z0-9]+)[^>]*?(?: x="([mo])")?>')
 
 def learn(pages: list[str] | None = None, seed: int = 3) -> Boosting:
     rows, states = [], []
-    for html in training_pages(seed=seed) if pages is None else pages:
+    for html in [*training_pages(seed=seed), *plain_pages()] if pages is None else pages:
         nodes = parse(html)
         # the same parse, of the page without marks, gives the nodes in the same order
-        marks: list[str | None] = [None]
-        for m in _MARK.finditer(re.sub(r"<head>.*?</head>|<!DOCTYPE[^>]*>|<html>", "", html)):
+        marks: list[str | None] = ["m" if html.startswith('<html x="m">') else None]
+        for m in _MARK.finditer(re.sub(r"<head>.*?</head>|<!DOCTYPE[^>]*>|<html[^>]*>", "", html)):
             if m[1] not in INLINE and m[1] not in UNSEEN:
                 marks.append(m[2])
         rows += node_features(nodes)
