@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.vectors import dot, normalise
+from . import index
 from .phrases import checkpointed
 
 
@@ -50,6 +51,18 @@ def gated_search(queries: DataFrame, docs: DataFrame, is_phrase: Column, k: int,
     return rank(impact_scores(weigh(queries, is_phrase, tokens, phrases), docs).join(only, ["query_id", "doc_id"], "left_semi"), k)
 
 
+def indexed_gated_search(rows: DataFrame, queries: DataFrame, is_phrase: Column, k: int, gate: int, tokens: float = 1.0, phrases: float = 1.0) -> DataFrame:
+    """``gated_search`` answered from an index.
+
+    The phrase terms decide which documents each task hands on, ``gate`` a query at most; the whole score comes along
+    as a second one, so no posting is read twice.
+    """
+    weighed = weigh(queries, is_phrase, tokens, phrases).withColumnRenamed("weight", "second")
+    both = queries.select("query_id", "term", F.when(is_phrase, F.col("weight")).otherwise(F.lit(0.0)).alias("weight")).join(weighed, ["query_id", "term"])
+    found = rank(index.search(rows, both, gate), gate)
+    return rank(found.select("query_id", "doc_id", F.col("second").alias("score")), k)
+
+
 def corpus_statistics(postings: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Of (doc_id, term, tf), one row a document and term: (term, df, idf) and one row (n_docs, avg_len)."""
     lengths = postings.groupBy("doc_id").agg(F.sum("tf").alias("len"))
@@ -76,32 +89,31 @@ def bm25_impacts(postings: DataFrame, k1: float = 0.9, b: float = 0.4, scale: in
 ITSELF = "\x00"
 
 
-def bm25_search(queries: DataFrame, tokens: DataFrame, k: int, k1: float = 0.9, b: float = 0.4, scale: int = 100) -> DataFrame:
-    """The k best documents of each query by whole-number BM25 scores, from (doc_id, tokens) without an index.
+def bm25_index(tokens: DataFrame, k1: float = 0.9, b: float = 0.4, scale: int = 100) -> DataFrame:
+    """The written index of whole-number BM25 term scores of (doc_id, tokens).
 
-    A document's length is the size of its array, so lengths and their mean need no shuffle; only postings of terms
-    that some query has are counted, weighed and joined.  queries: (query_id, term, weight).
+    One pass over the tokens gives postings and lengths: a token that no text has stands for the document itself, and
+    a document's length is the size of its array.  They are written once; statistics and weights read them.
     """
     rows = tokens.select("doc_id", "tokens", F.size("tokens").alias("len")).where("len > 0")
-    # a token that no text has stands for the document itself, so one pass gives postings and lengths
-    itself = tokens.sparkSession.range(1).select(F.lit(ITSELF).alias("term"))
-    wanted = bounded(queries.select("term").distinct().unionAll(itself))
-    each = rows.select("doc_id", "len", F.explode(F.array_append("tokens", F.lit(ITSELF))).alias("term")).join(wanted, "term", "left_semi")
-    # written once: the statistics and the scores both read it
-    found = checkpointed(each.repartition("doc_id").groupBy("doc_id", "term").agg(F.count(F.lit(1)).alias("tf"), F.first("len").alias("len")))
-    corpus = found.where(F.col("term") == ITSELF).agg(F.count(F.lit(1)).alias("n_docs"), F.avg("len").alias("avg_len"))
+    each = rows.select("doc_id", "len", F.explode(F.array_append("tokens", F.lit(ITSELF))).alias("term"))
+    found = checkpointed(each.groupBy("doc_id", "term").agg(F.count(F.lit(1)).alias("tf"), F.first("len").alias("len")))
+    n_rows, n_docs, total = found.agg(F.count(F.lit(1)), F.count_if(F.col("term") == ITSELF), F.sum(F.when(F.col("term") == ITSELF, F.col("len")))).first()
     posts = found.where(F.col("term") != ITSELF)
     terms = posts.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    asked = queries.select("query_id", "term", F.col("weight").alias("qw"))
-    # a term's statistics belong to its few query rows, not to its many postings
-    asked = asked.join(terms, "term").crossJoin(F.broadcast(corpus))
-    idf = F.log((F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1)
-    asked = asked.select("query_id", "term", "qw", idf.alias("idf"), "avg_len")
-    tf = F.col("tf")
-    weight = F.floor(F.lit(scale) * F.col("idf") * tf * (k1 + 1) / (tf + k1 * (1 - b + b * F.col("len") / F.col("avg_len")))).cast("long")
-    # dealt by document, the products of a pair are summed where they are made
-    pairs = posts.repartition("doc_id").join(bounded(asked), "term").select("query_id", "doc_id", (F.col("qw") * weight).alias("s"))
-    return rank(pairs.groupBy("query_id", "doc_id").agg(F.sum("s").alias("score")).where("score > 0"), k)
+    idf, tf, avg_len = F.log((n_docs - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1), F.col("tf"), (total or 0) / max(n_docs, 1)
+    weight = F.floor(F.lit(scale) * idf * tf * (k1 + 1) / (tf + k1 * (1 - b + b * F.col("len") / F.lit(avg_len))))
+    return index.written(posts.join(terms, "term").select("doc_id", "term", weight.alias("weight")), n_rows - n_docs)
+
+
+def indexed_search(rows: DataFrame, queries: DataFrame, k: int, threshold: float = 0.0) -> DataFrame:
+    """``search`` answered from an index: lists of the queries' terms, block by block."""
+    return rank(index.search(rows, queries, k, threshold), k)
+
+
+def bm25_search(queries: DataFrame, tokens: DataFrame, k: int) -> DataFrame:
+    """The k best documents of each query (query_id, term, weight) by whole-number BM25 scores of (doc_id, tokens)."""
+    return indexed_search(bm25_index(tokens), queries, k).withColumn("score", F.col("score").cast("long"))
 
 
 def contained_in(passages: DataFrame, docs: DataFrame) -> DataFrame:

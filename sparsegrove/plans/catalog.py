@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..functions import vectors as V
 from ..operators import evaluation as E
+from ..operators import index
 from ..operators import overlap as O
 from ..operators import phrases as P
 from ..operators import retrieval as R
@@ -95,7 +96,7 @@ def okapi_topk(spark, d):
 
 @query(f"WITH {X.SQL_MATRIX}, {X.SQL_SUPPLIERS}, s AS (SELECT query_id, doc_id, sum(qw * weight) AS score FROM sq JOIN m USING (term) GROUP BY ALL HAVING sum(qw * weight) > 500) SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank FROM s QUALIFY rank <= 10")
 def impact_topk(spark, d):
-    return R.search(X.supplier_queries(spark, d), X.matrix(spark, d), 10, 500.0)
+    return R.indexed_search(index.written(X.matrix(spark, d)), X.supplier_queries(spark, d), 10, 500.0)
 
 
 @query(f"""WITH {X.SQL_MATRIX}, {X.SQL_SUPPLIERS}, o AS (SELECT query_id, doc_id, sum(qw * weight) AS score FROM sq JOIN m USING (term) WHERE term % 5 = 0 GROUP BY ALL HAVING sum(qw * weight) > 0),
@@ -104,7 +105,7 @@ s AS (SELECT query_id, doc_id, sum(qw * weight * CASE WHEN term % 5 = 0 THEN 2.0
 SELECT s.*, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank FROM s SEMI JOIN gate USING (query_id, doc_id) QUALIFY rank <= 10""")
 def phrase_gated_topk(spark, d):
     q = X.supplier_queries(spark, d)
-    return R.gated_search(q, X.matrix(spark, d), F.col("term") % 5 == 0, 10, 50, 0.5, 2.0)
+    return R.indexed_gated_search(index.written(X.matrix(spark, d)), q, F.col("term") % 5 == 0, 10, 50, 0.5, 2.0)
 
 
 @query(f"""WITH {X.SQL_MATRIX}, {X.SQL_SUPPLIERS}, need AS (SELECT query_id, least(4, count(*) // 5) AS need FROM sq GROUP BY query_id),

@@ -51,3 +51,14 @@ def running_gap_groups(rows: DataFrame, key: str, time: str, gap: float) -> Data
 
     named = rows.select(key, F.col(time).alias("at"))
     return named.groupBy(key).applyInPandasWithState(update, f"`{key}` {kind}, at timestamp, `group` long", "last double, grp long", "append", "NoTimeout")
+
+
+def index_stream(vectors: DataFrame, folder: str, checkpoint: str):
+    """Append a stream of (doc_id, term, weight) to an inverted index, a batch of it for each batch of the stream.
+
+    A batch that the stream repeats after a failure replaces what it wrote before.  A document's postings arrive in one
+    batch.
+    """
+    from ..operators import index
+
+    return vectors.writeStream.foreachBatch(lambda rows, batch: index.write(rows, folder, batch)).option("checkpointLocation", checkpoint)
