@@ -109,6 +109,11 @@ def from_positions(positions: Column) -> Column:
     return F.array_join(F.transform(F.sequence(F.lit(0), last.cast("int")), lambda i: F.coalesce(F.try_element_at(by_place, i), F.lit(""))), " ")
 
 
+def source_text(title: Column, abstract: Column) -> Column:
+    """``title . abstract``, as sources of keyphrase sets are written; nulls are empty."""
+    return F.concat(F.coalesce(title, F.lit("")), F.lit(" . "), F.coalesce(abstract, F.lit("")))
+
+
 def position_score(text: Column, phrase: Column) -> Column:
     """1 + 1 / log2(words before the phrase + 2); 1 where it is absent."""
     at = F.instr(text, phrase)

@@ -126,6 +126,15 @@ def own_document_measures(run: DataFrame, own: DataFrame, ks: list[int], queries
     return hit.groupBy("k").agg(F.avg(found.cast("double")).alias("recall"), F.avg(F.when(found, F.when(F.col("k") == 1, 1.0).otherwise(1 / F.col("place"))).otherwise(0.0)).alias("mrr"))
 
 
+def staged_measures(runs: dict[str, DataFrame], own: DataFrame, ks: list[int]) -> DataFrame:
+    """(stage, k, recall, mrr) of the runs of several stages (sparse, dense, reranked) by the queries' own documents."""
+    out = None
+    for stage, run in runs.items():
+        rows = own_document_measures(run, own, ks).select(F.lit(stage).alias("stage"), "k", "recall", "mrr")
+        out = rows if out is None else out.unionAll(rows)
+    return out
+
+
 def drop_from(rows: DataFrame, name: str, value: str, base: str) -> DataFrame:
     """``rows`` with drop: by how many percent a value is below that of the row called ``base``."""
     whole = rows.where(F.col(name) == base).select(F.col(value).alias("_base"))

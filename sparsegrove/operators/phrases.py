@@ -89,6 +89,16 @@ def vocabulary(occurrences: DataFrame, least: int, base: DataFrame | None = None
     return out if base is None else out.join(base.select("phrase").distinct(), "phrase", "left_anti")
 
 
+def frequent_but_not_in(counts: DataFrame, n: int, other: DataFrame) -> DataFrame:
+    """(phrase, n, rank): the n most frequent phrases of (phrase, n), ties to the smaller, that another vocabulary lacks.
+
+    The first n are taken by a limit, which sorts parts before it merges them; only they are numbered.
+    """
+    first = counts.orderBy(F.desc("n"), "phrase").limit(n)
+    ranked = first.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("n"), "phrase")))
+    return ranked.join(other.select("phrase").distinct(), "phrase", "left_anti")
+
+
 WORD_PATTERN = r"^([a-zA-Z]+-)*[a-zA-Z]+((\s|-)[0-9]+){0,1}$"
 
 

@@ -160,9 +160,11 @@ def okapi_scores(queries: DataFrame, postings: DataFrame, k1: float = 1.5, b: fl
 QUERY_BLOCK = 4096
 
 
-def dense_search(queries: DataFrame, docs: DataFrame, k: int) -> DataFrame:
+def dense_search(queries: DataFrame, docs: DataFrame, k: int, digits: int | None = None) -> DataFrame:
     """The k documents of the largest cosine: (query_id, v) against (doc_id, v), a flat index.
 
+    digits: cosines are rounded to so many before they are ranked, so that sums in another order tie.
+
     Queries are counted: one block of them is broadcast, so each row of ``docs`` is read once and no vector
     shuffles; more are dealt into blocks, and each block is joined with all documents under its number.
     """
@@ -174,7 +176,8 @@ def dense_search(queries: DataFrame, docs: DataFrame, k: int) -> DataFrame:
     else:
         dealt = d.withColumn("_block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
         pairs = dealt.join(q.withColumn("_block", F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int")), "_block")
-    return rank(pairs.select("query_id", "doc_id", dot(F.col("qv"), F.col("dv")).alias("score")), k)
+    score = dot(F.col("qv"), F.col("dv"))
+    return rank(pairs.select("query_id", "doc_id", (score if digits is None else F.round(score, digits)).alias("score")), k)
 
 
 def max_sim(queries: DataFrame, docs: DataFrame) -> DataFrame:
@@ -226,3 +229,20 @@ def enough_matches(queries: DataFrame, docs: DataFrame, k: int, share: int = 5,
     needs = q.groupBy("query_id").agg(F.least(F.lit(most), F.floor(F.count(F.lit(1)) / share)).alias("need"))
     hits = q.join(docs, "term").groupBy("query_id", "doc_id").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("qw") * F.col("weight")).alias("score"))
     return rank(hits.join(needs, "query_id").where("n >= need").select("query_id", "doc_id", "score"), k)
+
+
+def query_likelihood(pairs: DataFrame, queries: DataFrame, postings: DataFrame, dictionary: DataFrame | None = None, least: float = 1e-10) -> DataFrame:
+    """(query_id, doc_id, likelihood): the mean over a query's distinct terms of occurrences times log(tf / length).
+
+    pairs: (query_id, doc_id); queries: (query_id, term, tf); postings: (doc_id, term, tf).  A term that the document
+    lacks has the probability ``least``.  dictionary: (term), without whose terms neither side has any; a query that
+    is left without terms gives no row.
+    """
+    if dictionary is not None:
+        known = dictionary.select("term").distinct()
+        queries, postings = (x.join(known, "term", "left_semi") for x in (queries, postings))
+    lengths = postings.groupBy("doc_id").agg(F.sum("tf").alias("len"))
+    asked = queries.select("query_id", "term", F.col("tf").alias("qtf"))
+    rows = pairs.select("query_id", "doc_id").join(asked, "query_id").join(lengths, "doc_id", "left").join(postings, ["doc_id", "term"], "left")
+    log = F.log(F.coalesce(F.col("tf") / F.col("len"), F.lit(least)))
+    return rows.groupBy("query_id", "doc_id").agg((F.sum(F.col("qtf") * log) / F.count(F.lit(1))).alias("likelihood"))

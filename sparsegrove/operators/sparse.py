@@ -83,6 +83,13 @@ def boost(vectors: DataFrame, scores: DataFrame, factor: float = 0.1) -> DataFra
     return joined.select("doc_id", "term", (F.col("weight") + F.lit(factor) * F.coalesce("score", F.lit(0))).alias("weight"))
 
 
+def term_scores(vectors: DataFrame, digits: int = 2) -> DataFrame:
+    """(doc_id, terms, scores): each document's terms by falling weight (ties by term), rounded; weights of 0 go."""
+    order = F.array_sort(F.collect_list(F.struct((-F.col("weight")).alias("w"), "term")))
+    rows = vectors.where("weight <> 0").groupBy("doc_id").agg(order.alias("x"))
+    return rows.select("doc_id", F.col("x.term").alias("terms"), F.transform("x", lambda t: F.round(-t["w"], digits)).alias("scores"))
+
+
 def posting_lengths(vectors: DataFrame) -> DataFrame:
     return vectors.groupBy("term").agg(F.count(F.lit(1)).alias("n"))
 

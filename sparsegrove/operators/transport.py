@@ -1,7 +1,7 @@
 """Optimal transport between the token vectors of two texts, tokens weighed by idf, with a proved tolerance.
 
 A text is a distribution over its distinct tokens (occurrences times idf, scaled to 1); moving mass from one token to
-another costs the distance of their unit vectors.  The least cost is approached by entropic scaling in the log domain, in
+another costs the distance of their unit vectors.  The least cost is approached by entropic scaling, its potentials taken up into the plan every few rounds, in
 padded batches of like size: the strength of the entropy halves whenever the plan's margins are near those wanted, and
 goes on from the potentials found.  After every few rounds two exact bounds are taken.  Rounding the plan to the margins gives a
 transport that exists, so its cost is no less than the least; potentials made feasible give a value that is no greater.  A pair
@@ -25,7 +25,7 @@ TOLERANCE = 1e-3
 #: Cells of a padded batch; a larger pair is a batch of its own.
 CELLS = 1 << 18
 #: Rounds between two looks at the bounds, and looks at most.
-ROUNDS, LOOKS = 40, 250
+ROUNDS, LOOKS = 100, 250
 
 
 def softmin(x: np.ndarray, axis: int) -> np.ndarray:
@@ -69,11 +69,17 @@ def transport(cost: np.ndarray, a: np.ndarray, b: np.ndarray, tolerance: float =
     for _ in range(LOOKS):
         c, e = cost[live], strength[live][:, None, None]
         la, lb, fl, gl = log_a[live], log_b[live], f[live], g[live]
+        # once in the log domain, which is safe at any strength; then by scaling that plan, which takes products alone
+        fl = np.where(a[live] > 0, e[:, 0] * softmin((c - gl[:, None, :]) / e - lb[:, None, :], 2), 0)
+        gl = np.where(b[live] > 0, e[:, 0] * softmin((c - fl[:, :, None]) / e - la[:, :, None], 1), 0)
+        plan = np.exp((fl[:, :, None] + gl[:, None, :] - c) / e + la[:, :, None] + lb[:, None, :])
+        u, v = np.ones_like(fl), np.ones_like(gl)
         for _ in range(ROUNDS):
-            fl = np.where(a[live] > 0, e[:, 0] * softmin((c - gl[:, None, :]) / e - lb[:, None, :], 2), 0)
-            gl = np.where(b[live] > 0, e[:, 0] * softmin((c - fl[:, :, None]) / e - la[:, :, None], 1), 0)
+            u = np.where(a[live] > 0, a[live] / np.maximum((plan @ v[:, :, None])[:, :, 0], 1e-300), 1)
+            v = np.where(b[live] > 0, b[live] / np.maximum((u[:, None, :] @ plan)[:, 0], 1e-300), 1)
+        fl, gl = fl + e[:, 0] * np.log(u), gl + e[:, 0] * np.log(v)
         f[live], g[live] = fl, gl
-        plan = np.exp((fl[:, :, None] + gl[:, None, :] - c) / e + la[:, :, None] + lb[:, None, :])
+        plan = u[:, :, None] * plan * v[:, None, :]
         best[live] = np.minimum(best[live], rounded(plan, c, a[live], b[live]))
         low[live] = np.maximum(low[live], feasible(c, fl, a[live], b[live]))
         away = np.abs(plan.sum(2) - a[live]).sum(1) * largest[live]
@@ -153,7 +159,9 @@ def mover_scores(rows: DataFrame, factory: Callable, tolerance: float = TOLERANC
     own = rows.select("doc_id").join(masses(rows, "prediction"), "doc_id", "left").join(masses(rows, "target"), "doc_id", "left")
     columns = [F.coalesce(c, empty[k % 2]).alias(c) for k, c in enumerate(("prediction_tokens", "prediction_masses", "target_tokens", "target_masses"))]
     kind = rows.schema["doc_id"].dataType.simpleString()
-    found = own.select("doc_id", *columns).mapInArrow(on_workers(rows.sparkSession, __name__, "mover_batches", factory, tolerance), f"doc_id {kind}, cost double, gap double")
+    # the matrices are the work, not the rows: all cores share them
+    dealt = own.select("doc_id", *columns).repartition(rows.sparkSession.sparkContext.defaultParallelism, "doc_id")
+    found = dealt.mapInArrow(on_workers(rows.sparkSession, __name__, "mover_batches", factory, tolerance), f"doc_id {kind}, cost double, gap double")
     return found.select("doc_id", F.coalesce(1 / (1 + F.col("cost")), F.lit(0.0)).alias("score"), "cost", "gap")
 
 

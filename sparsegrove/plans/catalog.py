@@ -449,11 +449,8 @@ def containment_rates(spark, d):
 x AS (SELECT j.query_id, j.doc_id, qq.term, qtf, len, coalesce(tf / len, 1e-10::DOUBLE) AS pr FROM j JOIN qq USING (query_id) JOIN l USING (doc_id) LEFT JOIN p ON p.doc_id = j.doc_id AND p.term = qq.term)
 SELECT query_id, doc_id, round(sum(qtf * ln(pr)) / count(*), 6) AS likelihood FROM x GROUP BY ALL""")
 def query_likelihood(spark, d):
-    p = X.postings(spark, d)
-    lengths = p.groupBy("doc_id").agg(F.sum("tf").alias("len"))
-    q = X.postings(spark, d, "benchmark", "item_id", "query_id").withColumnRenamed("tf", "qtf")
-    rows = qrels(spark, d).join(q, "query_id").join(lengths, "doc_id").join(p, ["doc_id", "term"], "left")
-    return rows.groupBy("query_id", "doc_id").agg(r6(F.sum(F.col("qtf") * F.log(F.coalesce(F.col("tf") / F.col("len"), F.lit(1e-10)))) / F.count(F.lit(1)), "likelihood"))
+    found = R.query_likelihood(qrels(spark, d), X.postings(spark, d, "benchmark", "item_id", "query_id"), X.postings(spark, d))
+    return found.select("query_id", "doc_id", r6(F.col("likelihood"), "likelihood"))
 
 
 @query()
