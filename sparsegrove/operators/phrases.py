@@ -200,21 +200,35 @@ def _dcg(rel: Column, k: Column) -> Column:
     return _sum(F.transform(F.slice(rel, 1, k), lambda r, i: r / F.log2(i + 2)))
 
 
+def _precisions(rel: Column) -> Column:
+    """The sum over hits of the precision at their places, in one pass."""
+    start = F.struct(F.lit(0).alias("i"), F.lit(0.0).alias("seen"), F.lit(0.0).alias("total"))
+    step = lambda s, x: F.struct((s["i"] + 1).alias("i"), (s["seen"] + x).alias("seen"), (s["total"] + x * (s["seen"] + x) / (s["i"] + 1)).alias("total"))
+    return F.aggregate(rel, start, step, lambda s: s["total"])
+
+
 def document_measures(pairs: DataFrame, k: int | str) -> DataFrame:
     """Of (doc_id, predictions, targets), both distinct in order: precision, recall, f1, ndcg, ap at k.
 
     k: a number, or "M" (as many as predicted), "O" (as many as targets), "G" (the greater).  Precision divides
     by k even if fewer are predicted; the ideal order of NDCG is the list's own.
     """
+    return document_measures_at(pairs, [k]).drop("cut")
+
+
+def document_measures_at(pairs: DataFrame, ks: list[int | str]) -> DataFrame:
+    """``document_measures`` at several k, a row each with its name in ``cut``; predictions meet targets once."""
     n_p, n_t = F.size("predictions"), F.size("targets")
-    at = {"M": n_p, "O": n_t, "G": F.greatest(n_p, n_t)}.get(k, F.lit(k)).cast("int") if isinstance(k, str) else F.lit(int(k))
-    rows = pairs.withColumn("rel", matches(F.col("predictions"), F.col("targets"))).withColumn("k", at).withColumn("n_targets", n_t)
-    hits = _sum(F.slice("rel", 1, F.greatest(F.col("k"), F.lit(0))))
-    rows = rows.withColumn("hits", hits)
+    at = lambda k: {"M": n_p, "O": n_t, "G": F.greatest(n_p, n_t)}.get(k, F.lit(k)) if isinstance(k, str) else F.lit(int(k))
+    cuts = F.array(*(F.struct(F.lit(str(k)).alias("cut"), at(k).cast("int").alias("k")) for k in ks))
+    met = pairs.select("doc_id", matches(F.col("predictions"), F.col("targets")).alias("rel"), n_t.alias("n_targets"), cuts.alias("cuts"))
+    rows = met.select("doc_id", "rel", "n_targets", F.explode("cuts").alias("x")).select("doc_id", "rel", "n_targets", "x.cut", "x.k")
+    first = F.slice("rel", 1, F.greatest(F.col("k"), F.lit(0)))
+    rows = rows.withColumn("hits", _sum(first))
     p, r = _ratio(F.col("hits"), F.col("k")), _ratio(F.col("hits"), F.col("n_targets"))
-    ap = _ratio(_sum(F.transform(F.slice("rel", 1, F.col("k")), lambda x, i: x * _sum(F.slice("rel", 1, i + 1)) / (i + 1))), F.col("n_targets"))
+    ap = _ratio(_precisions(first), F.col("n_targets"))
     ndcg = _ratio(_dcg(F.col("rel"), F.col("k")), _dcg(F.sort_array("rel", asc=False), F.col("k")))
-    return rows.select("doc_id", "k", "hits", "n_targets", p.alias("precision"), r.alias("recall"), _ratio(2 * p * r, p + r).alias("f1"), ndcg.alias("ndcg"), ap.alias("ap"))
+    return rows.select("doc_id", "cut", "k", "hits", "n_targets", p.alias("precision"), r.alias("recall"), _ratio(2 * p * r, p + r).alias("f1"), ndcg.alias("ndcg"), ap.alias("ap"))
 
 
 def corpus_measures(documents: DataFrame) -> DataFrame:

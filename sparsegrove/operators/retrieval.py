@@ -85,35 +85,20 @@ def bm25_impacts(postings: DataFrame, k1: float = 0.9, b: float = 0.4, scale: in
     return rows.select("doc_id", "term", F.floor(score).cast("long").alias("weight"))
 
 
-#: A term that stands for a document itself.
-ITSELF = "\x00"
-
-
-def bm25_index(tokens: DataFrame, k1: float = 0.9, b: float = 0.4, scale: int = 100) -> DataFrame:
-    """The written index of whole-number BM25 term scores of (doc_id, tokens).
-
-    One pass over the tokens gives postings and lengths: a token that no text has stands for the document itself, and
-    a document's length is the size of its array.  They are written once; statistics and weights read them.
-    """
-    rows = tokens.select("doc_id", "tokens", F.size("tokens").alias("len")).where("len > 0")
-    each = rows.select("doc_id", "len", F.explode(F.array_append("tokens", F.lit(ITSELF))).alias("term"))
-    found = checkpointed(each.groupBy("doc_id", "term").agg(F.count(F.lit(1)).alias("tf"), F.first("len").alias("len")))
-    n_rows, n_docs, total = found.agg(F.count(F.lit(1)), F.count_if(F.col("term") == ITSELF), F.sum(F.when(F.col("term") == ITSELF, F.col("len")))).first()
-    posts = found.where(F.col("term") != ITSELF)
-    terms = posts.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    idf, tf, avg_len = F.log((n_docs - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1), F.col("tf"), (total or 0) / max(n_docs, 1)
-    weight = F.floor(F.lit(scale) * idf * tf * (k1 + 1) / (tf + k1 * (1 - b + b * F.col("len") / F.lit(avg_len))))
-    return index.written(posts.join(terms, "term").select("doc_id", "term", weight.alias("weight")), n_rows - n_docs)
-
-
 def indexed_search(rows: DataFrame, queries: DataFrame, k: int, threshold: float = 0.0) -> DataFrame:
     """``search`` answered from an index: lists of the queries' terms, block by block."""
     return rank(index.search(rows, queries, k, threshold), k)
 
 
 def bm25_search(queries: DataFrame, tokens: DataFrame, k: int) -> DataFrame:
-    """The k best documents of each query (query_id, term, weight) by whole-number BM25 scores of (doc_id, tokens)."""
-    return indexed_search(bm25_index(tokens), queries, k).withColumn("score", F.col("score").cast("long"))
+    """The k best documents of each query (query_id, term, weight) by whole-number BM25 scores of (doc_id, tokens).
+
+    The texts are indexed where they lie, in a scratch folder, and the index answers.
+    """
+    spark = tokens.sparkSession
+    folder = index.scratch(spark)
+    index.write_texts(tokens, folder)
+    return rank(index.bm25_search(index.read(spark, folder), queries, k), k).withColumn("score", F.col("score").cast("long"))
 
 
 def contained_in(passages: DataFrame, docs: DataFrame) -> DataFrame:

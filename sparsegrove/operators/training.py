@@ -46,9 +46,16 @@ def pairs_in_group(members: DataFrame, group: str, item: str) -> DataFrame:
 
 
 def co_occurring(members: DataFrame, group: str, item: str, k: int) -> DataFrame:
-    """(item, other, n, rank): the k items most often in one group with each item, itself among them."""
-    other = members.select(group, F.col(item).alias("other"))
-    counts = members.join(other, group).groupBy(item, "other").agg(F.count(F.lit(1)).alias("n"))
+    """(item, other, n, rank): the k items most often in one group with each item, itself among them.
+
+    A group's items are counted first, so repeats of an item make no further pairs, and a pair is made in one
+    direction alone: it is turned round when it has been counted.
+    """
+    own = members.groupBy(group, item).agg(F.count(F.lit(1)).alias("m"))
+    left, right = own.select(group, F.col(item).alias("a"), "m"), own.select(group, F.col(item).alias("b"), F.col("m").alias("mb"))
+    pairs = left.join(right, group).where("a <= b").groupBy("a", "b").agg(F.sum(F.col("m") * F.col("mb")).alias("n"))
+    ways = F.when(F.col("a") == F.col("b"), F.array(F.struct("a", "b"))).otherwise(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b"))))
+    counts = pairs.select("n", F.explode(ways).alias("x")).select(F.col("x.a").alias(item), F.col("x.b").alias("other"), "n")
     order = Window.partitionBy(item).orderBy(F.desc("n"), "other")
     return counts.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
@@ -103,8 +110,13 @@ def log_sum_exp(values: Column) -> Column:
     return top + F.log(F.aggregate(F.transform(values, lambda v: F.exp(v - top)), F.lit(0.0), lambda s, x: s + x))
 
 
+def softplus(x: Column) -> Column:
+    """log(1 + exp(x)), of large x too; no arrays, so it stays within generated code."""
+    return F.greatest(x, F.lit(0.0)) + F.log1p(F.exp(-F.abs(x)))
+
+
 def pairwise_nll(pos: Column, neg: Column) -> Column:
-    return log_sum_exp(F.array(pos, neg)) - pos
+    return softplus(neg - pos)
 
 
 def in_batch_nll(scores: Column, own: Column) -> Column:
@@ -112,7 +124,7 @@ def in_batch_nll(scores: Column, own: Column) -> Column:
 
 
 def bpr(pos: Column, neg: Column) -> Column:
-    return F.log1p(F.exp(-(pos - neg)))
+    return softplus(neg - pos)
 
 
 def margin_mse(pos: Column, neg: Column, t_pos: Column, t_neg: Column) -> Column:
@@ -121,13 +133,13 @@ def margin_mse(pos: Column, neg: Column, t_pos: Column, t_neg: Column) -> Column
 
 def kl_divergence(pos: Column, neg: Column, t_pos: Column, t_neg: Column) -> Column:
     """Of the teacher's two-way distribution from the student's."""
-    t, s = F.array(t_pos, t_neg), F.array(pos, neg)
-    part = lambda a, b: F.exp(a - log_sum_exp(t)) * ((a - log_sum_exp(t)) - (b - log_sum_exp(s)))
-    return part(t_pos, pos) + part(t_neg, neg)
+    # of two, log softmax of the first is -softplus(second - first)
+    part = lambda a, b, x, y: F.exp(-softplus(b - a)) * (softplus(y - x) - softplus(b - a))
+    return part(t_pos, t_neg, pos, neg) + part(t_neg, t_pos, neg, pos)
 
 
 def bce(logit: Column, label: Column) -> Column:
-    return F.greatest(logit, F.lit(0.0)) - logit * label + F.log1p(F.exp(-F.abs(logit)))
+    return softplus(logit) - logit * label
 
 
 def warm_up(step: Column, weight: float, steps: int) -> Column:

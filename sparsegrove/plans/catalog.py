@@ -46,7 +46,7 @@ def benchmark_queries(spark, d):
 
 
 def bm25_run(spark, d, k=10):
-    docs = table(spark, d, "documents").select("doc_id", T.search_tokens(F.col("text")).alias("tokens"))
+    docs = X.texts(spark, d).select("doc_id", T.search_tokens(F.col("text")).alias("tokens"))
     return R.bm25_search(benchmark_queries(spark, d), docs, k)
 
 
@@ -56,7 +56,7 @@ def bm25_topk(spark, d):
 
 
 def qrels(spark, d):
-    held = R.contained_in(table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), "text"), table(spark, d, "documents"))
+    held = R.contained_in(table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), "text"), X.texts(spark, d))
     return held.select("query_id", "doc_id", (F.lit(1) + F.col("doc_id") % 2).cast("int").alias("rel"))
 
 

@@ -12,9 +12,19 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def texts(spark: SparkSession, folder: str, name: str = "documents") -> DataFrame:
+    """A table of texts whose rows are dealt out anew if its files give fewer parts than there are cores.
+
+    Work on texts is per row and dear, so one small file shouldn't keep all cores but one idle; large tables have
+    parts enough and aren't shuffled.
+    """
+    rows, cores = table(spark, folder, name), spark.sparkContext.defaultParallelism
+    return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows
+
+
 def postings(spark: SparkSession, folder: str, name: str = "documents", key: str = "doc_id", alias: str = "doc_id") -> DataFrame:
     """(doc_id, term, tf) of a table of texts."""
-    words = table(spark, folder, name).select(F.col(key).alias(alias), F.explode(search_tokens(F.col("text"))).alias("term"))
+    words = texts(spark, folder, name).select(F.col(key).alias(alias), F.explode(search_tokens(F.col("text"))).alias("term"))
     return words.groupBy(alias, "term").agg(F.count(F.lit(1)).alias("tf"))
 
 
