@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import encoder_training, index, max_cover, sentences, transport
+from ..operators import encoder_training, index, max_cover, sentences, tagging, transport
 from ..operators import evaluation as E
 from ..operators import keyphrases as K
 from ..operators import phrases as P
@@ -206,3 +206,15 @@ def learnt_sentences(spark, d):
     """(doc_id, sentence, start, end) of all texts by the boundaries that they teach."""
     texts = table(spark, d, "documents").select("doc_id", "text")
     return sentences.split(texts, sentences.learn(texts)).drop("text")
+
+
+@query()
+def learnt_tags(spark, d):
+    """(doc_id, n_tokens, n_right): turns of the assistant tagged as the user's turns teach, against the rule that tagged those."""
+    last = lambda w: F.right(w, F.lit(1))
+    rule = lambda w: F.when(last(w).isin("e", "n", "s"), "NN").when(last(w).isin("a", "l"), "JJ").when(w.rlike("^[0-9]+$"), "CD").otherwise("XX")
+    turns = table(spark, d, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("doc_id"), "role", F.split("text", " ").alias("tokens"))
+    ruled = turns.where("role = 'user'").select("tokens", F.transform("tokens", rule).alias("tags"))
+    tagged = tagging.tag(turns.where("role = 'assistant'"), tagging.learn(ruled))
+    right = F.filter(F.zip_with("tags", F.transform("tokens", rule), lambda a, b: a == b), lambda same: same)
+    return tagged.select("doc_id", F.size("tags").alias("n_tokens"), F.size(right).alias("n_right"))
