@@ -17,7 +17,8 @@ stratum needs 408 good texts in its holdout part for a first step, if none of th
 rules never reject.
 
 Counts come from all labelled documents by aggregations; what reaches the driver is one row for each stratum,
-rule and cutoff, and one for each stratum and step.  Copies of a text count once: they aren't independent.
+rule and value (in thousandths), and one for each stratum and step.  Copies of a text count once: they aren't
+independent.  Near copies count each, so where labels hold many of them the bound is somewhat optimistic.
 
 Null and empty texts have no words: all statistics are 0 (and base_failed holds, by n_words < 50).  Repeated
 rows are judged one by one.  Columns beyond those needed are ignored.  Without labels no rule is certified.
@@ -30,7 +31,7 @@ from math import exp, lgamma, log, log1p
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import Words, batch, blocks, lowered, mix, need, on_workers, per_text, prefix_hashes, range_hashes, raw, shared_checkpoint, windows
@@ -213,18 +214,52 @@ def certified(steps: Steps, rejected: dict[int, int], good: int, limit: float =
     return out
 
 
-def first_step(steps: dict[int, Steps]):
-    """The first step of a document's stratum that rejects it, null if none does."""
-    none = 1 << 30
-    own = []
+#: Stands for no step.
+NONE = 1 << 30
+
+
+def step_table(spark: SparkSession, steps: dict[int, Steps]) -> DataFrame:
+    """(stratum, a column per rule): by a statistic from 0 to 1000 the first step of that rule that it exceeds, or NONE."""
+    columns = {"stratum": pa.array(sorted(steps), pa.int32())}
     for rule in RULES:
-        # a statistic x exceeds the cutoffs below it; the largest of them was reached first
-        tables = []
-        for k in range(len(STRATA) + 1):
-            at = {c: i for i, (r, c) in enumerate(steps.get(k, [])) if r == rule}
-            tables.append(F.lit([min((i for c, i in at.items() if c < x), default=none) for x in range(0, 1001)]))
-        own.append(F.element_at(F.element_at(F.array(*tables), F.col("stratum") + 1), F.least(F.greatest(F.col(rule), F.lit(0)), F.lit(1000)) + 1))
-    return F.nullif(F.least(*own), F.lit(none))
+        lists = []
+        for k in sorted(steps):
+            own = np.full(1001, NONE, np.int64)
+            for i, (r, cutoff) in reversed(list(enumerate(steps[k]))):
+                if r == rule:
+                    own[cutoff + 1 :] = np.minimum(own[cutoff + 1 :], i)
+            lists.append(own)
+        columns[f"{rule}_step"] = pa.array(lists, pa.list_(pa.int64()))
+    return spark.createDataFrame(pa.table(columns))
+
+
+def first_steps(rows: DataFrame, steps: dict[int, Steps]) -> DataFrame:
+    """``rows`` with the first step of its stratum that rejects a document, null if none does (``step``).
+
+    The table has a row a stratum, so it is broadcast.
+    """
+    if not steps:
+        return rows.withColumn("step", F.lit(None).cast("long"))
+    looked = rows.join(F.broadcast(step_table(rows.sparkSession, steps)), "stratum", "left")
+    own = [F.coalesce(F.element_at(f"{r}_step", F.least(F.greatest(F.col(r), F.lit(0)), F.lit(1000)) + 1), F.lit(NONE)) for r in RULES]
+    return looked.withColumn("step", F.nullif(F.least(*own), F.lit(NONE))).drop(*(f"{r}_step" for r in RULES))
+
+
+def rejected_counts(rows: DataFrame) -> dict[int, dict[str, dict[int, tuple[int, int]]]]:
+    """By stratum, rule and cutoff how many good and bad documents are rejected.
+
+    A document is a row a rule, counted by value: what reaches the driver is a histogram of each stratum and rule.
+    """
+    values = F.explode(F.array(*(F.struct(F.lit(r).alias("rule"), F.least(F.col(r), F.lit(1000)).alias("value")) for r in RULES)))
+    bars = rows.select("stratum", "quality", values.alias("x")).groupBy("stratum", "x.rule", "x.value").agg(F.count_if(F.col("quality") == 1).alias("good"), F.count_if(F.col("quality") != 1).alias("bad")).collect()
+    sums: dict[tuple[int, str], np.ndarray] = {}
+    for r in bars:
+        sums.setdefault((r["stratum"], r["rule"]), np.zeros((2, 1002), np.int64))[:, max(r["value"], 0)] += r["good"], r["bad"]
+    out: dict[int, dict[str, dict[int, tuple[int, int]]]] = {}
+    for (k, rule), own in sums.items():
+        above = own[:, ::-1].cumsum(axis=1)[:, ::-1]  # at v: of a value of v or more
+        out.setdefault(k, {})[rule] = {c: (int(above[0, c + 1]), int(above[1, c + 1])) for c in CUTOFFS}
+    return out
 
 
 def fit_cutoffs(statistics: DataFrame, labels: DataFrame, limit: float = LIMIT, delta: float = DELTA) -> dict[tuple[int, str], int]:
@@ -233,11 +268,10 @@ def fit_cutoffs(statistics: DataFrame, labels: DataFrame, limit: float = LIMIT,
     kinds = F.first("n_words").alias("n_words"), *(F.first(r).alias(r) for r in RULES)
     rows = statistics.join(marked, "doc_id").groupBy("text_name").agg(F.min("quality").alias("quality"), *kinds)
     rows = shared_checkpoint(rows.withColumns({"stratum": stratum(), "design": F.pmod(F.xxhash64("text_name", F.lit(11)), F.lit(DESIGN)) == 0}))
-    good = F.col("quality") == 1
-    counts = [F.struct(F.count(F.when(good & (F.col(r) > c), 1)).alias("lost"), F.count(F.when(~good & (F.col(r) > c), 1)).alias("caught")).alias(f"{r}_{c}") for r in RULES for c in CUTOFFS]
-    design = rows.where("design").groupBy("stratum").agg(F.count(F.when(good, 1)).alias("good"), *counts).collect()
-    steps = {x["stratum"]: ordered_steps({r: {c: tuple(x[f"{r}_{c}"]) for c in CUTOFFS} for r in RULES}, x["good"], limit) for x in design}
-    held = rows.where(~F.col("design") & good).groupBy("stratum", first_step(steps).alias("step")).agg(F.count(F.lit(1)).alias("n")).collect()
+    counts = rejected_counts(rows.where("design"))
+    good = {r["stratum"]: r["n"] for r in rows.where("design AND quality = 1").groupBy("stratum").agg(F.count(F.lit(1)).alias("n")).collect()}
+    steps = {k: ordered_steps(own, good.get(k, 0), limit) for k, own in counts.items()}
+    held = first_steps(rows.where("NOT design AND quality = 1"), steps).groupBy("stratum", "step").agg(F.count(F.lit(1)).alias("n")).collect() if steps else []
     out = {}
     for k, own in steps.items():
         mine = {x["step"]: x["n"] for x in held if x["stratum"] == k}

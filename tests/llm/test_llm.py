@@ -404,7 +404,7 @@ def test_certified_cutoffs_keep_their_promise(spark):
         assert got[k]["failed_rules"] == ",".join(own) and got[k]["kept"] == (not own and not got[k]["base_failed"])
     # the joint loss by hand, step by step
     steps = {0: [("bang_share", 500), ("upper_share", 300), ("bang_share", 200)]}
-    some = found.withColumn("stratum", quality_rules.stratum()).withColumn("step", quality_rules.first_step(steps)).collect()
+    some = quality_rules.first_steps(found.withColumn("stratum", quality_rules.stratum()), steps).collect()
     for x in some[:500]:
         hits = [i for i, (rule, c) in enumerate(steps[0]) if x["stratum"] == 0 and x[rule] > c]
         assert x["step"] == (hits[0] if hits else None)
