@@ -53,3 +53,21 @@ def test_running_gap_groups(stream):
             g += bool(i) and (t - sorted(times)[i - 1]).total_seconds() >= 60
             want.append((u, t.replace(tzinfo=None), g))
     assert sorted((r["user"], r["at"], r["group"]) for r in got) == sorted(want)
+
+
+def test_gap_groups_that_expire(spark, tmp_path):
+    """Files come one a trigger: groups go on across triggers, and keys whose group is over leave the state."""
+    folder = f"{tmp_path}/in"
+    parts = [[("a", 0), ("b", 2), ("a", 20)], [("a", 50), ("c", 55)], [("d", 400)], [("d", 405), ("a", 420)], [("e", 900)], [("e", 901)]]
+    for k, own in enumerate(parts):
+        rows = [(u, BEGIN + dt.timedelta(seconds=s)) for u, s in own]
+        spark.createDataFrame(rows, "user string, ts timestamp").coalesce(1).write.json(f"{folder}/part={k}")
+    stream = spark.readStream.schema("user string, ts timestamp, part int").option("maxFilesPerTrigger", 1).option("latestFirst", "false").json(folder)
+    out = S.expiring_gap_groups(stream, "user", "ts", 60.0, "10 seconds")
+    q = out.writeStream.format("memory").queryName("expiring").outputMode("append").trigger(availableNow=True).start()
+    q.awaitTermination()
+    seconds = lambda t: int((t - BEGIN.replace(tzinfo=None)).total_seconds())
+    got = sorted((r["user"], seconds(r["at"]), seconds(r["begin"])) for r in spark.table("expiring").collect())
+    assert got == [("a", 0, 0), ("a", 20, 0), ("a", 50, 0), ("a", 420, 420), ("b", 2, 2), ("c", 55, 55), ("d", 400, 400), ("d", 405, 400), ("e", 900, 900), ("e", 901, 900)]
+    held = [p["stateOperators"][0]["numRowsTotal"] for p in q.recentProgress if p["stateOperators"]]
+    assert max(held) <= 4 and held[-1] == 1  # of five keys
