@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..functions import vectors as V
 from ..operators import evaluation as E
-from ..operators import index
+from ..operators import index, max_sim
 from ..operators import overlap as O
 from ..operators import phrases as P
 from ..operators import retrieval as R
@@ -126,7 +126,7 @@ def max_sim_topk(spark, d):
         rows = table(spark, d, "lineitem").groupBy(F.col(key).alias(name), F.col("l_linenumber").alias("pos"), (F.col("l_partkey") % 200).alias("term"))
         return rows.agg(F.sum("l_quantity").cast("double").alias("weight"))
 
-    return R.rank(R.max_sim(side("l_suppkey", "query_id"), side("l_orderkey", "doc_id")), 5)
+    return R.rank(max_sim.search(side("l_suppkey", "query_id"), side("l_orderkey", "doc_id"), 5), 5)
 
 
 @query("""WITH e AS (SELECT vec_id, label, unnest(embedding) AS x, generate_subscripts(embedding, 1) AS i FROM embeddings), c AS (SELECT label AS query_id, i, avg(CAST(x AS DOUBLE)) AS x FROM e GROUP BY ALL),
