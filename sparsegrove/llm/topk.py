@@ -1,4 +1,4 @@
-"""Exact top-k inner products by MaxScore over sharded, impact-ordered postings.
+"""Exact top-k inner products by MaxScore over sharded postings.
 
 Vectors become integers, floor(scale * x).  A dimension holds two terms, its positive and its negative
 values; a query's component draws on the term of its own sign, whose products can only raise a score, while
@@ -12,13 +12,13 @@ rows whose score so far plus the bounds left can still reach the threshold (reac
 smaller id).  Negative products are bounded by nought until the whole product is taken for the rows that are
 left, so no vector that belongs to the answer is ever dropped.
 
-Vectors are dealt into shards by a hash of their id and queries into blocks; a task joins one shard with one
-block, both of bounded size.  The first shard is searched before the others: its k-th score of each query is the
-threshold that all others begin with, so they yield few rows beyond the answer.  Shards merge by a rank over
-(query, rows that passed), which each task cuts to k rows a query before they travel.
+A task reads its part of the vectors once, where they lie, in shards of ``SHARD_ROWS``; no vector shuffles.  The k-th
+score that a query has found in one strip is its threshold in the next, within a shard and from shard to shard, so later
+shards yield few candidates.  Each task hands on k rows a query, which a rank over (query, rows of all tasks) merges.  The
+queries travel in the functions' closures, in blocks of ``BLOCK_QUERIES``: more queries are more blocks, each of which
+reads the vectors once.
 
-With n vectors and m queries, n * m / ``BLOCK_QUERIES`` + m * n / ``SHARD_ROWS`` rows shuffle: exact search
-compares each query with each shard.
+With p parts of the table and m queries, k * p * m rows shuffle at most.
 
 Null or empty ids take no part; an empty vector (which holds nothing bad) scores 0 with all.  A repeated id stands
 for as many candidates; further columns are ignored; empty tables give no rows.
@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import shared_checkpoint
+from .common import on_workers
 
 SCALE = 1024
 SHARD_ROWS = 8192
@@ -112,81 +112,54 @@ class Strip:
         return rows[on], score[on]
 
 
-class Shard:
-    """Vectors in strips, by id."""
-
-    def __init__(self, ids: np.ndarray, q: np.ndarray):
-        order = np.argsort(ids, kind="stable")
-        ids, by_dim = ids[order], np.ascontiguousarray(q[order].T)
-        self.strips = [Strip(ids[a : a + STRIP], np.ascontiguousarray(by_dim[:, a : a + STRIP])) for a in range(0, len(ids), STRIP)]
-
-    def search(self, query_id: int, query: np.ndarray, k: int, least: int | None = None) -> tuple[np.ndarray, np.ndarray]:
-        """Scores and ids of the k best others that score ``least`` or more, best first, ties to the smaller id."""
-        best_s, best_i = np.zeros(0, np.int64), np.zeros(0, np.int64)
-        for strip in self.strips:
-            threshold = int(best_s[-1]) if len(best_s) == k else least
-            rows, score = strip.search(query, threshold)
-            mine = strip.ids[rows]
-            on = mine != query_id
-            s, i = np.concatenate([best_s, score[on]]), np.concatenate([best_i, mine[on]])
-            top = np.lexsort((i, -s))[:k]
-            best_s, best_i = s[top], i[top]
-        return best_s, best_i
+def strips(ids: np.ndarray, q: np.ndarray) -> list[Strip]:
+    """A shard's vectors in strips, by id."""
+    order = np.argsort(ids, kind="stable")
+    ids, by_dim = ids[order], np.ascontiguousarray(q[order].T)
+    return [Strip(ids[a : a + STRIP], np.ascontiguousarray(by_dim[:, a : a + STRIP])) for a in range(0, len(ids), STRIP)]
 
 
 OUT = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.int64())])
 
 
-def search_group(k: int):
-    def search(left: pa.Table, right: pa.Table) -> pa.Table:
-        if not left.num_rows or not right.num_rows:
-            return OUT.empty_table()
-        shard = Shard(left["vec_id"].to_numpy(), matrix(left["q"]))
-        queries, ids, scores = [], [], []
-        for query_id, q, least in zip(right["vec_id"].to_pylist(), matrix(right["q"]), right["least"].to_pylist()):
-            s, i = shard.search(query_id, q, k, least)
-            queries.append(np.full(len(s), query_id, np.int64))
-            ids.append(i)
-            scores.append(s)
-        return pa.table([np.concatenate(x) for x in (queries, ids, scores)], schema=OUT)
-
-    return search
-
-
-def remote_search(k: int):
-    from .common import on_workers
-
-    # cogroups call with two tables; on_workers passes what it gets
-    run = on_workers(__name__, "search_pair", k)
-    return lambda left, right: run((left, right))
-
-
-def search_pair(pair, k: int) -> pa.Table:
-    return search_group(k)(*pair)
+def search_batches(batches: Iterator[pa.RecordBatch], query_ids: np.ndarray, queries: np.ndarray, k: int) -> Iterator[pa.RecordBatch]:
+    """Each query's k best others among the vectors (vec_id, q) of one task, ties to the smaller id."""
+    best = [(np.zeros(0, np.int64), np.zeros(0, np.int64))] * len(query_ids)
+    for rows in batches:
+        for start in range(0, rows.num_rows, SHARD_ROWS):
+            part = rows.slice(start, SHARD_ROWS)
+            for strip in strips(part.column(0).to_numpy(zero_copy_only=False), matrix(pa.chunked_array([part.column(1)]))):
+                for j, (query_id, query) in enumerate(zip(query_ids.tolist(), queries)):
+                    best_s, best_i = best[j]
+                    found, score = strip.search(query, int(best_s[-1]) if len(best_s) == k else None)
+                    mine = strip.ids[found]
+                    on = mine != query_id
+                    if on.any():
+                        s, i = np.concatenate([best_s, score[on]]), np.concatenate([best_i, mine[on]])
+                        top = np.lexsort((i, -s))[:k]
+                        best[j] = s[top], i[top]
+    sizes = [len(s) for s, _ in best]
+    join = lambda x: np.concatenate(x) if x else np.zeros(0, np.int64)
+    yield pa.RecordBatch.from_arrays([pa.array(np.repeat(query_ids, sizes), pa.int64()), pa.array(join([i for _, i in best]), pa.int64()), pa.array(join([s for s, _ in best]), pa.int64())], schema=OUT)
 
 
 def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, scale: int = SCALE) -> DataFrame:
     """(query_id, rank, vec_id, score): for each query (vec_id, embedding) its k best rows of ``vectors`` but itself.
 
-    A vec_id that is repeated stands for as many candidates.  Counting rows, which reads no vector, sets the
-    number of shards and query blocks; both sides of a task are bounded by them.
+    A vec_id that is repeated stands for as many candidates.  Counting the queries, which reads no vector, sets the number of
+    their blocks; one block at a time passes the driver.
     """
     rows, asked = quantise(vectors, scale), quantise(queries, scale)
-    shards = max(1, -(-vectors.count() // SHARD_ROWS))
     parts = max(1, -(-queries.count() // BLOCK_QUERIES))
-    placed = rows.withColumn("shard", F.pmod(F.xxhash64("vec_id"), F.lit(shards)))
-    dealt = placed.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
-    asked = asked.withColumn("part", F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(parts)).cast("int"))
-
-    def search(vectors: DataFrame, probes: DataFrame) -> DataFrame:
-        return vectors.groupBy("shard", "part").cogroup(probes.groupBy("shard", "part")).applyInArrow(remote_search(k), "query_id long, vec_id long, score long")
-
-    found = search(dealt.where("shard = 0"), asked.withColumns({"shard": F.lit(0).cast("long"), "least": F.lit(None).cast("long")}))
-    if shards > 1:
-        found = shared_checkpoint(found)
-        least = found.groupBy(F.col("query_id").alias("vec_id")).agg(F.when(F.count(F.lit(1)) >= k, F.min("score")).alias("least"))
-        probes = asked.join(least, "vec_id", "left").withColumn("shard", F.explode(F.sequence(F.lit(1).cast("long"), F.lit(shards - 1).cast("long"))))
-        found = found.unionAll(search(dealt.where("shard > 0"), probes))
+    found = None
+    for part in range(parts):
+        block = asked.where(F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(parts)) == part).toArrow().sort_by("vec_id")
+        if not block.num_rows:
+            continue
+        own = rows.mapInArrow(on_workers(__name__, "search_batches", block["vec_id"].to_numpy(), matrix(block["q"]), k), "query_id long, vec_id long, score long")
+        found = own if found is None else found.unionAll(own)
+    if found is None:
+        return vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score long")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
