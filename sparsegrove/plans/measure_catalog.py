@@ -169,3 +169,14 @@ def candidate_topk(spark, d):
     rows = table(spark, d, "part").select(F.col("p_partkey").alias("doc_id"), F.posexplode(F.split("p_name", " ")).alias("i", "phrase"))
     counts = rows.groupBy("doc_id", "phrase").agg(F.count(F.lit(1)).alias("score"), F.min("i").alias("first"))
     return K.top_candidates(counts, 2).select("doc_id", "phrase", "score", "rank")
+
+
+@query(f"""WITH {_BASE}, two AS (SELECT subset, doc_id, role, w || ' ' || lead(w) OVER (PARTITION BY subset, doc_id, role ORDER BY pos) AS w FROM ph),
+runs AS (SELECT DISTINCT 1 AS n, subset, doc_id, role, w FROM ph UNION ALL SELECT DISTINCT 2 AS n, subset, doc_id, role, w FROM two WHERE w IS NOT NULL),
+c AS (SELECT n, subset, doc_id, count(*) FILTER (role = 'assistant') AS a, count(*) FILTER (role = 'user') AS b FROM runs GROUP BY ALL),
+m AS (SELECT x.n, x.subset, x.doc_id, count(*) AS hits FROM runs x JOIN runs y ON x.n = y.n AND x.subset = y.subset AND x.doc_id = y.doc_id AND x.w = y.w WHERE x.role = 'assistant' AND y.role = 'user' GROUP BY ALL),
+v AS (SELECT k.n, sub.subset, d.doc_id, CASE WHEN a > 0 THEN coalesce(hits, 0) / a ELSE 0 END AS p, CASE WHEN b > 0 THEN coalesce(hits, 0) / b ELSE 0 END AS r FROM (SELECT DISTINCT doc_id FROM ct) d CROSS JOIN sub CROSS JOIN (VALUES (1), (2)) k(n)
+  LEFT JOIN c ON c.n = k.n AND c.subset = sub.subset AND c.doc_id = d.doc_id LEFT JOIN m ON m.n = k.n AND m.subset = sub.subset AND m.doc_id = d.doc_id)
+SELECT subset, n, round(avg(p), 6) AS p, round(avg(r), 6) AS r, round(avg(2 * p * r / (p + r + 1e-8::DOUBLE)), 6) AS f FROM v GROUP BY ALL""")
+def rouge_by_subset(spark, d):
+    return K.rouge_by_subset(K.prepared(whole_pairs(spark, d))).select("subset", "n", *(r6(F.col(c), c) for c in "prf"))
