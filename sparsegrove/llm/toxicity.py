@@ -35,8 +35,10 @@ from .crf import Chain
 TOXIC_ROWS, CLEAN_ROWS = 1500, 2500
 #: Of the sample: windows around at most so many toxic tokens, and around as many others or three times the toxic ones.
 TOXIC_TOKENS = 4000
-#: Bytes of text that a sample of labelled rows holds at most; rows beyond go, those of the largest hashes first.
+#: Bytes of text that a sample of labelled rows holds at most; by rising hash, rows that no longer fit go.
 SAMPLE_BYTES = 32 << 20
+#: Bytes of the longest text that trains.
+TEXT_BYTES = 1 << 19
 BITS = 18
 PREFIXES = (3, 4, 5, 6)
 #: Marginals below it count as it.
@@ -270,10 +272,10 @@ def score_batches(batches: Iterator[pa.RecordBatch], model: Toxicity) -> Iterato
 
 
 def fitting(sizes: np.ndarray, most: int) -> np.ndarray:
-    """Which texts of these sizes make up a sample of ``most`` bytes: each in turn that still fits and is no 64th of it."""
+    """Which texts of these sizes make up a sample of ``most`` bytes: each in turn that still fits and isn't too long."""
     inside, held = np.zeros(len(sizes), np.bool_), 0
     for k, n in enumerate(sizes.tolist()):
-        if 64 * n <= most and held + n <= most:
+        if n <= TEXT_BYTES and held + n <= most:
             inside[k], held = True, held + n
     return inside
 
@@ -282,7 +284,7 @@ def training_rows(documents: DataFrame, labels: DataFrame, label: str, keep, mos
     """(doc_id, text, label) of at most ``most[v]`` labelled documents of each value v, by the hash of their ids.
 
     ``keep``: a condition on doc_id.  Only ids travel before the limit; the join broadcasts at most the sum
-    of ``most`` ids.  An id of several rows gives one, its smallest text.  Texts of more than ``SAMPLE_BYTES`` / 64 don't
+    of ``most`` ids.  An id of several rows gives one, its smallest text.  Texts of more than ``TEXT_BYTES`` don't
     train; by rising hash, a row stays if its text and those that stay before it hold at most ``SAMPLE_BYTES``, so
     one long text leaves the others their place.
     """
