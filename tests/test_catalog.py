@@ -4,7 +4,7 @@ import math
 import random
 
 from sparsegrove.operators import overlap
-from sparsegrove.plans import catalog
+from sparsegrove.plans import catalog, port_catalog
 
 
 def conversations(spark, folder, rows):
@@ -99,3 +99,11 @@ def test_self_bleu_against_all_pairs():
     for _ in range(300):
         phrases = [" ".join(r.choice("abc") for _ in range(r.randrange(0, 6))) for _ in range(r.randrange(0, 7))]
         assert math.isclose(overlap.self_bleu_of(phrases), slow_self_bleu(phrases), abs_tol=1e-12)
+
+
+def test_yes_shares_are_those_of_the_sql_beyond_the_range_of_exp(spark, tmp_path):
+    values = [-1.0, 0.0, 2.5, 709.78, 709.79, 900.0]
+    rows = spark.createDataFrame([(k, v) for k, v in enumerate(values)], "event_id long, value double").selectExpr("event_id", "value", "timestamp '2024-01-01 00:00:00' AS ts")
+    rows.coalesce(1).write.parquet(f"{tmp_path}/events.parquet")
+    got = [r["score"] for r in port_catalog.yes_shares(spark, str(tmp_path)).orderBy("event_id").collect()]
+    assert got[:4] == [round(1 / (1 + math.exp(-v / 2)), 6) for v in values[:4]] and all(map(math.isnan, got[4:]))
