@@ -68,6 +68,14 @@ def test_greedy_cover_lazy_equals_distributed(spark, monkeypatch):
     assert rows(phrases.greedy_cover(df, 5), "step", "phrase", "gain") == lazy
 
 
+def test_greedy_cover_writes_its_documents_once(spark, monkeypatch):
+    monkeypatch.setattr(phrases, "DRIVER_POSTINGS", 0)
+    written, keep = [], phrases.checkpointed
+    monkeypatch.setattr(phrases, "checkpointed", lambda rows: written.append(1) or keep(rows))
+    df = spark.createDataFrame([(f"p{d % 7 + j}", d) for d in range(40) for j in range(3)] + [(None, 1), ("p1", None)], "phrase string, doc_id long")
+    assert sum(r["gain"] for r in phrases.greedy_cover(df, 5).collect()) == 40 and len(written) == 1
+
+
 def test_keyphrase_measures(spark):
     df = spark.createDataFrame([(1, ["a", "x", "b"], ["a", "b"]), (2, [], ["a"]), (3, ["q"], [])], "doc_id long, predictions array<string>, targets array<string>")
     got = {r["doc_id"]: r for r in phrases.document_measures(df, 5).collect()}
