@@ -164,7 +164,7 @@ def exact_cover(spark, d):
     """The most parts that suppliers of three nations sell."""
     nations = table(spark, d, "supplier").join(table(spark, d, "nation"), F.col("s_nationkey") == F.col("n_nationkey")).select("s_suppkey", F.col("n_name").alias("phrase"))
     sold = table(spark, d, "lineitem").select("l_suppkey", F.col("l_partkey").alias("doc_id")).join(nations, F.col("l_suppkey") == F.col("s_suppkey"))
-    return max_cover.exact_cover(sold.select("phrase", "doc_id"), 3).agg(F.coalesce(F.max("covered"), F.lit(0)).cast("long").alias("covered"))
+    return max_cover.exact_cover(sold.select("phrase", "doc_id"), 3, large=True).agg(F.coalesce(F.max("covered"), F.lit(0)).cast("long").alias("covered"))
 
 
 # learning

@@ -34,6 +34,19 @@ def test_cover_equals_enumeration(spark, seed, k):
     assert (1 - 1 / math.e) * want <= greedy <= want
 
 
+@pytest.mark.parametrize("seed,budget,priced", [(0, 3, False), (1, 4, False), (2, 1, False), (5, 7, True), (6, 9, True)])
+def test_instances_that_no_task_holds(spark, monkeypatch, seed, budget, priced):
+    monkeypatch.setattr(max_cover, "MOST_POSTINGS", 10)
+    monkeypatch.setattr(max_cover, "MOST_NODES", 5)
+    sets = instance(seed)
+    costs = {p: 1.0 + k % 4 if priced else 1.0 for k, p in enumerate(sets)}
+    table = spark.createDataFrame(list(costs.items()), "phrase string, cost double") if priced else None
+    got = max_cover.exact_cover(frame(spark, sets), budget, table, large=True).collect()
+    want = best(sets, budget, costs)
+    assert {r["covered"] for r in got} == {want} == {len(set().union(*(sets[r["phrase"]] for r in got)))}
+    assert sum(costs[r["phrase"]] for r in got) <= budget
+
+
 def test_costs_and_a_budget(spark):
     sets = instance(5)
     costs = {p: 1.0 + k % 4 for k, p in enumerate(sets)}
