@@ -187,3 +187,26 @@ def test_small_functions(spark):
 def test_collections_keep_digits_at_the_ends(spark, tmp_path):
     (tmp_path / "c.tsv").write_text("7\t0 zero 0\t 1 one 1 \nx\n")
     assert [tuple(r) for r in S.collection(spark, f"{tmp_path}/c.tsv").collect()] == [("7", "0 zero 0 1 one 1")]
+
+
+def test_semantic_measures_in_blocks(spark, monkeypatch):
+    """Sides that several tasks share give what one block gives; phrases without a vector match only themselves."""
+    r = np.random.default_rng(2)
+    lists = [(1, [f"w{k}" for k in range(40)] + ["none", "w1"], [f"w{k}" for k in range(30, 90)] + ["none", "other"]), (2, ["w1"], []), (3, ["w5"], ["w6"])]
+    rows = spark.createDataFrame(lists, "doc_id long, predictions array<string>, targets array<string>")
+    table = {f"w{k}": r.normal(size=4) for k in range(90)}
+    vectors = spark.createDataFrame([(p, v.tolist()) for p, v in table.items()], "phrase string, v array<double>")
+
+    def similar(a, b):
+        return 1.0 if a == b else float(table[a] @ table[b] / np.linalg.norm(table[a]) / np.linalg.norm(table[b])) if a in table and b in table else 0.0
+
+    def mean(own, other):
+        best = [max((similar(a, b) for b in set(other)), default=0.0) for a in set(own)]
+        return sum(x for x in best if x > 0.2) / max(len(best), 1)
+
+    monkeypatch.setattr(M, "SIDE_BLOCK", 9)
+    plain = M.semantic_measures(rows, vectors, 0.2)
+    assert "FlatMapCoGroupsInArrow" in plain._jdf.queryExecution().toString()
+    got = {x["doc_id"]: x for x in plain.collect()}
+    for k, p, t in lists:
+        assert abs(got[k]["precision"] - mean(p, t)) < 1e-6 and abs(got[k]["recall"] - mean(t, p)) < 1e-6, k
