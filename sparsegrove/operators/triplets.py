@@ -13,6 +13,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .phrases import checkpointed
 from .training import group_in_row, pick_key
 
 
@@ -86,6 +87,26 @@ def title_triplets(papers: DataFrame, references: DataFrame, seed: str = "0") ->
     return rows.select("paper", F.col("title").alias("query"), F.col("abstract").alias("positive"), "negative")
 
 
+#: Ids of a block that one row is compared with; ids up to which blocks are broadcast.
+BLOCK_IDS, BROADCAST_IDS = 4096, 4_000_000
+
+
+def reference_in_group(papers: DataFrame, documents: DataFrame, *by: str, seed: str = "0") -> DataFrame:
+    """(paper, doc_id): of the other documents with the same ``by`` the one of the smallest hash of both ids.
+
+    The hash is of the pair, so all pairs of a group are looked at, but none becomes a row: a paper meets blocks of ids,
+    and hands on the best of each.
+    """
+    ids = documents.select(*by, "doc_id").distinct().transform(checkpointed)
+    sizes = ids.groupBy(*by).agg(F.ceil(F.count(F.lit(1)) / BLOCK_IDS).alias("_n"))
+    blocks = ids.join(F.broadcast(sizes), list(by)).groupBy(*by, F.pmod(F.xxhash64("doc_id"), F.col("_n")).alias("_block")).agg(F.collect_list("doc_id").alias("_ids"))
+    blocks = F.broadcast(blocks) if ids.count() <= BROADCAST_IDS else blocks
+    own = papers.select(*by, "paper").distinct().repartition(papers.sparkSession.sparkContext.defaultParallelism * 4, "paper")
+    others = F.filter("_ids", lambda d: d != F.col("paper"))
+    best = F.array_min(F.transform(others, lambda d: F.struct(pick_key(F.col("paper"), d, seed=seed).alias("k"), d.alias("d"))))
+    return own.join(blocks, list(by)).select("paper", best.alias("_best")).where("_best IS NOT NULL").groupBy("paper").agg(F.min("_best")["d"].alias("doc_id"))
+
+
 def ring(rows: DataFrame, item: str, digits: int = 2, seed: str = "0") -> DataFrame:
     """``rows`` with next: the row after each one in a seeded hash order, cyclic within buckets of the hash's first hex digits.
 

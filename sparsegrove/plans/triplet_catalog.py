@@ -62,9 +62,8 @@ def title_triplets(spark, d):
     docs = table(spark, d, "documents")
     words = F.split("text", " ")
     papers = docs.select(F.col("doc_id").alias("paper"), F.concat_ws(" ", F.try_element_at(words, F.lit(1)), F.coalesce(F.try_element_at(words, F.lit(2)), F.lit(""))).alias("title"), F.col("text").alias("abstract"))
-    side = docs.select("source", "lang", "doc_id")
-    refs = side.withColumnRenamed("doc_id", "paper").join(side, ["source", "lang"]).select("paper", "doc_id")
-    return T.title_triplets(papers, refs)
+    side = docs.where("text <> ''").select("source", "lang", "doc_id")
+    return T.title_triplets(papers, T.reference_in_group(side.withColumnRenamed("doc_id", "paper"), side, "source", "lang"))
 
 
 _RING = f"""k AS (SELECT *, {key('doc_id')} AS k FROM base), w AS (SELECT *, count(*) OVER (PARTITION BY substr(k, 1, 2)) AS n, coalesce(lead(doc_id) OVER o, first_value(doc_id) OVER o) AS next FROM k WINDOW o AS (PARTITION BY substr(k, 1, 2) ORDER BY k, doc_id)),

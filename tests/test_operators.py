@@ -168,3 +168,19 @@ def test_noun_phrases_against_brute_force(spark):
     assert {tuple(x) for x in got if x["doc_id"] < 100} == want and len(want) > 20
     assert {x["doc_id"] for x in got if x["doc_id"] >= 100} <= {101}
     assert phrases.noun_phrases(spark.createDataFrame([], schema)).count() == 0
+
+
+def test_a_groups_references_are_no_rows(spark, monkeypatch):
+    """In blocks of a few ids the best reference is that of all pairs, and each paper hands on a row a block."""
+    from pyspark.sql import functions as F
+
+    from sparsegrove.operators import triplets
+    from sparsegrove.operators.training import pick_key
+
+    monkeypatch.setattr(triplets, "BLOCK_IDS", 7)
+    docs = spark.createDataFrame([("ab"[d % 2] if d < 60 else None if d == 60 else "alone", d) for d in range(62)], "source string, doc_id long")
+    papers = docs.withColumnRenamed("doc_id", "paper")
+    pairs = papers.join(docs, "source").where("paper <> doc_id").withColumn("k", pick_key(F.col("paper"), F.col("doc_id")))
+    want = {r["paper"]: r["d"] for r in pairs.groupBy("paper").agg(F.min(F.struct("k", "doc_id"))["doc_id"].alias("d")).collect()}
+    found = triplets.reference_in_group(papers, docs, "source")
+    assert {r["paper"]: r["doc_id"] for r in found.collect()} == want and len(want) == 60
