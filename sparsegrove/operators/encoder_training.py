@@ -4,10 +4,10 @@ The encoder gives a text's hashed word b, of tf occurrences, the weight a(b) = l
 trained number a word, shared by queries and documents.  A triplet's scores are inner products of such vectors.
 
 An epoch deals the triplets into batches of about as many tokens: triplets of like length (powers of two) share a
-batch, so batches of long texts hold fewer.  They are written once an epoch, a folder each, and a step reads its own.  A step is
-one job: tasks turn their rows into derivatives by word, which Spark sums; at most one row a word reaches the driver,
-which keeps the weights, takes AdamW's step, with linear warm-up and decay of the rate, and keeps the weights whose
-moving average of the loss is lowest.
+batch, so batches of long texts hold fewer.  They are written once an epoch, a folder each, which are listed once; a step
+reads its own.  A step is one job of one stage: each task turns its rows into sums of derivatives by word, at most one row
+a word, and the driver adds up those of the few tasks of a batch.  It keeps the weights, takes AdamW's step, with linear
+warm-up and decay of the rate, and keeps the weights whose moving average of the loss is lowest.
 
 Derivatives travel as whole numbers (units of 2**-32), whose sums don't depend on the order of tasks.  So a run that is
 resumed from a checkpoint, or repeated on another number of executors, gives the same weights to the last bit.
@@ -255,9 +255,10 @@ def train(triplets: DataFrame, settings: Settings = Settings(), folder: str | No
             done += len(order)
             continue
         dealt[epoch].repartition("batch").write.partitionBy("batch").parquet(f"{written}/epoch={epoch}")
+        own_rows = spark.read.schema(dealt[epoch].schema).parquet(f"{written}/epoch={epoch}")
         for batch in order:
             if done >= state.step and (stop_after is None or state.step < stop_after):
-                step(spark.read.parquet(f"{written}/epoch={epoch}/batch={batch}"), state, steps, settings)
+                step(own_rows.where(F.col("batch") == batch), state, steps, settings)
                 if folder and state.step % settings.save_every == 0:
                     state.save(spark, folder)
             done += 1
@@ -270,11 +271,12 @@ def step(rows: DataFrame, state: State, steps: int, settings: Settings) -> None:
     """One update from a batch's rows."""
     found = rows.select(*ROLES, "t_pos", "t_neg").mapInArrow(on_workers(rows.sparkSession, __name__, "gradient_batches", state.weights, settings.loss), SUMS)
     names = [c.split(" ")[0] for c in SUMS.split(", ")][1:]
-    sums = found.groupBy("word").agg(*(F.sum(c).alias(c) for c in names)).toArrow().sort_by("word")  # a row a word at most
-    head = {c: sums[c][0].as_py() for c in names}
-    n, loss = max(head["query"], 1), head["gradient"] / UNIT / max(head["query"], 1)
-    word = sums["word"].to_numpy()[1:]
-    gradient, query, query_slope, document, document_slope = (np.bincount(word, sums[c].to_numpy()[1:] / UNIT / n, len(state.weights)) for c in names)
+    parts = found.toArrow()  # of each task of the batch a row a word at most
+    sums = np.zeros((len(names), len(state.weights) + 1), np.int64)
+    for own, c in zip(sums, names):
+        np.add.at(own, parts["word"].to_numpy() + 1, parts[c].to_numpy())
+    n, loss = max(int(sums[1, 0]), 1), int(sums[0, 0]) / UNIT / max(int(sums[1, 0]), 1)
+    gradient, query, query_slope, document, document_slope = sums[:, 1:] / UNIT / n
     quadratic = min(1.0, state.step / settings.flops_steps) ** 2
     for most, mean, slope, sides in ((settings.flops_query, query, query_slope, 1), (settings.flops_document, document, document_slope, 2)):
         # the square of a word's mean activation over the batch's texts

@@ -85,3 +85,13 @@ def test_trained_vectors_are_searched_from_the_index(spark):
     assert vectors.where("doc_id = 2").agg(F.max("weight")).first()[0] == pytest.approx(np.log1p(np.log1p(2)))
     asked = T.encode(spark.createDataFrame([("q", "plum")], "query_id string, text string"), weights, "query_id")
     assert [r["doc_id"] for r in retrieval.indexed_search(index.written(vectors), asked, 5).collect()] == [2]
+
+
+def test_a_step_is_one_job_of_one_stage(spark, tmp_path):
+    T.batches(T.examples(triplets(spark), 256), 1 << 20, "s").coalesce(2).write.parquet(str(tmp_path / "rows"))
+    rows, state, context = spark.read.parquet(str(tmp_path / "rows")), T.State(256), spark.sparkContext
+    context.setJobGroup("one step", "one step")
+    T.step(rows, state, 1, T.Settings(dim=256))
+    context.setLocalProperty("spark.jobGroup.id", None)
+    jobs = context.statusTracker().getJobIdsForGroup("one step")
+    assert state.step == 1 and len(jobs) == 1 and len(context.statusTracker().getJobInfo(jobs[0]).stageIds) == 1
