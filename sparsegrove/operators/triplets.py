@@ -26,14 +26,18 @@ def first_by_hash(rows: DataFrame, by: list[str], n: int, *keys: str, seed: str
 def negatives_outside(chosen: DataFrame, references: DataFrame, members: DataFrame, seed: str = "0") -> DataFrame:
     """``chosen`` (paper, group, ...) with negative: the paper's reference of the smallest hash that the group doesn't hold.
 
-    Groups whose paper has no other reference are left out.
+    Groups whose paper has no other reference are left out.  A group meets its paper's references in blocks of
+    ``BLOCK_IDS`` and hands on the best of each, so no pair of a group and a reference is a row.
     """
-    refs = references.select("paper", F.col("doc_id").alias("negative")).distinct()
-    inside = members.select("paper", "group", F.col("doc_id").alias("negative")).distinct()
-    open_ = chosen.select("paper", "group").distinct().join(refs, "paper").join(inside, ["paper", "group", "negative"], "left_anti")
-    key = F.struct(pick_key(F.col("group"), F.col("negative"), seed=seed).alias("k"), F.col("negative").alias("d"))
-    best = open_.groupBy("paper", "group").agg(F.min(key)["d"].alias("negative"))
-    return chosen.join(best, ["paper", "group"])
+    refs = references.groupBy("paper").agg(F.collect_set("doc_id").alias("_ids")).where(F.size("_ids") > 0)
+    starts = F.sequence(F.lit(0), F.size("_ids") - 1, F.lit(BLOCK_IDS))
+    refs = refs.select("paper", F.explode(F.transform(starts, lambda at: F.slice("_ids", at + 1, BLOCK_IDS))).alias("_ids"))
+    inside = members.groupBy("paper", "group").agg(F.collect_set("doc_id").alias("_own"))
+    groups = chosen.select("paper", "group").distinct().join(inside, ["paper", "group"], "left").join(refs, "paper")
+    others = F.when(F.col("_own").isNull(), F.col("_ids")).otherwise(F.array_except("_ids", "_own"))
+    best = F.array_min(F.transform(others, lambda d: F.struct(pick_key(F.col("group"), d, seed=seed).alias("k"), d.alias("d"))))
+    found = groups.select("paper", "group", best.alias("_best")).where("_best IS NOT NULL").groupBy("paper", "group").agg(F.min("_best")["d"].alias("negative"))
+    return chosen.join(found, ["paper", "group"])
 
 
 def co_citation_triplets(members: DataFrame, references: DataFrame, groups: int = 5, seed: str = "0") -> DataFrame:

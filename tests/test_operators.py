@@ -184,3 +184,15 @@ def test_a_groups_references_are_no_rows(spark, monkeypatch):
     want = {r["paper"]: r["d"] for r in pairs.groupBy("paper").agg(F.min(F.struct("k", "doc_id"))["doc_id"].alias("d")).collect()}
     found = triplets.reference_in_group(papers, docs, "source")
     assert {r["paper"]: r["doc_id"] for r in found.collect()} == want and len(want) == 60
+
+
+def test_negatives_pair_no_row_with_a_row(spark):
+    from sparsegrove.operators import triplets
+
+    members = spark.createDataFrame([(1, g, 10 * g + k) for g in range(4) for k in range(3)] + [(2, 9, 1), (2, 9, 2)], "paper long, group long, doc_id long")
+    chosen = members.select("paper", "group").distinct()
+    found = triplets.negatives_outside(chosen, members.select("paper", "doc_id"), members)
+    got = {(r["paper"], r["group"]): r["negative"] for r in found.collect()}
+    key = lambda g, d: __import__("hashlib").md5(f"0|{g}|{d}".encode()).hexdigest()
+    assert got == {(1, g): min((10 * h + k for h in range(4) for k in range(3) if h != g), key=lambda d: key(g, d)) for g in range(4)}
+    assert "LeftAnti" not in found._jdf.queryExecution().optimizedPlan().toString()  # groups times references, less the groups' own
