@@ -7,7 +7,8 @@ goes on from the potentials found.  After every few rounds two exact bounds are
 transport that exists, so its cost is no less than the least; potentials made feasible give a value that is no greater.  A pair
 is done when the two differ by ``TOLERANCE`` or less, or after ``LOOKS`` looks; their difference is returned beside the cost.
 
-Memory: a pair needs a few matrices of its distinct tokens on one side times those on the other.
+Memory: a pair needs a few matrices of its distinct tokens on one side times those on the other; a worker holds the vectors
+of the distinct tokens of ``PART_TOKENS`` at most (of one pair, if that has more), each once.
 """
 
 from __future__ import annotations
@@ -16,6 +17,7 @@ from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -24,6 +26,8 @@ from ..functions.remote import on_workers
 TOLERANCE = 1e-3
 #: Cells of a padded batch; a larger pair is a batch of its own.
 CELLS = 1 << 18
+#: Tokens of the pairs that a worker holds at once, and the vectors of their distinct ones.
+PART_TOKENS = 1 << 17
 #: Rounds between two looks at the bounds, and looks at most.
 ROUNDS, LOOKS = 100, 250
 
@@ -98,9 +102,20 @@ def distances(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return np.sqrt(np.maximum(2 - 2 * unit(x) @ unit(y).T, 0))
 
 
+def parts(batches, tokens: int):
+    """Slices of the batches with about so many tokens on both sides."""
+    for rows in batches:
+        ends = np.cumsum(sum(pc.list_value_length(rows.column(k)).to_numpy(zero_copy_only=False).astype(np.int64) for k in (1, 3)))
+        start = 0
+        while start < rows.num_rows:
+            stop = max(start + 1, int(np.searchsorted(ends, (ends[start - 1] if start else 0) + tokens, side="right")))
+            yield rows.slice(start, stop - start)
+            start = stop
+
+
 def mover_batches(batches, factory: Callable, tolerance: float):
     encoder = factory()
-    for rows in batches:
+    for rows in parts(batches, PART_TOKENS):
         sides = []
         for tokens, masses in ((1, 2), (3, 4)):
             lists = rows.column(tokens)
@@ -108,18 +123,18 @@ def mover_batches(batches, factory: Callable, tolerance: float):
             vectors = np.asarray(encoder(flat.dictionary.to_pylist()), float) if len(flat) else np.zeros((0, 1))
             at, code = lists.offsets.to_numpy() - lists.offsets.to_numpy()[0], flat.indices.to_numpy(zero_copy_only=False)
             mass = rows.column(masses).flatten().to_numpy(zero_copy_only=False)
-            sides.append([(vectors[code[lo:hi]], mass[lo:hi]) for lo, hi in zip(at, at[1:])])
+            sides.append([(vectors, code[lo:hi], mass[lo:hi]) for lo, hi in zip(at, at[1:])])
         costs, gaps = np.full(rows.num_rows, np.nan), np.zeros(rows.num_rows)
-        sizes = [(max(len(x[1]), len(y[1])), k) for k, (x, y) in enumerate(zip(*sides)) if len(x[1]) and len(y[1])]
+        sizes = [(max(len(x[2]), len(y[2])), k) for k, (x, y) in enumerate(zip(*sides)) if len(x[2]) and len(y[2])]
         group: list[int] = []
         for size, k in sorted(sizes, reverse=True) + [(0, -1)]:
-            widest = max((len(sides[s][j][1]) for j in group for s in (0, 1)), default=0)
+            widest = max((len(sides[s][j][2]) for j in group for s in (0, 1)), default=0)
             if group and (k < 0 or (len(group) + 1) * max(widest, size) ** 2 > CELLS):
-                m, n = (max(len(sides[s][j][1]) for j in group) for s in (0, 1))
+                m, n = (max(len(sides[s][j][2]) for j in group) for s in (0, 1))
                 cost, a, b = np.zeros((len(group), m, n)), np.zeros((len(group), m)), np.zeros((len(group), n))
                 for r, j in enumerate(group):
-                    (x, p), (y, q) = sides[0][j], sides[1][j]
-                    cost[r, : len(p), : len(q)], a[r, : len(p)], b[r, : len(q)] = distances(x, y), p, q
+                    (x, left, p), (y, right, q) = sides[0][j], sides[1][j]
+                    cost[r, : len(p), : len(q)], a[r, : len(p)], b[r, : len(q)] = distances(x[left], y[right]), p, q
                 costs[group], gaps[group] = transport(cost, a, b, tolerance)
                 group = []
             group.append(k)

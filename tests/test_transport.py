@@ -54,3 +54,22 @@ def test_idf_weighs_rare_tokens_more(spark):
     mass = {r["doc_id"]: dict(zip(r["prediction_tokens"], r["prediction_masses"])) for r in T.masses(rows, "prediction").collect()}
     assert mass[2] == {"w2": 1.0}  # a token of all texts carries nothing
     assert {r["token"]: round(r["idf"], 6) for r in T.idf_weights(rows, "prediction").collect()}["w1"] == round(float(np.log(3)), 6)
+
+
+def test_a_worker_encodes_few_tokens_at_once(monkeypatch):
+    import pyarrow as pa
+
+    from sparsegrove.operators import transport
+
+    seen, encode = [], transport.trigram_encoder()
+    factory = lambda: lambda tokens: (seen.append(len(tokens)), encode(tokens))[1]
+    words = [[f"w{10 * k + j}" for j in range(10)] for k in range(40)]
+    lists, mass = pa.array(words), pa.array([[0.1] * 10] * 40)
+    rows = pa.record_batch([pa.array(range(40)), lists, mass, pa.array(words[::-1]), mass], names=["doc_id", "a", "b", "c", "d"])
+    whole = pa.Table.from_batches(transport.mover_batches([rows], factory, 1e-3))
+    assert max(seen) == 400
+    seen.clear()
+    monkeypatch.setattr(transport, "PART_TOKENS", 100)
+    some = pa.Table.from_batches(transport.mover_batches([rows], factory, 1e-3))
+    assert max(seen) <= 50 and some["doc_id"].to_pylist() == list(range(40))
+    assert np.allclose(some["cost"].to_numpy(), whole["cost"].to_numpy(), atol=1e-9)
