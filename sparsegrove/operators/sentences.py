@@ -57,16 +57,29 @@ def cut(text: Column) -> Column:
 
 def with_next(texts: DataFrame) -> DataFrame:
     """(doc_id, at, token, next) of each token; the last has no next."""
-    tokens = texts.select("doc_id", cut(F.col("text")).alias("tokens")).where("size(tokens) > 0")
+    tokens = texts.where(F.col("text").rlike("\\S")).select("doc_id", cut(F.col("text")).alias("tokens"))
     both = F.arrays_zip(F.col("tokens").alias("token"), F.slice("tokens", F.lit(2), F.size("tokens")).alias("next"))
     return tokens.select("doc_id", F.posexplode(both).alias("at", "z")).select("doc_id", "at", "z.token", "z.next")
 
 
 def words(texts: DataFrame) -> DataFrame:
-    """(type, stop, raw next, next_type) of each token that holds more than signs around words."""
-    rows = with_next(texts).select(core(F.col("token")).alias("word"), F.col("next"), F.col("token").rlike("\n").alias("line_end"))
-    rows = rows.select(word_type(F.col("word")).alias("type"), has_stop(F.col("word")).alias("stop"), F.when(~F.col("line_end"), F.col("next")).alias("next"))
-    return rows.where("type <> ''").withColumn("next_type", word_type(core(F.col("next"))))
+    """(type, stop, times) of the tokens that hold more than signs around words.
+
+    Equal tokens are counted before they are looked at: a corpus has far fewer of them than occurrences.
+    """
+    tokens = texts.select(F.explode(F.split(F.col("text"), "\\s+")).alias("token")).where("token <> ''").groupBy("token").agg(F.count(F.lit(1)).alias("times"))
+    rows = tokens.select(core(F.col("token")).alias("word"), "times")
+    return rows.select(word_type(F.col("word")).alias("type"), has_stop(F.col("word")).alias("stop"), "times").where("type <> ''")
+
+
+def stop_pairs(texts: DataFrame) -> DataFrame:
+    """(type, next_type, pairs): words with a full stop and the word behind each in its line, counted before they are looked at."""
+    rows = with_next(texts).where(F.contains("token", F.lit(".")) & F.col("next").isNotNull())
+    bare = lambda c: F.regexp_replace(c, "\\s+$", "")
+    same = rows.where(~F.contains("token", F.lit("\n"))).select(bare("token").alias("token"), bare("next").alias("next")).groupBy("token", "next").agg(F.count(F.lit(1)).alias("times"))
+    word = same.select(core(F.col("token")).alias("word"), core(F.col("next")).alias("next"), "times").where(has_stop(F.col("word")))
+    typed = word.select(word_type(F.col("word")).alias("type"), word_type(F.col("next")).alias("next_type"), "times").where("type <> '' AND next_type <> ''")
+    return typed.groupBy("type", "next_type").agg(F.sum("times").alias("pairs"))
 
 
 def xlogy(x: Column, y: Column) -> Column:
@@ -89,7 +102,7 @@ def abbreviation_scores(counts: DataFrame) -> DataFrame:
 
 
 def type_counts(rows: DataFrame) -> DataFrame:
-    return rows.groupBy("type").agg(F.count_if("stop").alias("n_stop"), F.count_if(~F.col("stop")).alias("n_plain"))
+    return rows.groupBy("type").agg(*(F.sum(F.when(kept, F.col("times")).otherwise(0)).alias(name) for kept, name in ((F.col("stop"), "n_stop"), (~F.col("stop"), "n_plain"))))
 
 
 def likelihood(a: Column, b: Column, both: Column, n: Column) -> Column:
@@ -101,12 +114,11 @@ def likelihood(a: Column, b: Column, both: Column, n: Column) -> Column:
 
 def learn(texts: DataFrame) -> Boundaries:
     """The tables of a corpus (doc_id, text)."""
-    rows = words(texts)
     # a row a type and pair with a stop: all that the tables are made of
-    counts = checkpointed(type_counts(rows))
+    counts = checkpointed(type_counts(words(texts)))
     n = counts.agg(F.sum(F.col("n_stop") + F.col("n_plain"))).first()[0] or 0
     abbreviations = checkpointed(abbreviation_scores(counts).where(F.col("score") >= ABBREVIATION).select("type"))
-    pairs = checkpointed(rows.where("stop AND next_type <> ''").groupBy("type", "next_type").agg(F.count(F.lit(1)).alias("pairs")))
+    pairs = checkpointed(stop_pairs(texts))
     known = bounded(abbreviations.withColumn("abbreviation", F.lit(True)))
     marked = pairs.join(known, "type", "left").withColumn("abbreviation", F.coalesce("abbreviation", F.lit(False)) | F.col("type").rlike("^[a-z]$|^##number##$"))
     totals = counts.select("type", (F.col("n_stop") + F.col("n_plain")).alias("total"))
@@ -123,7 +135,7 @@ def learn(texts: DataFrame) -> Boundaries:
 
 def breaks(texts: DataFrame, tables: Boundaries) -> DataFrame:
     """(doc_id, at): tokens that a sentence ends with, but for a text's last one."""
-    rows = with_next(texts).where("next IS NOT NULL").withColumn("line_end", F.contains("token", F.lit("\n")))
+    rows = with_next(texts).where("next IS NOT NULL").where(F.col("token").rlike("[.!?\n]")).withColumn("line_end", F.contains("token", F.lit("\n")))
     rows = rows.withColumn("bare", F.regexp_replace(F.regexp_replace("token", "\\s+$", ""), "[\"')\\]”’»]+$", ""))
     may = rows.where(F.col("line_end") | F.col("bare").rlike("[.!?]$"))
     word = core(F.col("bare"))
@@ -148,7 +160,7 @@ def breaks(texts: DataFrame, tables: Boundaries) -> DataFrame:
 
 def split(texts: DataFrame, tables: Boundaries) -> DataFrame:
     """(doc_id, sentence, start, end, text): sentences in order from 0, code points, end exclusive, without outer white space."""
-    own = texts.select("doc_id", "text", cut(F.col("text")).alias("tokens")).where("size(tokens) > 0")
+    own = texts.where(F.col("text").rlike("\\S")).select("doc_id", "text", cut(F.col("text")).alias("tokens"))
     ends = breaks(texts, tables).groupBy("doc_id").agg(F.array_sort(F.collect_set("at")).alias("ends"))
     joined = own.join(ends, "doc_id", "left")
     lasts = F.concat(F.coalesce("ends", F.array().cast("array<int>")), F.array(F.size("tokens") - 1))

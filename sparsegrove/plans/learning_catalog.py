@@ -197,14 +197,14 @@ c AS (SELECT type, count(*) FILTER (stop) AS a, count(*) FILTER (NOT stop) AS b
 x AS (SELECT *, length(type) - length(replace(type, '.', '')) AS inner_stops FROM c, n WHERE a > 0 AND regexp_matches(type, '[a-z]'))
 SELECT type, a AS n_stop, b AS n_plain, round(2 * (a * ln(0.99::DOUBLE) + b * ln(0.01::DOUBLE) - a * ln(s / n) - CASE WHEN b = 0 THEN 0 ELSE b * ln(1 - s / n) END) * exp(inner_stops - length(type)) * (inner_stops + 1) * pow((length(type) - inner_stops)::DOUBLE, -b::DOUBLE), 5) + 0.0::DOUBLE AS score FROM x""")
 def abbreviation_scores(spark, d):
-    found = sentences.abbreviation_scores(sentences.type_counts(sentences.words(table(spark, d, "documents").select("doc_id", "text"))))
+    found = sentences.abbreviation_scores(P.checkpointed(sentences.type_counts(sentences.words(X.texts(spark, d).select("doc_id", "text")))))
     return found.select("type", "n_stop", "n_plain", (F.round("score", 5) + 0.0).alias("score"))  # no negative zeros
 
 
 @query()
 def learnt_sentences(spark, d):
     """(doc_id, sentence, start, end) of all texts by the boundaries that they teach."""
-    texts = table(spark, d, "documents").select("doc_id", "text")
+    texts = X.texts(spark, d).select("doc_id", "text")
     return sentences.split(texts, sentences.learn(texts)).drop("text")
 
 

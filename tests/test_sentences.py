@@ -69,3 +69,11 @@ def test_scores_against_the_formula(spark):
         ratio = -2 * (a * math.log(p) + b * math.log(1 - p) - a * math.log(0.99) - b * math.log(0.01))
         letters = len(t.replace(".", ""))
         assert got[t] == pytest.approx(ratio * math.exp(-letters) * (t.count(".") + 1) * letters**-b)
+
+
+def test_equal_words_are_looked_at_once(spark):
+    texts = spark.createDataFrame([(1, "Dr. Low  ate no. 5.\nDr. Low left. " * 50), (2, ""), (3, None), (4, " \n ")], "doc_id long, text string")
+    rows = S.words(texts)
+    assert rows.count() == 6 and {(r["type"], r["stop"]): r["times"] for r in rows.collect()}[("dr", True)] == 100
+    pairs = {(r["type"], r["next_type"]): r["pairs"] for r in S.stop_pairs(texts).collect()}
+    assert pairs == {("dr", "low"): 100, ("no", "##number##"): 50, ("left", "dr"): 49}
