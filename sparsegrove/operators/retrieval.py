@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.remote import on_workers
 from ..functions.vectors import dot, normalise
 from . import index
 from .phrases import checkpointed
@@ -63,6 +67,43 @@ def indexed_gated_search(rows: DataFrame, queries: DataFrame, is_phrase: Column,
     return rank(found.select("query_id", "doc_id", F.col("second").alias("score")), k)
 
 
+#: Tokens of the texts that a worker counts at once; rows of a batch that it hands on.
+COUNT_TOKENS, COUNT_ROWS = 1 << 20, 1 << 16
+
+
+def count_batches(batches):
+    """(key, term, tf) of batches (key, tokens), row by row."""
+    for rows in batches:
+        sizes = pc.fill_null(pc.list_value_length(rows.column(1)), 0).to_numpy(zero_copy_only=False)
+        ends, start = np.cumsum(sizes), 0
+        while start < rows.num_rows:
+            stop = max(start + 1, int(np.searchsorted(ends, (ends[start - 1] if start else 0) + COUNT_TOKENS, side="right")))
+            part = rows.slice(start, stop - start)
+            coded = part.column(1).flatten().dictionary_encode()
+            row = np.repeat(np.arange(part.num_rows), sizes[start:stop])
+            keys, tf = np.unique(row * max(len(coded.dictionary), 1) + coded.indices.to_numpy(zero_copy_only=False), return_counts=True)
+            for lo in range(0, len(keys), COUNT_ROWS):
+                own = keys[lo : lo + COUNT_ROWS]
+                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(own // len(coded.dictionary))), coded.dictionary.take(pa.array(own % len(coded.dictionary))), pa.array(tf[lo : lo + COUNT_ROWS], pa.int64())], [rows.schema.names[0], "term", "tf"])
+            start = stop
+
+
+def one_row_each(rows: DataFrame, key: str) -> bool:
+    """Whether no two rows have the same key (null is one); only keys travel."""
+    return rows.groupBy(key).agg(F.count(F.lit(1)).alias("n")).where("n > 1").isEmpty()
+
+
+def postings(texts: DataFrame, tokens: Column, key: str = "doc_id") -> DataFrame:
+    """(key, term, tf) of the rows' tokens.
+
+    Where each key has one row, its terms are counted there and nothing shuffles; else the rows of a key are one text.
+    """
+    if not one_row_each(texts, key):
+        return texts.select(key, F.explode(tokens).alias("term")).groupBy(key, "term").agg(F.count(F.lit(1)).alias("tf"))
+    rows, kind = texts.select(key, tokens.alias("tokens")), texts.schema[key].dataType.simpleString()
+    return rows.mapInArrow(on_workers(texts.sparkSession, __name__, "count_batches"), f"{key} {kind}, term string, tf long")
+
+
 def corpus_statistics(postings: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Of (doc_id, term, tf), one row a document and term: (term, df, idf) and one row (n_docs, avg_len)."""
     lengths = postings.groupBy("doc_id").agg(F.sum("tf").alias("len"))
@@ -72,14 +113,23 @@ def corpus_statistics(postings: DataFrame) -> tuple[DataFrame, DataFrame]:
     return terms.crossJoin(F.broadcast(corpus)).select("term", "df", idf.alias("idf")), corpus
 
 
-def bm25_impacts(postings: DataFrame, k1: float = 0.9, b: float = 0.4, scale: int = 100) -> DataFrame:
+def of_terms(postings: DataFrame, terms: DataFrame, wanted: DataFrame | None) -> DataFrame:
+    """``postings`` with the columns of ``terms``; only those of ``wanted`` (term), which are broadcast if they are few."""
+    if wanted is None:
+        return postings.join(terms, "term")
+    known = checkpointed(terms.join(wanted.select("term").distinct(), "term", "left_semi"))
+    return postings.join(bounded(known), "term")
+
+
+def bm25_impacts(postings: DataFrame, k1: float = 0.9, b: float = 0.4, scale: int = 100, wanted: DataFrame | None = None) -> DataFrame:
     """(doc_id, term, weight): whole-number BM25 term scores of (doc_id, term, tf).
 
-    The corpus row (two numbers) is broadcast; term statistics join by term.
+    The corpus row (two numbers) is broadcast; term statistics join by term.  wanted: (term), to weigh those alone by the
+    statistics of all, so that no other posting shuffles.
     """
     terms, corpus = corpus_statistics(postings)
     lengths = postings.groupBy("doc_id").agg(F.sum("tf").alias("len"))
-    rows = postings.join(terms, "term").join(lengths, "doc_id").crossJoin(F.broadcast(corpus))
+    rows = of_terms(postings, terms, wanted).join(lengths, "doc_id").crossJoin(F.broadcast(corpus))
     tf = F.col("tf")
     score = F.lit(scale) * F.col("idf") * tf * (k1 + 1) / (tf + k1 * (1 - b + b * F.col("len") / F.col("avg_len")))
     return rows.select("doc_id", "term", F.floor(score).cast("long").alias("weight"))
@@ -113,7 +163,9 @@ def contained_in(passages: DataFrame, docs: DataFrame) -> DataFrame:
     longest = F.element_at(F.array_sort(F.transform(inner, lambda w: F.struct((-F.length(w)).alias("n"), w.alias("w")))), 1)["w"]
     own = passages.select("query_id", F.col("text").alias("_q"), F.when(F.size(inner) > 0, longest).alias("_w"))
     long_, short = own.where("_w IS NOT NULL"), own.where("_w IS NULL AND _q IS NOT NULL").drop("_w")
-    met = docs.select("doc_id", "text", F.explode(F.array_distinct(words)).alias("_w")).join(bounded(long_), "_w").where(F.contains("text", "_q")).select("query_id", "doc_id")
+    # words leave their text behind; the few documents that hold such a word meet theirs again
+    some = docs.select("doc_id", F.explode(F.array_distinct(words)).alias("_w")).join(bounded(long_), "_w").select("query_id", "_q", F.col("doc_id").alias("_d"))
+    met = docs.join(bounded(checkpointed(some)), F.col("doc_id").eqNullSafe(F.col("_d"))).where(F.contains("text", "_q")).select("query_id", "doc_id")
     rest = docs.join(bounded(short), F.contains("text", "_q")).select("query_id", "doc_id")
     return met.unionAll(rest).distinct()
 
@@ -136,9 +188,10 @@ def okapi_scores(queries: DataFrame, postings: DataFrame, k1: float = 1.5, b: fl
     idf = raw.crossJoin(F.broadcast(mean)).select("term", F.when(F.col("raw") < 0, F.lit(epsilon) * F.col("mean")).otherwise(F.col("raw")).alias("idf"))
     lengths = postings.groupBy("doc_id").agg(F.sum("tf").alias("len"))
     tf = F.col("tf")
-    docs = postings.join(idf, "term").join(lengths, "doc_id").crossJoin(F.broadcast(corpus))
+    docs = of_terms(postings, idf, queries).join(lengths, "doc_id").crossJoin(F.broadcast(corpus))
     docs = docs.select("doc_id", "term", (F.col("idf") * tf * (k1 + 1) / (tf + k1 * (1 - b + b * F.col("len") / F.col("avg_len")))).alias("weight"))
-    return queries.select("query_id", "term", F.col("tf").alias("qtf")).join(docs, "term").groupBy("query_id", "doc_id").agg(F.sum(F.col("qtf") * F.col("weight")).alias("score"))
+    # the lengths' join leaves a document in one task, where few queries meet it and its pairs are summed
+    return docs.join(bounded(queries.select("query_id", "term", F.col("tf").alias("qtf"))), "term").groupBy("query_id", "doc_id").agg(F.sum(F.col("qtf") * F.col("weight")).alias("score"))
 
 
 #: Queries of a block that every task holds.

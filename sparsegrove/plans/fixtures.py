@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import PUNCTUATION, search_tokens
+from ..operators.retrieval import bounded
+from ..operators.retrieval import postings as counted
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -22,10 +24,11 @@ def texts(spark: SparkSession, folder: str, name: str = "documents") -> DataFram
     return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows
 
 
-def postings(spark: SparkSession, folder: str, name: str = "documents", key: str = "doc_id", alias: str = "doc_id") -> DataFrame:
-    """(doc_id, term, tf) of a table of texts."""
-    words = texts(spark, folder, name).select(F.col(key).alias(alias), F.explode(search_tokens(F.col("text"))).alias("term"))
-    return words.groupBy(alias, "term").agg(F.count(F.lit(1)).alias("tf"))
+def postings(spark: SparkSession, folder: str, name: str = "documents", key: str = "doc_id", alias: str = "doc_id", only: DataFrame | None = None) -> DataFrame:
+    """(doc_id, term, tf) of a table of texts, or of those of its rows that ``only`` (doc_id) names."""
+    rows = texts(spark, folder, name).select(F.col(key).alias(alias), "text")
+    rows = rows if only is None else rows.join(bounded(only), alias, "left_semi")
+    return counted(rows, search_tokens(F.col("text")), alias)
 
 
 _P = PUNCTUATION.replace("'", "''")

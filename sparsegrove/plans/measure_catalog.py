@@ -8,6 +8,7 @@ from ..functions.text import search_tokens
 from ..operators import evaluation as E
 from ..operators import keyphrases as K
 from ..operators import retrieval as R
+from ..operators.phrases import checkpointed
 from . import fixtures as X
 from .catalog import bm25_run, qrels, query, r6
 from .fixtures import table
@@ -145,7 +146,8 @@ def expansion_popularity(spark, d):
 def idf_gated_topk(spark, d):
     posts = X.postings(spark, d)
     q = X.postings(spark, d, "benchmark", "item_id", "query_id").select("query_id", "term", F.lit(1).alias("weight"))
-    return R.search(R.idf_gate(q, R.corpus_statistics(posts)[0], 3.0), R.bm25_impacts(posts), 10)
+    gated = checkpointed(R.idf_gate(q, R.corpus_statistics(posts)[0], 3.0))
+    return R.search(gated, R.bm25_impacts(posts, wanted=gated), 10)
 
 
 @query(f"WITH {X.SQL_RUN}, lb AS (SELECT doc_id, quality FROM labels WHERE quality IS NOT NULL), m AS (SELECT item_id AS query_id, lb.quality FROM benchmark LEFT JOIN lb ON lb.doc_id = item_id), o AS (SELECT r.query_id, r.doc_id, r.score FROM r JOIN m USING (query_id) JOIN lb ON lb.doc_id = r.doc_id WHERE r.doc_id <> r.query_id AND m.quality <> lb.quality) SELECT query_id, doc_id, score FROM o QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) = 1")
