@@ -146,7 +146,7 @@ def term_scores(spark, d):
 o AS (SELECT phrase FROM n ORDER BY df DESC, phrase LIMIT 300) SELECT f.* FROM f ANTI JOIN o USING (phrase)""")
 def frequent_phrases_elsewhere_rare(spark, d):
     """Of the 300 most frequent words those that aren't among the 300 of most documents."""
-    counts = X.postings(spark, d).groupBy(F.col("term").alias("phrase")).agg(F.sum("tf").alias("n"), F.count(F.lit(1)).alias("df"))
+    counts = P.checkpointed(X.postings(spark, d).groupBy(F.col("term").alias("phrase")).agg(F.sum("tf").alias("n"), F.count(F.lit(1)).alias("df")))
     other = counts.orderBy(F.desc("df"), "phrase").limit(300)
     return P.frequent_but_not_in(counts.select("phrase", "n"), 300, other)
 
