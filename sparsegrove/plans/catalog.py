@@ -449,7 +449,8 @@ def containment_rates(spark, d):
 x AS (SELECT j.query_id, j.doc_id, qq.term, qtf, len, coalesce(tf / len, 1e-10::DOUBLE) AS pr FROM j JOIN qq USING (query_id) JOIN l USING (doc_id) LEFT JOIN p ON p.doc_id = j.doc_id AND p.term = qq.term)
 SELECT query_id, doc_id, round(sum(qtf * ln(pr)) / count(*), 6) AS likelihood FROM x GROUP BY ALL""")
 def query_likelihood(spark, d):
-    found = R.query_likelihood(qrels(spark, d), X.postings(spark, d, "benchmark", "item_id", "query_id"), X.postings(spark, d))
+    pairs = P.checkpointed(qrels(spark, d))
+    found = R.query_likelihood(pairs, X.postings(spark, d, "benchmark", "item_id", "query_id"), X.postings(spark, d, only=pairs.select("doc_id").distinct()))
     return found.select("query_id", "doc_id", r6(F.col("likelihood"), "likelihood"))
 
 

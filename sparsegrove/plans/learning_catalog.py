@@ -128,9 +128,10 @@ x AS (SELECT j.query_id, j.doc_id, qtf, coalesce(tf / len, 1e-10::DOUBLE) AS pr
 SELECT query_id, doc_id, round(sum(qtf * ln(pr)) / count(*), 6) AS likelihood FROM x GROUP BY ALL""")
 def dictionary_likelihood(spark, d):
     """Query likelihood over words of a dictionary alone: valid words of three documents or more."""
-    posts = X.postings(spark, d)
-    dictionary = posts.groupBy("term").agg(F.count(F.lit(1)).alias("df")).where("df >= 3").where(P.valid_word(F.col("term")))
-    found = R.query_likelihood(qrels(spark, d), X.postings(spark, d, "benchmark", "item_id", "query_id"), posts, dictionary)
+    pairs = P.checkpointed(qrels(spark, d))
+    posts = X.postings(spark, d, only=pairs.select("doc_id").distinct())
+    dictionary = P.checkpointed(X.postings(spark, d).groupBy("term").agg(F.count(F.lit(1)).alias("df")).where("df >= 3").where(P.valid_word(F.col("term"))))
+    found = R.query_likelihood(pairs, X.postings(spark, d, "benchmark", "item_id", "query_id"), posts, dictionary)
     return found.select("query_id", "doc_id", r6(F.col("likelihood"), "likelihood"))
 
 
