@@ -21,6 +21,19 @@ def ngrams(tokens: Column, n: int) -> Column:
     return out
 
 
+def distinct_ngrams(texts: DataFrame, n: int) -> DataFrame:
+    """(doc_id, phrase): the distinct runs of n tokens of (doc_id, tokens).
+
+    Runs are made distinct in their row; only rows that share a doc_id shuffle theirs.
+    """
+    found = lambda rows: rows.select("doc_id", F.explode(F.array_distinct(ngrams(F.col("tokens"), n))).alias("phrase"))
+    repeated = checkpointed(texts.groupBy("doc_id").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1"))
+    if repeated.isEmpty():
+        return found(texts)
+    same = texts["doc_id"].eqNullSafe(repeated["doc_id"])
+    return found(texts.join(repeated, same, "left_anti")).unionAll(found(texts.join(repeated, same, "left_semi")).distinct())
+
+
 def candidates(tokens: Column, stopwords: Column, longest: int = 5, least_chars: int = 3) -> Column:
     """Distinct runs of words between stop words, of at most ``longest`` words and at least ``least_chars`` signs."""
     marked = F.transform(tokens, lambda t: F.when(F.array_contains(stopwords, t), F.lit("\x00")).otherwise(t))
@@ -132,9 +145,16 @@ def checkpointed(rows: DataFrame) -> DataFrame:
     return rows.checkpoint()
 
 
+#: Phrases up to which coverage broadcasts the chosen ones, some 100 MB.
+CHOSEN_PHRASES = 1_000_000
+
+
 def coverage(occurrences: DataFrame, chosen: DataFrame) -> DataFrame:
+    """The share of the documents that hold a chosen phrase; those are counted, and broadcast where they are not too many."""
     all_docs = occurrences.agg(F.countDistinct("doc_id").alias("n"))
-    return occurrences.join(chosen.select("phrase"), "phrase", "left_semi").agg(F.countDistinct("doc_id").alias("c")).crossJoin(all_docs).select((F.col("c") / F.col("n")).alias("coverage"))
+    known = checkpointed(chosen.select("phrase"))
+    known = F.broadcast(known) if known.count() <= CHOSEN_PHRASES else known
+    return occurrences.join(known, "phrase", "left_semi").agg(F.countDistinct("doc_id").alias("c")).crossJoin(all_docs).select((F.col("c") / F.col("n")).alias("coverage"))
 
 
 def greedy_cover(occurrences: DataFrame, k: int) -> DataFrame:

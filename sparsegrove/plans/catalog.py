@@ -16,6 +16,7 @@ from ..operators import phrases as P
 from ..operators import retrieval as R
 from ..operators import sparse as S
 from ..operators import training as N
+from ..operators.retrieval import bounded
 from . import fixtures as X
 from .fixtures import table
 
@@ -259,17 +260,19 @@ _BIGRAMS = f"b AS (SELECT doc_id, unnest(list_transform(range(1, len(w)), lambda
 
 
 def bigrams(spark, d):
-    return table(spark, d, "documents").select("doc_id", F.explode(P.ngrams(T.search_tokens(F.col("text")), 2)).alias("phrase"))
+    """(doc_id, phrase), distinct."""
+    docs = X.texts(spark, d).select("doc_id", T.search_tokens(F.col("text")).alias("tokens"))
+    return P.distinct_ngrams(docs, 2)
 
 
 @query(f"WITH {_BIGRAMS} SELECT phrase, count(DISTINCT doc_id) AS n FROM b GROUP BY phrase HAVING count(DISTINCT doc_id) >= 25")
 def phrase_vocabulary(spark, d):
-    return P.vocabulary(bigrams(spark, d), 25, distinct=True)
+    return P.vocabulary(bigrams(spark, d), 25)
 
 
 def common_bigrams(spark, d):
-    rows = bigrams(spark, d).distinct()
-    return rows.join(P.vocabulary(rows, 25).select("phrase"), "phrase", "left_semi")
+    rows = bigrams(spark, d)
+    return rows.join(bounded(P.checkpointed(P.vocabulary(rows, 25).select("phrase"))), "phrase", "left_semi")
 
 
 @query()
@@ -280,7 +283,7 @@ def greedy_cover(spark, d):
 @query(f"WITH {_BIGRAMS}, v AS (SELECT phrase FROM b GROUP BY phrase HAVING count(DISTINCT doc_id) >= 25) SELECT round(count(DISTINCT doc_id) / (SELECT count(DISTINCT doc_id) FROM b), 6) AS coverage FROM b SEMI JOIN v USING (phrase)")
 def vocabulary_coverage(spark, d):
     rows = bigrams(spark, d)
-    return P.coverage(rows, P.vocabulary(rows, 25, distinct=True)).select(r6(F.col("coverage"), "coverage"))
+    return P.coverage(rows, P.vocabulary(rows, 25)).select(r6(F.col("coverage"), "coverage"))
 
 
 @query("WITH n AS (SELECT DISTINCT p_name AS phrase FROM part), k AS (SELECT phrase, row_number() OVER (ORDER BY length(phrase), phrase) AS rank FROM (SELECT DISTINCT unnest(string_split(phrase, ' ')) AS phrase FROM n)) SELECT phrase, rank FROM k a WHERE NOT EXISTS (SELECT 1 FROM k b WHERE b.rank < a.rank AND contains(a.phrase, b.phrase))")

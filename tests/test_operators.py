@@ -196,3 +196,64 @@ def test_negatives_pair_no_row_with_a_row(spark):
     key = lambda g, d: __import__("hashlib").md5(f"0|{g}|{d}".encode()).hexdigest()
     assert got == {(1, g): min((10 * h + k for h in range(4) for k in range(3) if h != g), key=lambda d: key(g, d)) for g in range(4)}
     assert "LeftAnti" not in found._jdf.queryExecution().optimizedPlan().toString()  # groups times references, less the groups' own
+
+
+def exchanges(rows):
+    return rows._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning")
+
+
+def test_postings_are_counted_where_the_texts_lie(spark):
+    rows = [(k, f"a b a c{k % 3} " * (k % 4)) for k in range(30)] + [(30, None), (31, "")]
+    for extra in ([], [(3, "a z"), (None, "a"), (None, "a")]):  # ids that repeat are one text
+        texts = spark.createDataFrame(rows + extra, "doc_id long, text string")
+        found = retrieval.postings(texts, search_tokens(F.col("text")))
+        want = {}
+        for k, text in rows + extra:
+            for w in (text or "").split():
+                want[k, w] = want.get((k, w), 0) + 1
+        got = [((r["doc_id"], r["term"]), r["tf"]) for r in found.collect()]
+        assert dict(got) == want and len(got) == len(want) and (exchanges(found) > 0) == bool(extra)
+
+
+def test_weights_of_wanted_terms_alone(spark):
+    posts = spark.createDataFrame([(d, f"t{(d * j) % 7}{j}", j + 1) for d in range(20) for j in range(4)], "doc_id long, term string, tf long")
+    wanted = spark.createDataFrame([("t00",), ("t31",), ("none",)], "term string")
+    every = {(r["doc_id"], r["term"]): r["weight"] for r in retrieval.bm25_impacts(posts).collect()}
+    some = {(r["doc_id"], r["term"]): r["weight"] for r in retrieval.bm25_impacts(posts, wanted=wanted).collect()}
+    assert some and some == {k: v for k, v in every.items() if k[1] in ("t00", "t31")}
+
+
+def test_distinct_ngrams_do_not_shuffle(spark):
+    rows = [(1, "a b a b".split()), (2, "a b".split()), (3, ["a"]), (4, None)]
+    texts = spark.createDataFrame(rows, "doc_id long, tokens array<string>")
+    found = phrases.distinct_ngrams(texts, 2)
+    assert sorted(map(tuple, found.collect())) == [(1, "a b"), (1, "b a"), (2, "a b")] and exchanges(found) == 0
+    again = phrases.distinct_ngrams(texts.unionAll(texts.where("doc_id = 2")), 2)
+    assert sorted(map(tuple, again.collect())) == [(1, "a b"), (1, "b a"), (2, "a b")]
+
+
+def test_texts_are_not_copied_for_each_word(spark):
+    docs = spark.createDataFrame([(1, "xx one longest two yy"), (2, "one other two"), (None, "one longest two")], "doc_id long, text string")
+    found = retrieval.contained_in(spark.createDataFrame([(7, "one longest two")], "query_id long, text string"), docs)
+    assert sorted(map(tuple, found.collect()), key=str) == [(7, 1), (7, None)]
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "Generate explode" not in plan  # what holds a word is known before texts are met
+
+
+def test_positions_of_phrases_equal_those_of_one(spark):
+    from sparsegrove.functions.text import position_score, position_scores
+
+    rows = spark.createDataFrame([("bathe cat \n the cat\x0bsat", ["the cat", "cat", "none", "", "sat"]), (None, ["a"]), ("", ["a"])], "text string, phrases array<string>")
+    many = [list(r[0]) for r in rows.select(position_scores()("text", "phrases")).collect()]
+    one = [list(r[0]) for r in rows.select(F.transform("phrases", lambda p: position_score(F.col("text"), p))).collect()]
+    assert many == one
+
+
+def test_a_text_meets_the_list_of_its_terms(spark):
+    from sparsegrove.operators import keyphrases
+
+    vectors = spark.createDataFrame([(1, "ab", 1.0), (1, "zz", 2.0), (2, "zz", 3.0), (3, "ab", 1.0)], "doc_id long, term string, weight double")
+    texts = spark.createDataFrame([(1, "x AB y"), (2, None), (3, "none"), (3, "twice")], "doc_id long, text string")
+    found = keyphrases.absent_scores(vectors, texts, spark.createDataFrame([("ab",), ("zz",)], "phrase string"))
+    assert sorted(map(tuple, found.collect())) == [(1, "zz", 2.0), (3, "ab", 1.0), (3, "ab", 1.0)]
+    assert "collect_list" in found._jdf.queryExecution().optimizedPlan().toString()
