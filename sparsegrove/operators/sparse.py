@@ -63,8 +63,18 @@ def prune_by_quantile(vectors: DataFrame, q: float) -> DataFrame:
     return vectors.join(cuts, "term").where("weight > cut").select(*vectors.columns)
 
 
+#: Rows of a part that a task aggregates, about.
+PART_ROWS = 1 << 20
+
+
+def dealt(rows: DataFrame, n: int, *keys: str) -> DataFrame:
+    """n ``rows`` dealt by ``keys`` into parts of about ``PART_ROWS``, so what a task aggregates doesn't grow with the tables."""
+    return rows.repartition(max(rows.sparkSession.sparkContext.defaultParallelism, n // PART_ROWS + 1), *keys)
+
+
 def merge_max(a: DataFrame, b: DataFrame) -> DataFrame:
-    return a.unionByName(b).groupBy("doc_id", "term").agg(F.max("weight").alias("weight"))
+    rows = a.unionByName(b)
+    return dealt(rows, rows.count(), "doc_id", "term").groupBy("doc_id", "term").agg(F.max("weight").alias("weight"))
 
 
 def merge_sum(a: DataFrame, b: DataFrame) -> DataFrame:

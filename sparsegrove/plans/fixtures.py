@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.text import PUNCTUATION, search_tokens
 from ..operators.retrieval import bounded
 from ..operators.retrieval import postings as counted
+from ..operators.sparse import dealt
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -51,8 +52,8 @@ SQL_QRELS = "j AS (SELECT b.item_id AS query_id, d.doc_id, 1 + CAST(d.doc_id % 2
 
 def matrix(spark: SparkSession, folder: str) -> DataFrame:
     """Orders as documents, parts as terms, quantities as weights: (doc_id, term, weight)."""
-    rows = table(spark, folder, "lineitem").groupBy(F.col("l_orderkey").alias("doc_id"), F.col("l_partkey").alias("term"))
-    return rows.agg(F.sum("l_quantity").cast("double").alias("weight"))
+    lines = table(spark, folder, "lineitem").select(F.col("l_orderkey").alias("doc_id"), F.col("l_partkey").alias("term"), "l_quantity")
+    return dealt(lines, lines.count(), "doc_id", "term").groupBy("doc_id", "term").agg(F.sum("l_quantity").cast("double").alias("weight"))
 
 
 def supplier_queries(spark: SparkSession, folder: str) -> DataFrame:

@@ -257,3 +257,10 @@ def test_a_text_meets_the_list_of_its_terms(spark):
     found = keyphrases.absent_scores(vectors, texts, spark.createDataFrame([("ab",), ("zz",)], "phrase string"))
     assert sorted(map(tuple, found.collect())) == [(1, "zz", 2.0), (3, "ab", 1.0), (3, "ab", 1.0)]
     assert "collect_list" in found._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_merged_vectors_are_dealt_by_their_number(spark, monkeypatch):
+    a = spark.range(300).selectExpr("id % 50 AS doc_id", "id AS term", "CAST(id AS DOUBLE) AS weight")
+    monkeypatch.setattr(sparse, "PART_ROWS", 20)
+    found = sparse.merge_max(a, a.selectExpr("doc_id", "term + 1 AS term", "weight + 5 AS weight"))
+    assert found.rdd.getNumPartitions() == 31 and found.count() == 600  # a term lies in one document each
