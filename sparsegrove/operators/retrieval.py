@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from decimal import ROUND_HALF_UP, Context, Decimal
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -194,8 +196,8 @@ def okapi_scores(queries: DataFrame, postings: DataFrame, k1: float = 1.5, b: fl
     return docs.join(bounded(queries.select("query_id", "term", F.col("tf").alias("qtf"))), "term").groupBy("query_id", "doc_id").agg(F.sum(F.col("qtf") * F.col("weight")).alias("score"))
 
 
-#: Queries of a block that every task holds.
-QUERY_BLOCK = 4096
+#: Queries of a block that every task holds; pairs that a task scores at once.
+QUERY_BLOCK, PAIRS_AT_ONCE = 4096, 1 << 20
 
 
 def dense_search(queries: DataFrame, docs: DataFrame, k: int, digits: int | None = None) -> DataFrame:
@@ -203,21 +205,112 @@ def dense_search(queries: DataFrame, docs: DataFrame, k: int, digits: int | None
 
     digits: cosines are rounded to so many before they are ranked, so that sums in another order tie.
 
-    Queries are counted: one block of them is broadcast, so each row of ``docs`` is read once and no vector
-    shuffles; more are dealt into blocks, and each block is joined with all documents under its number.
+    Each row of ``docs`` is read once and no vector shuffles: one block of queries goes to every task, which hands on its
+    own k best a query (``dense_batches``).  More queries are dealt into blocks, and each block is joined with all
+    documents under its number.
     """
+    spark, whole = docs.sparkSession, lambda rows, key: rows.select(key, F.col("v").cast("array<double>").alias("v"))
+    block = whole(queries, "query_id").limit(QUERY_BLOCK + 1).toArrow().combine_chunks()
+    if block.num_rows <= QUERY_BLOCK:
+        kinds = queries.schema["query_id"].dataType.simpleString(), docs.schema["doc_id"].dataType.simpleString()
+        ids, vectors = (pa.concat_arrays(block[c].chunks) if block[c].num_chunks else pa.array([], block[c].type) for c in ("query_id", "v"))
+        found = whole(docs, "doc_id").mapInArrow(on_workers(spark, __name__, "dense_batches", ids, vectors, k, digits), f"query_id {kinds[0]}, doc_id {kinds[1]}, score double")
+        return rank(found, k)
     q = queries.select("query_id", normalise(F.col("v")).alias("qv"))
     d = docs.select("doc_id", normalise(F.col("v")).alias("dv"))
     blocks = -(-q.count() // QUERY_BLOCK)
-    if blocks <= 1:
-        pairs = d.crossJoin(F.broadcast(q))
-    else:
-        dealt = d.withColumn("_block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-        pairs = dealt.join(q.withColumn("_block", F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int")), "_block")
+    dealt = d.withColumn("_block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    pairs = dealt.join(q.withColumn("_block", F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int")), "_block")
     score = dot(F.col("qv"), F.col("dv"))
     return rank(pairs.select("query_id", "doc_id", (score if digits is None else F.round(score, digits)).alias("score")), k)
 
 
+def by_length(vectors: pa.Array) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """Vectors of length 1 by their number of components: places and matrix; under -1 the places of those that are null or hold nulls.
+
+    Sums run from the first component to the last, as the expressions ``normalise`` and ``dot`` have them.
+    """
+    sizes = pc.fill_null(pc.list_value_length(vectors), -1).to_numpy(zero_copy_only=False).astype(np.int64)
+    if vectors.flatten().null_count:
+        sizes[pc.list_parent_indices(vectors).filter(pc.is_null(vectors.flatten())).to_numpy()] = -1
+    out = {}
+    for n in np.unique(sizes).tolist():
+        at = np.flatnonzero(sizes == n)
+        x = vectors.take(pa.array(at)).flatten().to_numpy(zero_copy_only=False).reshape(len(at), n) if n > 0 else np.zeros((len(at), 0))
+        squares = np.zeros(len(at))
+        for j in range(x.shape[1]):
+            squares += x[:, j] * x[:, j]
+        out[n] = at, x / (np.sqrt(squares) + 1e-9)[:, None]
+    return out
+
+
+def half_up(x: np.ndarray, digits: int) -> np.ndarray:
+    """Numbers rounded as Spark's ``round`` does, half away from zero by their shortest decimals."""
+    out = x.copy()
+    on = np.flatnonzero(np.isfinite(x))
+    y = np.abs(x[on]) * 10.0**digits
+    whole = np.floor(y)
+    out[on] = np.copysign((whole + (y - whole >= 0.5)) / 10.0**digits, x[on]) + 0.0
+    for i in on[(np.abs(y - whole - 0.5) <= 8 * np.spacing(y)) | (y >= 2**50)].tolist():
+        out[i] = float(Decimal(repr(float(x[i]))).quantize(Decimal(1).scaleb(-digits), ROUND_HALF_UP, Context(prec=400))) + 0.0
+    return out
+
+
+def dense_batches(batches, ids: pa.Array, vectors: pa.Array, k: int, digits: int | None):
+    """(query_id, doc_id, score): each query's k best of one task's (doc_id, v), ties to the smaller id; null scores are last, NaN first.
+
+    A matrix product finds which documents can be among the k best, within a margin that covers its last digits and
+    the rounding; those alone are scored exactly.
+    """
+    asked = by_length(vectors)
+    margin = 1e-9 + (0.0 if digits is None else 10.0**-digits)
+    least = np.full(len(ids), -np.inf)
+    # what is kept of all queries: query's place, kind (0 null, 1 number, 2 NaN), score, document
+    query, kind, score, docs = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0), None
+    step = max(k, PAIRS_AT_ONCE // max(len(ids), 1))
+    with np.errstate(all="ignore"):
+        for batch in batches:
+            docs = batch.column(0).slice(0, 0) if docs is None else docs
+            for lo in range(0, batch.num_rows if k else 0, step):
+                rows = batch.slice(lo, step)
+                found = []
+                for n, (at, d) in by_length(rows.column(1)).items():
+                    for m, (own, q) in asked.items():
+                        if n != m or n < 0:  # no score: the smallest ids are enough
+                            first = at[np.argsort(places(rows.column(0).take(pa.array(at))), kind="stable")[:k]]
+                            found.append((np.repeat(own, len(first)), np.tile(first, len(own)), np.zeros(len(own) * len(first), np.int64), np.zeros(len(own) * len(first))))
+                            continue
+                        near = q @ d.T
+                        if len(at) >= k:
+                            cut = np.fmax(least[own], np.partition(near, len(at) - k, axis=1)[:, len(at) - k] - margin)
+                        else:
+                            cut = least[own]
+                        i, j = np.nonzero(~(near < cut[:, None]))
+                        exact = np.zeros(len(i))
+                        for c in range(n):
+                            exact += q[i, c] * d[j, c]
+                        exact = exact if digits is None else half_up(exact, digits)
+                        none = np.isnan(exact)
+                        found.append((own[i], at[j], np.where(none, 2, 1), np.where(none, 0.0, exact)))
+                new = [np.concatenate(x) for x in zip(*found)] if found else [np.zeros(0, np.int64)] * 4
+                docs = pa.concat_arrays([docs, rows.column(0).take(pa.array(new[1]))])
+                query, kind, score = (np.concatenate([a, b]) for a, b in zip((query, kind, score), (new[0], new[2], new[3])))
+                order = np.lexsort((places(docs), -score, -kind, query))
+                number = np.arange(len(order)) - np.searchsorted(query[order], query[order])
+                keep = order[number < k]
+                full = order[(number == k - 1) & (kind[order] == 1) & np.isfinite(score[order])]
+                least[query[full]] = score[full] - margin
+                query, kind, score, docs = query[keep], kind[keep], score[keep], docs.take(pa.array(keep))
+    if docs is not None:
+        score = np.where(kind == 2, np.nan, score)
+        yield pa.RecordBatch.from_arrays([ids.take(pa.array(query)), docs, pa.array(score, pa.float64(), mask=kind == 0)], ["query_id", "doc_id", "score"])
+
+
+def places(ids: pa.Array) -> np.ndarray:
+    """Numbers in the order of the ids, nulls first."""
+    return pc.rank(ids, sort_keys="ascending", null_placement="at_start", tiebreaker="dense").to_numpy().astype(np.int64)
+
+
 def max_sim(queries: DataFrame, docs: DataFrame) -> DataFrame:
     """Sum over a query's positions of the best matching document position.
 

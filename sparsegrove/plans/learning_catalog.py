@@ -112,11 +112,13 @@ reranked AS (SELECT query_id, doc_id, len(list_intersect(list_distinct(regexp_sp
 def staged_retrieval(spark, d):
     """Recall and reciprocal rank of the smallest document that holds a passage: by BM25, by vectors of letters, and reranked."""
     items, docs = table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), "text"), table(spark, d, "documents").where("text IS NOT NULL")
-    own = qrels(spark, d).groupBy("query_id").agg(F.min("doc_id").alias("own_id"))
+    # read by each stage: a row a query, and fifty
+    own = P.checkpointed(qrels(spark, d).groupBy("query_id").agg(F.min("doc_id").alias("own_id")))
     sparse = bm25_run(spark, d, 50).drop("rank")
     vectors = lambda rows, key: rows.select(key, letter_counts(F.col("text")).alias("v"))
-    dense = R.dense_search(vectors(items, "query_id"), vectors(docs, "doc_id"), 50, digits=8).drop("rank")
-    pairs = M.with_pair_texts(dense, items.withColumnRenamed("text", "query"), docs)
+    dense = P.checkpointed(R.dense_search(vectors(items, "query_id"), vectors(docs, "doc_id"), 50, digits=8).drop("rank"))
+    found = docs.join(R.bounded(dense.select("doc_id").distinct()), "doc_id", "left_semi")  # no other text shuffles
+    pairs = M.with_pair_texts(dense, items.withColumnRenamed("text", "query"), found)
     runs = {"sparse": sparse, "dense": dense, "dense+rerank": M.rerank(pairs, SharedWords).drop("rank")}
     return E.staged_measures(runs, own, _DEPTHS).select("stage", "k", r6(F.col("recall"), "recall"), r6(F.col("mrr"), "mrr"))
 

@@ -264,3 +264,39 @@ def test_merged_vectors_are_dealt_by_their_number(spark, monkeypatch):
     monkeypatch.setattr(sparse, "PART_ROWS", 20)
     found = sparse.merge_max(a, a.selectExpr("doc_id", "term + 1 AS term", "weight + 5 AS weight"))
     assert found.rdd.getNumPartitions() == 31 and found.count() == 600  # a term lies in one document each
+
+
+def dense_brute(queries, docs, k, digits):
+    unit = lambda v: [x / (math.sqrt(sum(y * y for y in v)) + 1e-9) for x in v]
+    out = []
+    for q, v in queries:
+        scores = [(None if w is None or None in w or len(w) != len(v) else sum(a * b for a, b in zip(unit(v), unit(w))), d) for d, w in docs]
+        scores = [(None if s is None else round(s, digits), d) for s, d in scores]
+        best = sorted((s is None, -(s or 0), d) for s, d in scores)[:k]
+        out += [(q, d, None if none else -s, i) for i, (none, s, d) in enumerate(best, 1)]
+    return sorted(out, key=lambda x: (x[0], x[3]))
+
+
+def test_dense_search_hands_on_k_a_task_and_keeps_ties_and_nulls(spark, monkeypatch):
+    """Copies tie by id in and between tasks, odd vectors come last, and no pair of all documents is a row."""
+    monkeypatch.setattr(retrieval, "PAIRS_AT_ONCE", 64)
+    r = np.random.default_rng(3)
+    base = [[float(x) for x in r.integers(-3, 4, 5)] for _ in range(30)]
+    docs = [(int(d), base[d % 30]) for d in r.permutation(300)] + [(1000, None), (1001, [1.0, None, 0.0, 0.0, 0.0]), (1002, [1.0, 2.0]), (1003, [0.0] * 5)]
+    queries = [(f"q{i}", [float(x) for x in r.integers(-3, 4, 5)]) for i in range(6)]
+    q, d = spark.createDataFrame(queries, "query_id string, v array<double>"), spark.createDataFrame(docs, "doc_id long, v array<double>").repartition(3)
+    for k in (1, 7, 400):
+        found = retrieval.dense_search(q, d, k, digits=8)
+        got = sorted((tuple(x) for x in found.select("query_id", "doc_id", "score", "rank").collect()), key=lambda x: (x[0], x[3]))
+        assert got == dense_brute(queries, docs, k, 8)
+    assert "CartesianProduct" not in (plan := retrieval.dense_search(q, d, 7)._jdf.queryExecution().toString()) and "NestedLoop" not in plan
+    monkeypatch.setattr(retrieval, "QUERY_BLOCK", 4)  # the way of many queries
+    many = retrieval.dense_search(q, d.where("doc_id < 1000"), 7, digits=8)
+    assert sorted((tuple(x) for x in many.select("query_id", "doc_id", "score", "rank").collect()), key=lambda x: (x[0], x[3])) == dense_brute(queries, docs[:300], 7, 8)
+
+
+def test_half_up_rounds_as_spark(spark):
+    x = np.array([0.5, 1.5, -2.5, 0.125, 0.000000005, 1.005, 2.675, -0.0, np.nan, np.inf, 123456789.987654325, 1e300])
+    for digits in (0, 2, 8):
+        want = [r["x"] for r in spark.createDataFrame([(i, float(v)) for i, v in enumerate(x)], "i int, x double").select("i", F.round("x", digits).alias("x")).orderBy("i").collect()]
+        np.testing.assert_array_equal(retrieval.half_up(x, digits), want)
