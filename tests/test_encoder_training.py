@@ -95,3 +95,17 @@ def test_a_step_is_one_job_of_one_stage(spark, tmp_path):
     context.setLocalProperty("spark.jobGroup.id", None)
     jobs = context.statusTracker().getJobIdsForGroup("one step")
     assert state.step == 1 and len(jobs) == 1 and len(context.statusTracker().getJobInfo(jobs[0]).stageIds) == 1
+
+
+def test_steps_that_follow_each_other_share_a_job(spark, tmp_path, monkeypatch):
+    settings = T.Settings(dim=256, batch_tokens=800, epochs=2)
+    data, context = triplets(spark), spark.sparkContext
+    context.setJobGroup("chunks", "chunks")
+    together = T.train(data, settings)
+    context.setLocalProperty("spark.jobGroup.id", None)
+    assert together.step > 30 and len(context.statusTracker().getJobIdsForGroup("chunks")) < together.step
+    # batches too large for a chunk take a job of many tasks each, and give the same weights to the last bit
+    monkeypatch.setattr(T, "CHUNK_TOKENS", 0)
+    apart = T.train(data, settings)
+    assert apart.losses == together.losses and np.array_equal(apart.weights, together.weights) and np.array_equal(apart.best, together.best)
+    assert T.in_chunks([3, 1, 2], {1: 5, 2: 5, 3: 5}, 0, 2) == [[3], [1], [2]]
