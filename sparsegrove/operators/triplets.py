@@ -13,6 +13,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.md5 import smallest_batches
+from ..functions.remote import on_workers
 from .phrases import checkpointed
 from .training import group_in_row, pick_key
 
@@ -91,24 +93,31 @@ def title_triplets(papers: DataFrame, references: DataFrame, seed: str = "0") ->
     return rows.select("paper", F.col("title").alias("query"), F.col("abstract").alias("positive"), "negative")
 
 
-#: Ids of a block that one row is compared with; ids up to which blocks are broadcast.
-BLOCK_IDS, BROADCAST_IDS = 4096, 4_000_000
+#: Ids of a block that one row is compared with; ids up to which blocks are broadcast; papers of a block.
+BLOCK_IDS, BROADCAST_IDS, BLOCK_PAPERS = 4096, 4_000_000, 512
+
+
+def in_blocks(rows: DataFrame, by: list[str], key: str, size: int, name: str) -> DataFrame:
+    """(by, name): the keys of each group in lists of about ``size``."""
+    sizes = rows.groupBy(*by).agg(F.ceil(F.count(F.lit(1)) / size).alias("_n"))
+    return rows.join(F.broadcast(sizes), by).groupBy(*by, F.pmod(F.xxhash64(key), F.col("_n")).alias("_block")).agg(F.collect_list(key).alias(name)).drop("_block")
 
 
 def reference_in_group(papers: DataFrame, documents: DataFrame, *by: str, seed: str = "0") -> DataFrame:
     """(paper, doc_id): of the other documents with the same ``by`` the one of the smallest hash of both ids.
 
-    The hash is of the pair, so all pairs of a group are looked at, but none becomes a row: a paper meets blocks of ids,
-    and hands on the best of each.
+    The hash is of the pair, so all pairs of a group are looked at, but none becomes a row: blocks of papers meet blocks
+    of ids, thousands of hashes are worked out at once (``functions.md5``), and a paper hands on the best of each block.
     """
-    ids = documents.select(*by, "doc_id").distinct().transform(checkpointed)
-    sizes = ids.groupBy(*by).agg(F.ceil(F.count(F.lit(1)) / BLOCK_IDS).alias("_n"))
-    blocks = ids.join(F.broadcast(sizes), list(by)).groupBy(*by, F.pmod(F.xxhash64("doc_id"), F.col("_n")).alias("_block")).agg(F.collect_list("doc_id").alias("_ids"))
+    spark = papers.sparkSession
+    ids, own = (rows.select(*by, key).where(F.col(key).isNotNull()).distinct().transform(checkpointed) for rows, key in ((documents, "doc_id"), (papers, "paper")))
+    blocks = in_blocks(ids, list(by), "doc_id", BLOCK_IDS, "_ids")
     blocks = F.broadcast(blocks) if ids.count() <= BROADCAST_IDS else blocks
-    own = papers.select(*by, "paper").distinct().repartition(papers.sparkSession.sparkContext.defaultParallelism * 4, "paper")
-    others = F.filter("_ids", lambda d: d != F.col("paper"))
-    best = F.array_min(F.transform(others, lambda d: F.struct(pick_key(F.col("paper"), d, seed=seed).alias("k"), d.alias("d"))))
-    return own.join(blocks, list(by)).select("paper", best.alias("_best")).where("_best IS NOT NULL").groupBy("paper").agg(F.min("_best")["d"].alias("doc_id"))
+    dealt = in_blocks(own, list(by), "paper", BLOCK_PAPERS, "_papers").repartition(spark.sparkContext.defaultParallelism * 4)
+    pairs = dealt.join(blocks, list(by)).select("_papers", F.col("_papers").cast("array<string>").alias("_left"), "_ids", F.col("_ids").cast("array<string>").alias("_right"))
+    kinds = own.schema["paper"].dataType.simpleString(), ids.schema["doc_id"].dataType.simpleString()
+    best = pairs.mapInArrow(on_workers(spark, smallest_batches.__module__, "smallest_batches", seed), f"paper {kinds[0]}, k string, doc_id {kinds[1]}")
+    return best.groupBy("paper").agg(F.min(F.struct("k", "doc_id"))["doc_id"].alias("doc_id"))
 
 
 def ring(rows: DataFrame, item: str, digits: int = 2, seed: str = "0") -> DataFrame:

@@ -186,6 +186,25 @@ def test_a_groups_references_are_no_rows(spark, monkeypatch):
     assert {r["paper"]: r["doc_id"] for r in found.collect()} == want and len(want) == 60
 
 
+def test_smallest_hashes_of_pairs_are_those_of_hashlib():
+    import hashlib
+    import random
+
+    from sparsegrove.functions import md5
+
+    r = random.Random(5)
+    for left, right in (
+        ([str(r.randrange(10**7)).encode() for _ in range(40)], [str(r.randrange(10 ** r.randrange(1, 8))).encode() for _ in range(300)]),
+        (["é" * k for k in range(30)], ["x" * k for k in range(40)] + ["é", "éé"]),
+        (["7"], ["7"]),
+    ):
+        left, right = ([x.encode() if isinstance(x, str) else x for x in side] for side in (left, right))
+        key = lambda a, b: hashlib.md5(b"0|" + a + b"|" + b).hexdigest()
+        want = [min(((key(a, b), right.index(b)) for b in right if b != a), default=None) for a in left]
+        assert [w and w[0] for w in want] == [g and g[0] for g in md5.smallest(left, right, b"0")]
+        assert all(g is None or right[g[1]] == right[w[1]] for w, g in zip(want, md5.smallest(left, right, b"0")))
+
+
 def test_negatives_pair_no_row_with_a_row(spark):
     from sparsegrove.operators import triplets
 
